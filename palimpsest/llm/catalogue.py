@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import consensus, lookalike, sentences, splitting
+from palimpsest.llm import consensus, lookalike, scannoise, sentences, splitting
 from palimpsest.plans.runtime import table
 
 
@@ -45,11 +45,19 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "job_results"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.noise(table(spark, d, "ocr_regions"), table(spark, d, "aligned_regions"))
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scannoise.repaired(table(spark, d, "ocr_regions"), table(spark, d, "aligned_regions"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_ends(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_consensus, p3_reliability, p4_found, p4_pieces, p9_found)
+    f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_consensus, p3_reliability, p4_found, p4_pieces, p6_found, p6_paragraphs, p9_found)
 }
 SQL: dict[str, str] = {}
