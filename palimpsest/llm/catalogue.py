@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import consensus, lookalike, scannoise, sentences, splitting
+from palimpsest.llm import consensus, lookalike, pii, scannoise, sentences, splitting
 from palimpsest.plans.runtime import table
 
 
@@ -45,6 +45,19 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "job_results"))
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    return pii.texts(table(spark, d, "ocr_regions"), table(spark, d, "job_results"), table(spark, d, "hitl_regions"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(_personal(spark, d), table(spark, d, "name_parts"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    rows = _personal(spark, d)
+    return pii.redacted(rows, pii.find(rows, table(spark, d, "name_parts")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scannoise.noise(table(spark, d, "ocr_regions"), table(spark, d, "aligned_regions"))
 
@@ -58,6 +71,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_consensus, p3_reliability, p4_found, p4_pieces, p6_found, p6_paragraphs, p9_found)
+    f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_consensus, p3_reliability, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_paragraphs, p9_found)
 }
 SQL: dict[str, str] = {}
