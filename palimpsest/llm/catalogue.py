@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import consensus, lookalike, pii, scannoise, sentences, splitting
+from palimpsest.llm import consensus, lookalike, mixing, packing, pii, scannoise, sentences, splitting
 from palimpsest.plans.runtime import table
 
 
@@ -66,11 +66,27 @@ def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scannoise.repaired(table(spark, d, "ocr_regions"), table(spark, d, "aligned_regions"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.measured(table(spark, d, "documents")), table(spark, d, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_ends(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_consensus, p3_reliability, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_paragraphs, p9_found)
+    f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_consensus, p3_reliability, p4_found, p4_pieces, p5_found, p5_redacted, p6_found, p6_paragraphs, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found)
 }
 SQL: dict[str, str] = {}
