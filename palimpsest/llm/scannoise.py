@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata as ud
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,15 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.lookalike import Rewriter, representatives
+from palimpsest.llm.lookalike import TWINS, is_invisible
 from palimpsest.plans.runtime import materialise, small_rows
 
 DOMINANCE = 12
 BOUND = 400_000
 ITERATIONS = 5
 
-_HYPHEN = re.compile(r"([^\W\d_])[-‐‑­¬][ \t ]*$")
-_WORD = re.compile(r"[^\W_](?:[^\W_]|!(?=[^\W_]))*")
+HYPHENS = "-\u2010\u2011\xad\xac"
+_WORD = re.compile(r"[^\W_]+(?:!+[^\W_]+)*")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
 _DIGITS = re.compile(r"\d+")
 _ATTACHED = re.compile(r"^(?:\d{1,4}|[ivxlc]{1,7})\s{2,}(?=\S)|(?<=\S)\s{2,}(?:\d{1,4}|[ivxlc]{1,7})$")
@@ -49,12 +50,30 @@ LETTERS = str.maketrans({"c": "e", "a": "n", "f": "t", "!": "i", "1": "i", "l":
 
 
 @lru_cache(1)
-def plain_form() -> Rewriter:
-    """The consistent form of problem 1 for the letters in common use, composed and without other line ends."""
-    ranges = [range(0x20, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000), range(0x2000, 0x2070), range(0x3000, 0x3100), range(0xFB00, 0xFB07), range(0xFF00, 0xFFEF), [0xFEFF]]
-    counts = {chr(n): 1 for r in ranges for n in r if n not in (0x85, 0x2028, 0x2029)}
-    counts |= {chr(n): 0 for r in (range(0x300, 0x370), (0x3099, 0x309A)) for n in r}
-    return Rewriter({k: v for k, v in representatives(counts).items() if "\n" not in k})
+def _forms() -> tuple[dict[int, str | None], re.Pattern]:
+    """One-for-one replacements by the consistent forms of problem 1, and a pattern of marks that first need composing."""
+    one: dict[int, str | None] = {ord(c): a for a, bs in TWINS.items() for c in bs}
+    for n in [*range(0x80, 0x3200), *range(0xFB00, 0xFB50), *range(0xFE00, 0x10000)]:
+        c = chr(n)
+        if n in one or c in "\x85\u2028\u2029":
+            continue
+        tag = ud.decomposition(c).partition(" ")[0]
+        if is_invisible(c):
+            one[n] = None
+        elif ud.category(c) == "Zs":
+            one[n] = " "
+        elif tag in ("<wide>", "<narrow>", "<noBreak>", "<compat>") and not (to := ud.normalize("NFKC", c)).startswith(" "):
+            one[n] = to
+    return one, re.compile("[\u0300-\u036f\u3099\u309a]")
+
+
+def plain_form(text: str) -> str:
+    """A text in the consistent form, with the same line ends."""
+    if text.isascii():
+        return text
+    one, marks = _forms()
+    text = text.translate(one)
+    return ud.normalize("NFC", text) if marks.search(text) else text
 
 
 @lru_cache(400_000)
@@ -104,32 +123,37 @@ def near(key: str) -> Iterator[str]:
 class Text:
     """The analysed lines of one text."""
 
-    __slots__ = ("compounds", "keys", "lines", "numbers", "pairs", "tokens")
+    __slots__ = ("keys", "lines", "low", "numbers", "pairs")
 
     def __init__(self, text: str) -> None:
-        raw = text.split("\n")
-        form = plain_form()
-        self.lines = raw if text.isascii() else [form(x) for x in raw]
-        self.tokens = [[w.lower() for w in _WORD.findall(x)] for x in self.lines]
+        form = plain_form(text)
+        self.low = form.lower()
+        self.lines = form.split("\n")
         self.pairs: dict[int, tuple[str, str]] = {}
-        self.compounds: list[str] = []
-        for i, x in enumerate(raw):
-            if "-" in x or not x.isascii():
-                self.compounds += _COMPOUND.findall(self.lines[i].lower())
-                if i + 1 < len(raw) and _HYPHEN.search(x) and self.tokens[i] and self.tokens[i + 1]:
-                    a, b = self.tokens[i][-1], self.tokens[i + 1][0]
-                    if b[0].isalpha() and self.lines[i + 1].lstrip().lower().startswith(b):
-                        self.pairs[i] = (a, b)
+        raw = self.lines if form is text else text.split("\n")
+        for i, x in enumerate(raw[:-1]):
+            x = x.rstrip()
+            if x[-1:] in HYPHENS and x[-2:-1].isalpha():
+                found, then = _WORD.findall(self.lines[i].lower()), _WORD.match(self.lines[i + 1].lstrip().lower())
+                if found and then and then[0][0].isalpha():
+                    self.pairs[i] = (found[-1], then[0])
         self.numbers = [len(x) < 25 and is_number(x) for x in self.lines]
-        self.keys = [None if n else header_key(x) for x, n in zip(self.lines, self.numbers)]
+        self.keys = [None if n or x[:1].islower() or x[-1:] in ".,;" else header_key(x) for x, n in zip(self.lines, self.numbers)]
+
+    def words(self) -> list[str]:
+        """Whole words, without the parts of broken ones."""
+        out = _WORD.findall(self.low)
+        for p in self.pairs.values():
+            for part in p:
+                if part in out:
+                    out.remove(part)
+        return out
 
-    def words(self) -> Iterator[str]:
-        """Whole words with a letter, without the parts of broken ones."""
-        for i, ts in enumerate(self.tokens):
-            lo, hi = int(i - 1 in self.pairs), len(ts) - (i in self.pairs)
-            for w in ts[lo:hi]:
-                if not w.isdigit():
-                    yield w
+    def compounds(self) -> list[str]:
+        return _COMPOUND.findall(self.low) if "-" in self.low or "‐" in self.low else []
+
+    def tokens(self) -> list[list[str]]:
+        return [_WORD.findall(x.lower()) for x in self.lines]
 
 
 STATES = ("body", "header", "number")
@@ -141,13 +165,13 @@ FEW_WORDS = 6
 SHARE = 0.003
 
 
-def features(text: Text, support: Callable[[str], tuple[int, int]]) -> list[tuple[int, ...]]:
+def features(text: Text, support: Callable[[str], tuple[int, int]] | None) -> list[tuple[int, ...]]:
     out, n = [], len(text.lines)
     for i, (x, key, number) in enumerate(zip(text.lines, text.keys, text.numbers)):
         place = 0 if n == 1 else 1 if i == 0 else 2 if i == n - 1 else 3
         pages, volumes, shape, attached = 0, 0, 0, 0
         if key:
-            pages, volumes = support(key)
+            pages, volumes = support(key) if support else (0, 0)
             attached = int(bool(_ATTACHED.search(x.strip())))
             few = len(_WORD.findall(x)) <= FEW_WORDS + attached
             shape = (3 if x.isupper() else 1) + (not few)
@@ -259,30 +283,38 @@ def _statistics(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = defaultdict(Counter)
         places: set[tuple[str, int, int]] = set()
+        keyed: Counter = Counter()
         done: dict[str, Text] = {}
         for pdf in batches:
             for text, n in Counter(pdf["text"]).items():
                 done[text] = t = Text(text)
+                words = counts["w"]
                 for w in t.words():
-                    counts["w"][w] += n
-                for c in t.compounds:
+                    words[w] += n
+                for c in t.compounds():
                     counts["c"][c] += n
+                if not any(t.keys):
+                    counts["f"][_code(features(t, None))] += n
                 for p in t.pairs.values():
                     counts["p"][" ".join(p)] += n
             for text, d, p in zip(pdf["text"], pdf["doc_id"], pdf["page_num"]):
-                for k in done[text].keys:
-                    if k:
-                        places.add((k, d, p))
+                t = done[text]
+                if any(t.keys):
+                    keyed["\t".join([_code(features(t, None)), *(k or "" for k in t.keys)]), d] += 1
+                    for k in t.keys:
+                        if k:
+                            places.add((k, d, p))
             done.clear()
             if sum(map(len, counts.values())) + len(places) > 500_000:
-                yield _rows(counts, places)
+                yield _rows(counts, places, keyed)
                 counts.clear()
                 places.clear()
-        yield _rows(counts, places)
+                keyed.clear()
+        yield _rows(counts, places, keyed)
 
-    def _rows(counts: dict[str, Counter], places: set) -> pd.DataFrame:
-        out = [(k, x, n, None, None) for k, c in counts.items() for x, n in c.items()]
-        out += [("l", k, 1, d, p) for k, d, p in places]
+    def _rows(counts: dict[str, Counter], places: set, keyed: Counter) -> pd.DataFrame:
+        out = [(k, x, n, None, None) for k, c in counts.items() for x, n in c.items() if k != "w" or not x.isdigit()]
+        out += [("l", k, 1, d, p) for k, d, p in places] + [("k", k, n, d, None) for (k, d), n in keyed.items()]
         return pd.DataFrame(out, columns=["kind", "what", "n", "doc_id", "page_num"])
 
     return rows.select("doc_id", "page_num", "text").mapInPandas(run, "kind string, what string, n long, doc_id long, page_num long")
@@ -301,7 +333,7 @@ class Knowledge:
     """Tables the labelling looks up: misread (what -> top), compounds (pairs that keep the hyphen), lines (key, doc_id -> pages, volumes)."""
 
     def __init__(self, rows: DataFrame) -> None:
-        found = materialise(_statistics(rows).groupBy("kind", "what", "doc_id", "page_num").agg(F.sum("n").alias("n")), "p6-statistics")
+        self.found = found = materialise(_statistics(rows).groupBy("kind", "what", "doc_id", "page_num").agg(F.sum("n").alias("n")), "p6-statistics")
         words = found.filter("kind = 'w'").select("what", "n")
         pairs = found.filter("kind = 'p'").select(F.split("what", " ").alias("ab"), "n").select(F.col("ab")[0].alias("a"), F.col("ab")[1].alias("b"))
         # words put together from broken ones are looked at as words that occur nowhere else
@@ -358,10 +390,11 @@ def support(look: Lookup, doc: int) -> Callable[[str], tuple[int, int]]:
     return of
 
 
-def _each(rows: DataFrame, known: Knowledge, schema: str, make: Callable[[Text, Lookup, int, str, int], list[tuple]], keep: bool = True) -> DataFrame:
+def _each(rows: DataFrame, known: Knowledge, schema: str, make: Callable[[Text, Lookup, int, str, int], list[tuple]]) -> DataFrame:
     """Apply ``make`` to every row with what it has to look up: sent with the code if small, else joined to each row."""
     misread, compounds, lines = (small_rows(x, BOUND) for x in (known.misread, known.compounds, known.lines))
     columns = [c.split()[0] for c in schema.split(", ")]
+
     if misread is not None and compounds is not None and lines is not None:
         lookup = rows.sparkSession.sparkContext.broadcast(({r[0]: r[1] for r in misread}, {(r[0], r[1]) for r in compounds}, {(r["key"], r["doc_id"]): (r["pages"], r["volumes"]) for r in lines}, known.strong))
 
@@ -378,7 +411,7 @@ def _each(rows: DataFrame, known: Knowledge, schema: str, make: Callable[[Text,
                         if t is None:
                             t = analysed[text] = Text(text)
                         got = done[text, doc] = make(t, look, doc, "", 0)
-                    out += [(field, key, *x) for x in got] if keep else got
+                    out += [(field, key, *x) for x in got]
                 yield pd.DataFrame(out, columns=columns)
 
         return rows.select("field", "row_key", "doc_id", "text").mapInPandas(run, schema)
@@ -390,7 +423,7 @@ def _each(rows: DataFrame, known: Knowledge, schema: str, make: Callable[[Text,
             out = []
             for i, doc, text in zip(pdf["rid"], pdf["doc_id"], pdf["text"]):
                 t = Text(text)
-                out += [(i, "w", w, "", doc) for w in {*t.words(), *(a + b for a, b in t.pairs.values())}] + [(i, "p", a, b, doc) for a, b in set(t.pairs.values())] + [(i, "l", x, "", doc) for k in set(t.keys) if k for x in {k, *(strong.value[v] for v in near(k) if v in strong.value)}]
+                out += [(i, "w", w, "", doc) for w in {*t.words(), *(a + b for a, b in t.pairs.values()), *(x for p in t.pairs.values() for x in p)}] + [(i, "p", a, b, doc) for a, b in set(t.pairs.values())] + [(i, "l", x, "", doc) for k in set(t.keys) if k for x in {k, *(strong.value[v] for v in near(k) if v in strong.value)}]
             yield pd.DataFrame(out, columns=["rid", "kind", "a", "b", "doc_id"])
 
     stored = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "p6-rows")
@@ -408,7 +441,7 @@ def _each(rows: DataFrame, known: Knowledge, schema: str, make: Callable[[Text,
                 got = got if got is not None else []
                 look = ({r["a"]: r["b"] for r in got if r["kind"] == "w"}, {(r["a"], r["b"]) for r in got if r["kind"] == "p"}, {(r["a"], doc): (r["x"], r["y"]) for r in got if r["kind"] == "l"}, strong.value)
                 made = make(Text(text), look, doc, "", 0)
-                out += [(field, key, *x) for x in made] if keep else made
+                out += [(field, key, *x) for x in made]
             yield pd.DataFrame(out, columns=columns)
 
     return per_row.mapInPandas(run_joined, schema)
@@ -424,10 +457,11 @@ def noise_of(t: Text, look: Lookup, doc: int, model: Layout) -> list[tuple[str,
     labels = _labels(t, look, doc, model)
     out: list[tuple[str, int]] = [(("running_header", "page_number")[l - 1], i) for i, l in enumerate(labels) if l]
     bad: set[int] = set()
-    for i, ts in enumerate(t.tokens):
-        lo, hi = int(i - 1 in t.pairs), len(ts) - (i in t.pairs)
-        if any(w in misread for w in ts[lo:hi]):
-            bad.add(i)
+    if not misread.keys().isdisjoint(_WORD.findall(t.low)):
+        for i, ts in enumerate(t.tokens()):
+            lo, hi = int(i - 1 in t.pairs), len(ts) - (i in t.pairs)
+            if any(w in misread for w in ts[lo:hi]):
+                bad.add(i)
     for i, (a, b) in t.pairs.items():
         if labels[i]:
             continue
@@ -474,9 +508,30 @@ def _recased(was: str, word: str) -> str:
 
 def fitted(rows: DataFrame) -> tuple[Knowledge, Layout]:
     known = Knowledge(rows)
-    patterns = _each(rows, known, "pattern string", lambda t, look, doc, *_: [(_code(features(t, support(look, doc))),)], keep=False)
-    # combined per batch before the shuffle by Spark's partial aggregation
-    return known, fit_layout(materialise(patterns.groupBy("pattern").agg(F.count("*").alias("n")), "p6-patterns"))
+    # patterns of lines; those with lines that may recur get to know whether they do
+    keyed = known.found.filter("kind = 'k'").select("what", "doc_id", "n").withColumn("rid", F.monotonically_increasing_id())
+    keyed = materialise(keyed.withColumn("keys", F.split("what", "\t")), "p6-keyed")
+    strong = rows.sparkSession.sparkContext.broadcast(known.strong)
+
+    def like(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(r, d, k, next((strong.value[v] for v in near(k) if v in strong.value), k)) for r, d, ks in zip(pdf["rid"], pdf["doc_id"], pdf["keys"]) for k in {*ks[1:]} if k]
+            yield pd.DataFrame(out, columns=["rid", "doc_id", "own", "key"])
+
+    asked = keyed.select("rid", "doc_id", "keys").mapInPandas(like, "rid long, doc_id long, own string, key string")
+    met = asked.join(known.lines, ["key", "doc_id"], "left").groupBy("rid").agg(F.collect_list(F.struct("own", "key", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("volumes", F.lit(0)).alias("volumes"))).alias("met"))
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for keys, n, met in zip(pdf["keys"], pdf["n"], pdf["met"]):
+                got = {m["own"]: 3 if m["volumes"] > 1 or m["key"] != m["own"] else 2 if m["pages"] > 1 else int(m["pages"] + m["volumes"] > 0) for m in (met if met is not None else [])}
+                out.append((_code([(*x[:-1], got.get(k, 0)) for x, k in zip(_decode(keys[0]), keys[1:])]), n))
+            yield pd.DataFrame(out, columns=["pattern", "n"])
+
+    recurring = keyed.join(met, "rid", "left").select("keys", "n", "met").mapInPandas(resolve, "pattern string, n long")
+    plain = known.found.filter("kind = 'f'").select(F.col("what").alias("pattern"), "n")
+    return known, fit_layout(materialise(recurring.unionByName(plain).groupBy("pattern").agg(F.sum("n").alias("n")), "p6-patterns"))
 
 
 def noise(regions: DataFrame, aligned: DataFrame) -> DataFrame:
