@@ -1,22 +1,617 @@
-"""Queries of the core, and their DuckDB SQL."""
+"""Queries of the core over whole tables, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.operators import shred
+from palimpsest.functions import geometry as g
+from palimpsest.functions import strings as s
+from palimpsest.operators import audit, clean, consensus, markdown, matching, service, shred
 from palimpsest.plans.runtime import table
+from palimpsest.sources import documents as sources
+from palimpsest.streaming import windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+NOW = "2026-01-01 00:00:00"
+ROUND = 6
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL if there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
+def fixed(*names: str) -> list:
+    """Doubles rounded for comparison: the last bits depend on the order of operations."""
+    return [F.round(n, ROUND).alias(n) for n in names]
+
+
+# --- problem 2 --------------------------------------------------------------------------------------------------------
+
+
+@query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.log_records(table(spark, d, "job_results"))
 
 
-def _log_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: shred.log_table(table(spark, d, "job_results"), name)
+for _name in shred.TABLES:
+    QUERIES[f"p2_{_name}"] = lambda spark, d, name=_name: shred.log_table(table(spark, d, "job_results"), name)
 
+# --- geometry and cleaning --------------------------------------------------------------------------------------------
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found} | {f"p2_{name}": _log_table(name) for name in shred.TABLES}
-SQL: dict[str, str] = {}
+PAGES_SQL = "pages as (select * exclude (rn) from (select *, row_number() over (partition by doc_id, page_num order by scanned_at desc nulls last, dpi desc, width desc, height desc) rn from page_payloads where error is null and width > 0 and height > 0) where rn = 1)"
+BOXES_SQL = """box as (select region_key, doc_id, page_num, engine, engine_ord, region_ord, element_type, text_content, confidence,
+ case when element_type in ('printed_text','header','footer','page_number') then 'text' when element_type = 'table' then 'table' when element_type = 'handwriting' then 'handwriting'
+ when element_type in ('formula','chart','image','seal') then 'specialist' else element_type end as type_group,
+ coalesce(nx1, x1) x1, coalesce(ny1, y1) y1, coalesce(nx2, x2) x2, coalesce(ny2, y2) y2 from ocr_regions)"""
+PAIRS_SQL = BOXES_SQL + """, pair as (select a.region_key ak, b.region_key bk, a.engine_ord ao, b.engine_ord bo, b.engine be, b.region_ord br, a.x1 ax1, a.y1 ay1, a.x2 ax2, a.y2 ay2, b.x1 bx1, b.y1 by1, b.x2 bx2, b.y2 by2
+ from box a join box b on a.doc_id = b.doc_id and a.page_num = b.page_num and a.type_group = b.type_group and a.engine_ord < b.engine_ord and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2),
+ part as (select *, (least(ax2,bx2)-greatest(ax1,bx1))*(least(ay2,by2)-greatest(ay1,by1)) inter, (ax2-ax1)*(ay2-ay1) aa, (bx2-bx1)*(by2-by1) ba from pair),
+ scored as (select *, inter/(aa+ba-inter) iou, case when least(aa,ba) > 0 then inter/least(aa,ba) else 0.0 end cont,
+ sqrt(((ax1+ax2)/2-(bx1+bx2)/2)*((ax1+ax2)/2-(bx1+bx2)/2)+((ay1+ay2)/2-(by1+by2)/2)*((ay1+ay2)/2-(by1+by2)/2)) dist from part)"""
+
+
+@query(f"with {PAGES_SQL} select r.region_key, round(r.x1/p.width,6) ux1, round(r.y1/p.height,6) uy1, round(r.x2/p.width,6) ux2, round(r.y2/p.height,6) uy2 from ocr_regions r join pages p using (doc_id, page_num)")
+def q_unit_bbox(spark: SparkSession, d: str) -> DataFrame:
+    """P2"""
+    pages = clean.pages_in_order(table(spark, d, "page_payloads")).select("doc_id", "page_num", "width", "height")
+    joined = table(spark, d, "ocr_regions").select("region_key", "doc_id", "page_num", "x1", "y1", "x2", "y2").join(pages, ["doc_id", "page_num"])
+    return joined.select("region_key", *g.as_columns(g.to_unit(g.box(), F.col("width"), F.col("height")), "u")).select("region_key", *fixed("ux1", "uy1", "ux2", "uy2"))
+
+
+@query("select region_key, round_even(nx1*2550.0,0)::double px1, round_even(ny1*3300.0,0)::double py1, round_even(nx2*2550.0,0)::double px2, round_even(ny2*3300.0,0)::double py2 from ocr_regions where nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null")
+def q_pixel_bbox(spark: SparkSession, d: str) -> DataFrame:
+    """P3"""
+    r = table(spark, d, "ocr_regions").filter("nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null")
+    unit = {c: F.col(f"n{c}") for c in ("x1", "y1", "x2", "y2")}
+    return r.select("region_key", *g.as_columns(g.to_pixels(unit, F.lit(2550.0), F.lit(3300.0)), "p"))
+
+
+@query("select region_key, x1*300/72.0 as points_x1, (3300 - y2*300/72.0) as flipped_y1 from ocr_regions where x1 is not null")
+def q_source_bbox(spark: SparkSession, d: str) -> DataFrame:
+    """P1, unrounded"""
+    r = table(spark, d, "ocr_regions").filter("x1 is not null")
+    return r.select("region_key", (F.col("x1") * 300 / g.POINTS).alias("points_x1"), (F.lit(3300) - F.col("y2") * 300 / g.POINTS).alias("flipped_y1"))
+
+
+@query(f"with {BOXES_SQL} select region_key, type_group from box")
+def q_compat_group(spark: SparkSession, d: str) -> DataFrame:
+    """P4"""
+    return table(spark, d, "ocr_regions").select("region_key", clean.type_group(F.col("element_type")).alias("type_group"))
+
+
+@query(f"with {BOXES_SQL} select a.element_type a, b.element_type b, min(a.type_group) = min(b.type_group) as compatible from (select distinct element_type, type_group from box where element_type is not null) a, (select distinct element_type, type_group from box where element_type is not null) b group by 1, 2")
+def q_type_compatibility(spark: SparkSession, d: str) -> DataFrame:
+    """P5, over the fixed set of types"""
+    types = table(spark, d, "ocr_regions").select("element_type").filter("element_type is not null").distinct()
+    a, b = types.toDF("a"), types.toDF("b")
+    return a.join(F.broadcast(b)).select("a", "b", clean.compatible(F.col("a"), F.col("b")).alias("compatible"))
+
+
+@query(r"""select region_key, case when ny1 > 0.93 and (nx2-nx1)*(ny2-ny1) < 0.003 then 'bottom' when nx1 < 0.12 and (nx2-nx1)*(ny2-ny1) < 0.001 and regexp_matches(regexp_replace(coalesce(text_content,''), '^\s+|\s+$', '', 'g'), '^\d{1,2}\.?$') then 'margin_number' end as noise_reason from ocr_regions""")
+def q_noise_filter(spark: SparkSession, d: str) -> DataFrame:
+    """P6, P7, P8"""
+    return table(spark, d, "ocr_regions").select("region_key", clean.noise_reason().alias("noise_reason"))
+
+
+DISPATCH_SQL = "case element_type when 'handwriting' then 'trocr' when 'formula' then 'dots_formula' when 'chart' then 'dots_chart' end"
+
+
+@query(f"select region_key, {DISPATCH_SQL} as specialist from ocr_regions where element_type in ('handwriting','formula','chart')")
+def q_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """P11"""
+    return clean.dispatched(table(spark, d, "ocr_regions")).select("region_key", "specialist")
+
+
+@query(f"select doc_id, page_num, {DISPATCH_SQL} as specialist, count(*) as n from ocr_regions where element_type in ('handwriting','formula','chart') group by all")
+def q_dispatch_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A17"""
+    return clean.dispatched(table(spark, d, "ocr_regions")).groupBy("doc_id", "page_num", "specialist").agg(F.count("*").alias("n"))
+
+
+@query("select aligned_key, coalesce(hitl_flag, false) or coalesce(confidence < 0.8, false) as flagged from aligned_regions")
+def q_confidence_floor(spark: SparkSession, d: str) -> DataFrame:
+    """P12"""
+    return table(spark, d, "aligned_regions").select("aligned_key", (F.coalesce("hitl_flag", F.lit(False)) | F.coalesce(F.col("confidence") < 0.8, F.lit(False))).alias("flagged"))
+
+
+@query("select region_key, case when x1 < 2550*0.15 or x2 > 2550*0.85 then 'marginal' else 'inline' end as position from ocr_regions where element_type = 'handwriting'")
+def q_handwriting_position(spark: SparkSession, d: str) -> DataFrame:
+    """P14"""
+    return table(spark, d, "ocr_regions").filter("element_type = 'handwriting'").select("region_key", g.handwriting_position(F.col("x1"), F.col("x2"), F.lit(2550.0)).alias("position"))
+
+
+@query("select aligned_key, trunc(x1)::int cx1, trunc(y1)::int cy1, trunc(x2)::int cx2, trunc(y2)::int cy2 from aligned_regions")
+def q_crop_box(spark: SparkSession, d: str) -> DataFrame:
+    """P15"""
+    return table(spark, d, "aligned_regions").select("aligned_key", *[F.col(c).cast("int").alias(f"c{c}") for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"with {PAGES_SQL} select doc_id, page_num, (row_number() over (partition by doc_id order by page_num) - 1)::int as page_index, case when dpi < 200 then 300 else dpi end::int as dpi, least(w, h)::int as width, case when w > h then w else h end::int as height, w > h as was_rotated from (select *, floor(width * case when dpi < 200 then 300.0::double/dpi else 1.0 end) w, floor(height * case when dpi < 200 then 300.0::double/dpi else 1.0 end) h from pages)")
+def q_pages(spark: SparkSession, d: str) -> DataFrame:
+    """S2, S4, S6, P9, W7"""
+    return clean.pages_in_order(table(spark, d, "page_payloads")).select("doc_id", "page_num", F.col("page_index").cast("int").alias("page_index"), *clean.normalised_page())
+
+
+@query("select result_key, case when lower(regexp_extract(filename, '(\\.[^.]+)$', 1)) in ('.pdf','.png','.jpg','.jpeg','.tiff') then true else false end as readable, case when lower(regexp_extract(filename, '(\\.[^.]+)$', 1)) = '.pdf' then true else false end as text_layer from job_results")
+def q_format_gate(spark: SparkSession, d: str) -> DataFrame:
+    """S1, P10"""
+    return table(spark, d, "job_results").select("result_key", sources.readable(F.col("filename")).alias("readable"), sources.has_text_layer(F.col("filename")).alias("text_layer"))
+
+
+@query()
+def q_upload_check(spark: SparkSession, d: str) -> DataFrame:
+    """S22"""
+    p = table(spark, d, "page_payloads").filter("pdf is not null")
+    return p.select("doc_id", "page_num", service.upload_check(F.octet_length("pdf"), F.lit("page.pdf"), F.decode(F.substring("pdf", 1, 5), "ISO-8859-1")).alias("upload"))
+
+
+@query(f"with {BOXES_SQL}, w as (select * from box where engine = 'docling') select l.region_key from (select * from w where element_type <> 'table') l where not exists (select 1 from w t where t.element_type = 'table' and t.doc_id = l.doc_id and t.page_num = l.page_num and l.x1 < t.x2 and t.x1 < l.x2 and l.y1 < t.y2 and t.y1 < l.y2)")
+def q_table_overlap_anti(spark: SparkSession, d: str) -> DataFrame:
+    """S10"""
+    r = table(spark, d, "ocr_regions").filter("engine = 'docling'").select("region_key", "doc_id", "page_num", "element_type", *[F.coalesce(f"n{c}", c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return sources.outside_tables(r.filter("element_type <> 'table'"), r.filter("element_type = 'table'")).select("region_key")
+
+
+@query("select l.region_key, coalesce(s.score, 0.85) as score from (select * from ocr_regions where engine = 'paddleocr') l left join (select doc_id, page_num, round_even(x1,0)::bigint x1, round_even(y1,0)::bigint y1, round_even(x2,0)::bigint x2, round_even(y2,0)::bigint y2, max(confidence) score from ocr_regions where engine = 'docling' group by all) s on s.doc_id = l.doc_id and s.page_num = l.page_num and s.x1 = round_even(l.x1,0)::bigint and s.y1 = round_even(l.y1,0)::bigint and s.x2 = round_even(l.x2,0)::bigint and s.y2 = round_even(l.y2,0)::bigint")
+def q_layout_score_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Scores found by rounded box"""
+    r = table(spark, d, "ocr_regions").select("region_key", "engine", "doc_id", "page_num", "x1", "y1", "x2", "y2", "confidence")
+    scores = r.filter("engine = 'docling'").select("doc_id", "page_num", "x1", "y1", "x2", "y2", F.col("confidence").alias("score"))
+    return sources.with_scores(r.filter("engine = 'paddleocr'").drop("confidence"), scores).select("region_key", "score")
+
+
+@query("select region_key, 'r_' || lpad((row_number() over (partition by doc_id, page_num, engine order by region_ord, region_key))::varchar, 3, '0') as new_id from ocr_regions")
+def q_region_ids(spark: SparkSession, d: str) -> DataFrame:
+    """W4"""
+    return table(spark, d, "ocr_regions").select("region_key", sources.region_ids(["doc_id", "page_num", "engine"], ["region_ord", "region_key"]).alias("new_id"))
+
+
+@query("select doc_id, page_num, string_agg(text_content, ' ' order by region_ord, region_key) as text, round(avg(confidence), 6) as confidence, avg(confidence) < 0.2 as hitl from ocr_regions where engine = 'trocr' and text_content <> '' group by all")
+def q_handwriting_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """S14, S18"""
+    r = table(spark, d, "ocr_regions").filter("engine = 'trocr' and text_content <> ''")
+    got = r.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("region_ord", "region_key", "text_content"))).alias("t"), F.avg("confidence").alias("c"))
+    return got.select("doc_id", "page_num", F.array_join(F.transform("t", lambda x: x["text_content"]), " ").alias("text"), F.round("c", ROUND).alias("confidence"), (F.col("c") < 0.2).alias("hitl"))
+
+
+@query("select aligned_key, greatest(0.0, least(1.0, exp((ln(greatest(confidence, 0.0001)) + ln(0.9)) / 2))) >= 0.8 as confident from aligned_regions where confidence is not null")
+def q_line_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """S17, A24"""
+    logs = F.array(F.log(F.greatest("confidence", F.lit(0.0001))), F.log(F.lit(0.9)))
+    return table(spark, d, "aligned_regions").filter("confidence is not null").select("aligned_key", (sources.line_confidence(logs) >= 0.8).alias("confident"))
+
+
+# --- matching ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {PAIRS_SQL} select ak a_region_key, bk b_region_key, round(iou,6) iou from scored where iou >= 0.5")
+def q_iou_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """J1, J4"""
+    return matching.scored(matching.pairs(table(spark, d, "ocr_regions"))).filter("iou >= 0.5").select("a_region_key", "b_region_key", *fixed("iou"))
+
+
+@query(f"with {PAIRS_SQL} select ak a_region_key, bk b_region_key, round(dist,6) centre_distance from scored where iou > 0.05 and iou < 0.5 and dist <= 0.05")
+def q_center_rescue_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """J3, J5"""
+    return matching.scored(matching.pairs(table(spark, d, "ocr_regions"))).filter("iou > 0.05 and iou < 0.5 and centre_distance <= 0.05").select("a_region_key", "b_region_key", *fixed("centre_distance"))
+
+
+@query(f"with {PAIRS_SQL} select ak a_region_key, bk b_region_key, round(cont,6) containment from scored where cont >= 0.6")
+def q_containment_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """J2, J6, J7"""
+    return matching.scored(matching.pairs(table(spark, d, "ocr_regions"))).filter("containment >= 0.6").select("a_region_key", "b_region_key", *fixed("containment"))
+
+
+@query(f"with {PAIRS_SQL} select a_region_key, b_engine, b_region_key, round(iou,6) iou from (select ak a_region_key, be b_engine, bk b_region_key, iou, row_number() over (partition by ak, be order by iou desc, br, bk) rn from scored where iou >= 0.5) where rn = 1")
+def q_best_match(spark: SparkSession, d: str) -> DataFrame:
+    """W2, T6"""
+    return matching.best_matches(table(spark, d, "ocr_regions")).select("a_region_key", "b_engine", "b_region_key", *fixed("iou"))
+
+
+@query()
+def q_fragment_merge(spark: SparkSession, d: str) -> DataFrame:
+    """J10, T1, A2, A3"""
+    return clean.merged_fragments(clean.without_noise(table(spark, d, "ocr_regions")))
+
+
+@query()
+def q_match_groups(spark: SparkSession, d: str) -> DataFrame:
+    """J4 to J9, J11, A1, A4, A5, Q1"""
+    return matching.match_groups(clean.without_noise(table(spark, d, "ocr_regions")))
+
+
+@query()
+def q_wbf(spark: SparkSession, d: str) -> DataFrame:
+    """The fusion stage alone"""
+    return matching.match_groups(table(spark, d, "ocr_regions"), stages=(matching.by_fusion,))
+
+
+@query()
+def q_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """The clustering stage alone"""
+    return matching.match_groups(table(spark, d, "ocr_regions"), stages=(matching.by_linkage,))
+
+
+@query()
+def q_resolution_rate(spark: SparkSession, d: str) -> DataFrame:
+    """A20"""
+    return matching.resolution(matching.match_groups(clean.without_noise(table(spark, d, "ocr_regions"))))
+
+
+@query("select doc_id, page_num, region_id, round(avg(x1),6) x1, round(avg(y1),6) y1, round(avg(x2),6) x2, round(avg(y2),6) y2, count(*) n from ocr_regions group by doc_id, page_num, region_id")
+def q_avg_bbox(spark: SparkSession, d: str) -> DataFrame:
+    """A1"""
+    return table(spark, d, "ocr_regions").groupBy("doc_id", "page_num", "region_id").agg(*[F.round(F.avg(c), ROUND).alias(c) for c in ("x1", "y1", "x2", "y2")], F.count("*").alias("n"))
+
+
+WEIGHT_SQL = "case engine when 'pdfplumber' then 3.0 when 'trocr' then 2.0 else 1.0 end::double"
+
+
+@query(f"select doc_id, page_num, region_id, round(sum(x1*{WEIGHT_SQL})/sum({WEIGHT_SQL}),6) x1, round(sum(y2*{WEIGHT_SQL})/sum({WEIGHT_SQL}),6) y2 from ocr_regions group by doc_id, page_num, region_id")
+def q_fused_box(spark: SparkSession, d: str) -> DataFrame:
+    """A12, A9"""
+    w = F.coalesce(clean.lookup({k: str(v) for k, v in matching.FUSION_WEIGHTS.items()}, F.col("engine")).cast("double"), F.lit(1.0))
+    return table(spark, d, "ocr_regions").groupBy("doc_id", "page_num", "region_id").agg(*[F.round(F.sum(F.col(c) * w) / F.sum(w), ROUND).alias(c) for c in ("x1", "y2")])
+
+
+# --- texts and decisions ----------------------------------------------------------------------------------------------
+
+READINGS_SQL = "r as (select aligned_key, list_filter(engine_texts, lambda e: e.engine is not null and e.text is not null) e from aligned_regions where engine_texts is not null)"
+
+
+@query()
+def q_resolve_region(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of a document with a text layer counts as ground truth"""
+    aligned = table(spark, d, "aligned_regions")
+    return consensus.resolve(aligned, truth=F.exists("engine_texts", lambda e: e["engine"] == "pdfplumber")).select("aligned_key", "source", "resolved_text", *fixed("ce", "agreement"), "needs_arbitration")
+
+
+@query(f"with {READINGS_SQL} select aligned_key, len(e)::int as engines, len(list_distinct(list_transform(e, lambda x: x.text)))::int as texts, len(list_distinct(list_transform(e, lambda x: x.text))) = 1 as identical from r")
+def q_distinct_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A22, U4"""
+    e = F.filter("engine_texts", lambda x: x["engine"].isNotNull() & x["text"].isNotNull())
+    n = F.size(F.array_distinct(F.transform(e, lambda x: x["text"])))
+    return table(spark, d, "aligned_regions").filter("engine_texts is not null").select("aligned_key", F.size(e).alias("engines"), n.alias("texts"), (n == 1).alias("identical"))
+
+
+@query()
+def q_nw_align(spark: SparkSession, d: str) -> DataFrame:
+    """consensus against the first reading that differs"""
+    r = table(spark, d, "aligned_regions").select("aligned_key", "consensus_text", F.get(F.filter("engine_texts", lambda e: e["text"] != F.col("consensus_text")), F.lit(0))["text"].alias("other"))
+    got = r.filter("consensus_text is not null and other is not null").select("aligned_key", s.aligned_pair("consensus_text", "other").alias("p"))
+    gaps = lambda c: F.length(c) - F.length(F.replace(c, F.lit(s.GAP), F.lit("")))
+    return got.select("aligned_key", F.length("p.a").alias("columns"), gaps(F.col("p.a")).alias("gaps_a"), gaps(F.col("p.b")).alias("gaps_b"))
+
+
+@query()
+def q_quality_check(spark: SparkSession, d: str) -> DataFrame:
+    """The text layer of a page against the layout recogniser"""
+    r = table(spark, d, "ocr_regions").filter(F.col("engine").isin("pdfplumber", "paddleocr") & (s.strip(F.col("text_content")) != ""))
+    both = r.groupBy("doc_id", "page_num", "engine").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_ord", "region_key", "text_content"))), lambda x: x["text_content"]), " ").alias("t"))
+    page = both.groupBy("doc_id", "page_num").agg(F.max(F.when(F.col("engine") == "pdfplumber", F.col("t"))).alias("layer"), F.coalesce(F.max(F.when(F.col("engine") == "paddleocr", F.col("t"))), F.lit("")).alias("read"))
+    ratio = F.round(s.indel_similarity("layer", "read"), 4)
+    return page.select("doc_id", "page_num", F.coalesce(ratio, F.lit(0.0)).alias("similarity"), F.when(F.col("layer").isNull(), "no_pdfplumber_text").when(ratio > 0.9, "agreement").otherwise("disagreement").alias("reason"))
+
+
+TEXTS_SQL = "list_transform(e, lambda x: x.text)"
+
+
+@query("select aligned_key, exists(select 1 from unnest(list_transform(engine_texts, lambda x: x.text)) u(t) where t is not null and levenshtein(regexp_replace(consensus_text, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(t, '[^\\x00-\\x7F]', '?', 'g')) <= 3) as near from aligned_regions where consensus_text is not null and engine_texts is not null")
+def q_edit_distance(spark: SparkSession, d: str) -> DataFrame:
+    """F2, on texts folded to ASCII"""
+    fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    r = table(spark, d, "aligned_regions").filter("consensus_text is not null and engine_texts is not null")
+    texts = F.filter(F.transform("engine_texts", lambda e: fold(e["text"])), lambda t: t.isNotNull())
+    return r.select("aligned_key", F.coalesce(s.within_edits(fold(F.col("consensus_text")), texts, 3), F.lit(False)).alias("near"))
+
+
+@query("select aligned_key, len(list_filter(range(1, greatest(length(consensus_text) - 4, 1)), lambda i: length(consensus_text) >= 6 and not list_bool_or(list_transform(list_filter(engine_texts, lambda e: e.text is not null), lambda e: contains(e.text, substring(consensus_text, i, 6)))))) > 0 as inserted from aligned_regions where consensus_text is not null and len(list_filter(engine_texts, lambda e: e.text is not null)) > 0")
+def q_consecutive_insertion(spark: SparkSession, d: str) -> DataFrame:
+    """F3"""
+    texts = F.filter(F.transform("engine_texts", lambda e: e["text"]), lambda t: t.isNotNull())
+    r = table(spark, d, "aligned_regions").withColumn("texts", texts).filter("consensus_text is not null and size(texts) > 0")
+    return r.select("aligned_key", s.inserts_run(F.col("consensus_text"), F.col("texts")).alias("inserted"))
+
+
+@query(r"select region_key, len(regexp_extract_all(text_content, '\$[\d,]+(?:\.\d{2})?'))::int as dollar_amount, len(regexp_extract_all(text_content, '\d{1,2}/\d{1,2}/\d{2,4}'))::int as date_mdy_slash, len(regexp_extract_all(text_content, '\d+(?:\.\d+)?%'))::int as percentage from ocr_regions where text_content is not null")
+def q_legal_fields(spark: SparkSession, d: str) -> DataFrame:
+    """F4"""
+    return table(spark, d, "ocr_regions").filter("text_content is not null").select("region_key", *[F.size(s.legal_values(F.col("text_content"), f)).alias(f) for f in ("dollar_amount", "date_mdy_slash", "percentage")])
+
+
+@query()
+def q_novel_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Legal values of the consensus that no reading has"""
+    texts = F.filter(F.transform("engine_texts", lambda e: e["text"]), lambda t: t.isNotNull())
+    r = table(spark, d, "aligned_regions").filter("consensus_text is not null and engine_texts is not null").withColumn("texts", texts)
+    return r.select("aligned_key", s.invented_values(F.col("consensus_text"), F.col("texts")).alias("warnings")).filter(F.size("warnings") > 0)
+
+
+@query()
+def q_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The stored consensus taken as an arbiter's answer; handwriting allows five edits"""
+    texts = F.filter(F.transform("engine_texts", lambda e: e["text"]), lambda t: t.isNotNull())
+    r = table(spark, d, "aligned_regions").withColumn("texts", texts).filter("source = 'arbitration'")
+    v = F.when(F.col("element_type") == "handwriting", s.verdict(F.col("consensus_text"), F.col("texts"), 5)).otherwise(s.verdict(F.col("consensus_text"), F.col("texts")))
+    return r.select("aligned_key", v.alias("v")).select("aligned_key", "v.*")
+
+
+@query()
+def q_arbitrate(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of high disagreement, the stored consensus as the arbiter's answer"""
+    aligned = table(spark, d, "aligned_regions")
+    texts = F.filter(F.transform("engine_texts", lambda e: e["text"]), lambda t: t.isNotNull())
+    verdicts = aligned.filter("consensus_text is not null and engine_texts is not null").select("aligned_key", s.verdict(F.col("consensus_text"), texts).alias("verdict"))
+    return consensus.arbitrated(consensus.resolve(aligned), verdicts)
+
+
+@query(f"with {READINGS_SQL} select aligned_key, array_to_string(list_transform(list_sort(e), lambda x, i: 'Candidate ' || chr((64 + i)::int) || ': ' || x.text), chr(10)) as block from r")
+def q_anon_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """W5, F18"""
+    e = F.filter("engine_texts", lambda x: x["engine"].isNotNull() & x["text"].isNotNull())
+    return table(spark, d, "aligned_regions").filter("engine_texts is not null").select("aligned_key", s.candidate_block(s.anonymous(e)).alias("block"))
+
+
+# --- Markdown ---------------------------------------------------------------------------------------------------------
+
+ORDER_SQL = "row_number() over (partition by doc_id, page_num order by coalesce(try_cast(metadata['hierarchy_level'] as double), 'inf'::double), y1 nulls last, x1 nulls last, aligned_key)"
+# every kind that is printed; tables and unusual metadata are rendered by the same rules
+MD_SQL = f"""md as (select *, {ORDER_SQL} as rank, case when element_type in ('footer','page_number','seal','image') then '' when coalesce(hitl_flag, false) then
+ case when content = '' then note else content || chr(10) || note end else content end as md from (select *,
+ '<!-- HITL: [' || x1::varchar || ',' || y1::varchar || ',' || x2::varchar || ',' || y2::varchar || '] page=' || page_num || ' confidence=' || printf('%.2f', coalesce(confidence, 0.0)) || ' -->' as note,
+ case element_type when 'table' then table_md when 'header' then repeat('#', greatest(1, least(6, coalesce(try_cast(metadata['hierarchy_level'] as int), 2)))) || ' ' || t
+ when 'formula' then case when t = '' then '[Formula: unreadable, see page ' || (page_num + 1) || ']' when contains(t, chr(10)) or length(t) > 80 then '$$' || t || '$$' else '$' || t || '$' end
+ when 'chart' then case when coalesce(metadata['svg_content'], '') <> '' then metadata['svg_content'] else '[Chart: extraction failed, see page ' || (page_num + 1) || ']' end
+ when 'handwriting' then case when x1 < 2550*0.15 or x2 > 2550*0.85 then '*[Margin note: ' || t || ']* <!-- handwritten-margin [' || x1::varchar || ',' || y1::varchar || ',' || x2::varchar || ',' || y2::varchar || '] -->' else '*' || t || '* <!-- handwritten -->' end
+ else t end as content from (select *, coalesce(consensus_text, '') t,
+ case when metadata['table_markdown'] is not null then metadata['table_markdown'] when len(rows) = 0 then '' else
+ array_to_string(list_transform(rows, lambda r, i: '| ' || array_to_string(list_transform(string_split(r, chr(9)), lambda c: trim(c)), ' | ') || ' |' || case when i = 1 then chr(10) || '| --- |' else '' end), chr(10)) end as table_md
+ from (select *, list_filter(string_split(coalesce(consensus_text, ''), chr(10)), lambda r: trim(r) <> '') as rows from aligned_regions))))"""
+
+
+@query(f"with o as (select aligned_key, {ORDER_SQL}::int as rank from aligned_regions) select * from o")
+def q_reading_order(spark: SparkSession, d: str) -> DataFrame:
+    """W1, T3"""
+    return table(spark, d, "aligned_regions").select("aligned_key", markdown.reading_order().alias("rank"))
+
+
+@query(f"with {MD_SQL} select aligned_key, md from md")
+def q_region_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """F8 to F16, P13"""
+    return table(spark, d, "aligned_regions").select("aligned_key", markdown.region_markdown().alias("md"))
+
+
+@query(f"with {MD_SQL} select doc_id, page_num, string_agg(md, chr(10) || chr(10) order by rank) as page_markdown from md where md <> '' group by doc_id, page_num")
+def q_page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """F17"""
+    return markdown.pages(table(spark, d, "aligned_regions"))
+
+
+@query(f"with h as (select *, {ORDER_SQL} as rank from aligned_regions) select doc_id, consensus_text as title from (select *, row_number() over (partition by doc_id order by page_num, rank) rn from h where element_type = 'header' and consensus_text <> '') where rn = 1")
+def q_title(spark: SparkSession, d: str) -> DataFrame:
+    """W6"""
+    return markdown.titles(table(spark, d, "aligned_regions"))
+
+
+@query()
+def q_document_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """K1, D5"""
+    return markdown.documents(table(spark, d, "aligned_regions"), "2026-01-01T00:00:00Z")
+
+
+@query()
+def q_pipe_table(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of bar-separated text"""
+    r = table(spark, d, "ocr_regions").filter("element_type = 'table' and text_content is not null")
+    md = s.pipe_table(F.col("text_content"), r" ?\| ?")
+    return r.select("region_key", md.alias("md")).select("region_key", "md", sources.table_shape(F.col("md")).alias("shape")).select("region_key", "md", "shape.*")
+
+
+@query("select region_key, '<g></g>' || text_content as svg from ocr_regions where element_type = 'chart' and text_content is not null")
+def q_svg_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    """F8: charts with a script and a handler put in"""
+    r = table(spark, d, "ocr_regions").filter("element_type = 'chart' and text_content is not null")
+    return r.select("region_key", s.clean_svg(F.concat(F.lit('<g onclick="x()"><script>y()</script></g>'), "text_content")).alias("svg"))
+
+
+@query("select region_key, regexp_replace(text_content, '\\s', '', 'g') <> '' and ((length(text_content) - length(replace(text_content, '$$', ''))) / 2) % 2 = 0 and (length(replace(text_content, '$$', '')) - length(replace(text_content, '$', '')) - (length(text_content) - length(replace(text_content, '$$', ''))) * 0) % 1 = 0 and (length(replace(text_content, '$$', '')) - length(replace(replace(text_content, '$$', ''), '$', ''))) % 2 = 0 as valid from ocr_regions where element_type = 'formula' and text_content is not null")
+def q_latex_valid(spark: SparkSession, d: str) -> DataFrame:
+    """S19, S20"""
+    return table(spark, d, "ocr_regions").filter("element_type = 'formula' and text_content is not null").select("region_key", s.latex_valid(F.col("text_content")).alias("valid"))
+
+
+# --- audit ------------------------------------------------------------------------------------------------------------
+
+PAGE_LOG_SQL = "page_log as (select doc_id, page_num, count(*) region_count, count(*) filter (source = 'arbitration') llm_count, count(*) filter (coalesce(hitl_flag, false)) hitl_count from aligned_regions group by doc_id, page_num)"
+
+
+@query(f"with {PAGE_LOG_SQL} select * from page_log")
+def q_page_log(spark: SparkSession, d: str) -> DataFrame:
+    """A14, A26"""
+    return audit.page_log(table(spark, d, "aligned_regions"))
+
+
+@query(f"with {PAGE_LOG_SQL} select doc_id, count(*) pages, sum(region_count)::bigint regions, sum(llm_count)::bigint llm_count, sum(hitl_count)::bigint hitl_count, round(sum(llm_count)/greatest(1, sum(region_count)), 6) llm_rate from page_log group by doc_id")
+def q_job_log(spark: SparkSession, d: str) -> DataFrame:
+    """A15"""
+    return audit.job_log(table(spark, d, "aligned_regions")).withColumn("llm_rate", F.round("llm_rate", ROUND))
+
+
+def _costs(spark: SparkSession, d: str) -> DataFrame:
+    return audit.page_costs(shred.log_table(table(spark, d, "job_results"), "engine_durations"))
+
+
+@query()
+def q_page_cost(spark: SparkSession, d: str) -> DataFrame:
+    """A16"""
+    return _costs(spark, d)
+
+
+@query()
+def q_budget_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Pages within a budget of 0.002 dollars a job"""
+    return audit.within_budget(_costs(spark, d), 2_000_000)
+
+
+@query("with t as (select user_id, sum(round(value*100)::bigint)::bigint cents from events group by user_id) select user_id::varchar key_hash, cents/100 spent_usd, 1000.0::double budget_usd, cents/100 >= 1000 exceeded from t where cents/100 >= 800")
+def q_cost_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """P16, P17, P18"""
+    totals = service.spend_totals(service.spend_buckets(table(spark, d, "events")))
+    spent = totals.select(F.col("key_id").cast("string").alias("key_hash"), (F.col("cents") / 100).alias("spent_usd"), F.lit(1000.0).alias("budget_usd"))
+    return audit.alerts(spent).drop("message")
+
+
+@query("select c.aligned_key, round(levenshtein(regexp_replace(e.text, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(c.consensus_text, '[^\\x00-\\x7F]', '?', 'g')) / greatest(length(c.consensus_text), 1), 6) as cer, e.engine from aligned_regions c, unnest(engine_texts) u(e) where c.consensus_text is not null and e.text is not null")
+def q_cer(spark: SparkSession, d: str) -> DataFrame:
+    """Each reading against the consensus, folded to ASCII"""
+    fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    r = table(spark, d, "aligned_regions").filter("consensus_text is not null").select("aligned_key", "consensus_text", F.explode("engine_texts").alias("e")).filter("e.text is not null")
+    return r.select("aligned_key", F.round(audit.character_errors(fold(F.col("e.text")), fold(F.col("consensus_text"))), ROUND).alias("cer"), F.col("e.engine").alias("engine"))
+
+
+def _regressions(spark: SparkSession, d: str) -> DataFrame:
+    by_engine = q_cer(spark, d).groupBy(F.col("engine").alias("benchmark")).agg(F.avg("cer").alias("value")).withColumn("metric", F.lit("cer"))
+    limits = spark.createDataFrame([(e, "cer", 0.002) for e in consensus.ENGINE_ORDER], "benchmark string, metric string, limit double")
+    return audit.regressions(by_engine, limits)
+
+
+@query()
+def q_baseline_check(spark: SparkSession, d: str) -> DataFrame:
+    """Engines whose mean error rate is above a limit"""
+    return _regressions(spark, d).select("benchmark", "metric", *fixed("value", "limit"))
+
+
+@query()
+def q_regression_report(spark: SparkSession, d: str) -> DataFrame:
+    """K6"""
+    return audit.regression_report(_regressions(spark, d))
+
+
+# --- service ----------------------------------------------------------------------------------------------------------
+
+BUCKETS_SQL = "buckets as (select user_id key_id, strftime(ts, '%Y%m%d%H') bucket, sum(round(value*100)::bigint)::bigint cents from events group by all)"
+
+
+@query(f"with {BUCKETS_SQL} select * from buckets")
+def q_spend_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """A19, D1"""
+    return service.spend_buckets(table(spark, d, "events"))
+
+
+@query(f"with {BUCKETS_SQL} select key_id, sum(cents)::bigint cents from buckets group by key_id")
+def q_spend_total(spark: SparkSession, d: str) -> DataFrame:
+    """A18"""
+    return service.spend_totals(service.spend_buckets(table(spark, d, "events")))
+
+
+@query(f"with {BUCKETS_SQL}, t as (select key_id, sum(cents)::bigint cents from buckets group by key_id), k as (select c_custkey key_id, c_acctbal > 0 active, greatest(0, round(c_acctbal)::bigint * 100) budget_cents from customer) select coalesce(t.key_id, k.key_id) key_id, coalesce(cents, 0) cents, case when active is null then 'missing_key' when not active then 'inactive' when coalesce(cents, 0) >= budget_cents then 'budget_exhausted' else 'ok' end status from t full join k on t.key_id = k.key_id")
+def q_key_status(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as keys"""
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("key_id"), (F.col("c_acctbal") > 0).alias("active"), F.greatest(F.lit(0), F.round("c_acctbal").cast("long") * 100).alias("budget_cents"))
+    return service.key_status(keys, service.spend_totals(service.spend_buckets(table(spark, d, "events"))))
+
+
+@query("select o_custkey key_id, (arg_max(round(o_totalprice)::bigint, struct_pack(a := o_orderdate, b := o_orderkey))) budget_cents, true active from orders group by o_custkey")
+def q_key_registration(spark: SparkSession, d: str) -> DataFrame:
+    """P25, K3: the latest order of a customer as the latest registration of a key"""
+    keys = table(spark, d, "orders").select(F.col("o_custkey").alias("key_id"), F.round("o_totalprice").cast("long").alias("budget_cents"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return service.registered(keys)
+
+
+@query(f"with {BUCKETS_SQL}, m as (select max(ts) m from events) select b.* from buckets b, m where strptime(bucket, '%Y%m%d%H') < timestamp '2024-01-20 00:00:00' - interval 7 days")
+def q_purge_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """D2, D4"""
+    return service.expired_buckets(service.spend_buckets(table(spark, d, "events")), "2024-01-20 00:00:00", 7)
+
+
+@query(f"select result_key from job_results where received_at is null or received_at < timestamp '{NOW}' - interval 30 days")
+def q_purge_entries(spark: SparkSession, d: str) -> DataFrame:
+    """D3"""
+    e = table(spark, d, "job_results").select("result_key", F.col("received_at").alias("created_at"), F.lit("dict").alias("entry_kind"))
+    return service.expired_entries(e, NOW).select("result_key")
+
+
+@query("select event_id, user_id, n::int n, (60 - second(ts))::int retry_after_s from (select *, row_number() over (partition by user_id, date_trunc('minute', ts) order by ts, event_id) n from events) where n > 1")
+def q_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Second and further requests of a key in a minute"""
+    return service.rate_limited(table(spark, d, "events"), 1)
+
+
+@query("select job_id, deliveries, result_key, doc_id, api_key_hash from (select *, count(*) over (partition by job_id) deliveries, row_number() over (partition by job_id order by received_at desc nulls last, result_key desc) rn from job_results) where rn = 1")
+def q_latest_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """R4, K3, C12"""
+    return service.latest_jobs(table(spark, d, "job_results"))
+
+
+@query("select job_id, case when min(received_at) <= timestamp '2025-07-01 00:00:00' then 'completed' else 'processing' end status from job_results group by job_id having min(submitted_at) <= timestamp '2025-07-01 00:00:00'")
+def q_job_status(spark: SparkSession, d: str) -> DataFrame:
+    """C7, R4"""
+    return service.job_status(table(spark, d, "job_results"), "2025-07-01 00:00:00")
+
+
+@query("select result_key, job_id, 'completed' status, coalesce(try_cast(metadata['page_count'] as int), 0) page_count, coalesce(try_cast(metadata['total_page_count'] as int), 0) total_page_count, coalesce(filename, '') filename from job_results")
+def q_webhook_summary(spark: SparkSession, d: str) -> DataFrame:
+    """M5, M8"""
+    return service.webhook_summary(table(spark, d, "job_results"))
+
+
+@query()
+def q_webhook_signature(spark: SparkSession, d: str) -> DataFrame:
+    """K2, K4, M6, M7"""
+    body = F.to_json(F.struct("result_key", "job_id", "status", "page_count", "total_page_count", "filename"))
+    return service.webhook_summary(table(spark, d, "job_results")).select("result_key", body.alias("body")).withColumn("signature", service.signature("secret")(F.col("body")))
+
+
+@query("select result_key, job_id, case when api_key_hash is null then 404 when api_key_hash <> sha256('key_1') then 403 else 200 end::int as code from job_results")
+def q_ownership(spark: SparkSession, d: str) -> DataFrame:
+    """P20"""
+    return table(spark, d, "job_results").select("result_key", "job_id", service.owned(None, F.sha2(F.lit("key_1"), 256)).alias("code"))
+
+
+@query()
+def q_callback_check(spark: SparkSession, d: str) -> DataFrame:
+    """An address per customer, in turn good and bad in every way"""
+    kinds = ["https://hooks.example.org/", "http://hooks.example.org/", "https://10.0.0.1/", "https://u:p@hooks.example.org/", "https://hooks.example.org:8443/", "https://hooks.example.org:443/", "https://192.168.1.1/"]
+    url = F.concat(F.get(F.array(*map(F.lit, kinds)), (F.col("c_custkey") % len(kinds)).cast("int")), F.col("c_custkey").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", url.alias("url"), service.callback_check(url).alias("check"))
+
+
+@query("select job_id, count(*) regions, count(*) filter (status = 'pending') pending, count(*) filter (status = 'reviewed') reviewed, count(*) filter (status = 'partial') as \"partial\" from hitl_regions group by job_id")
+def q_hitl_queue(spark: SparkSession, d: str) -> DataFrame:
+    """C6"""
+    return service.review_queue(table(spark, d, "hitl_regions"))
+
+
+@query("select hitl_key, job_id, coalesce(corrected_text, consensus_text) as text, corrected_text is not null as was_corrected from hitl_regions")
+def q_hitl_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """J14"""
+    return service.corrected(table(spark, d, "hitl_regions"))
+
+
+@query(f"with {BUCKETS_SQL} select * from buckets")
+def q_stream_spend_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """The state of the stream after all events"""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.run_complete(windows.hourly_spend(events), "stream_spend_hourly")
+
+
+@query("select minute, user_id, requests from (select user_id, date_trunc('minute', ts) as minute, count(*) requests from events group by all) where requests > 1")
+def q_stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """R3 as a stream: minutes of more than one request of a key"""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = windows.run_complete(windows.requests_per_minute(events, 1), "stream_rate_limit")
+    return got.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
