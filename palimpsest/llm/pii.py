@@ -110,7 +110,7 @@ _UNIT = r"(?:,\s+(?:Unit|Apt|Apartment|Suite|Flat|Floor|Room)\b\.?\s*\w{1,5})"
 _ENGLISH = re.compile(rf"(?<![\w.,/$£€-])\d{{1,4}}\s?[A-Z]?\s(?:{_W}\s){{1,3}}?{_STREET}{_UNIT}?(?:,\s+{_TOWN}(?:,?\s\d{{5}}(?!\d))?)?")
 _FRENCH = re.compile(rf"(?<![\w.,/$£€-])\d{{1,4}}(?:,?\s(?:bis|ter|quater))?,?\s(?:rue|place|avenue|quai|chemin|boulevard|allée|impasse|cours|route)(?:\s(?:de\sla|de\sl['’]|des|du|de|d['’]))?\s?{_W}(?:,\s+\d{{5}}\s+{_W}(?:-[{LOW}]+-{_W})?)?")
 _GERMAN = re.compile(rf"(?:(?:Am|An\sder|Im|Zum|Zur|Auf\sdem|Hinter\sdem)\s{_W}|(?:(?:Alte[rn]?|Neue[rn]?|Kleine[rn]?|Große[rn]?|Obere[rn]?|Untere[rn]?|Lange[rn]?)\s)?[{UP}][{LOW}]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|markt|graben|steig)|[{UP}][{LOW}]+(?:er|e|en)?\s(?:Straße|Strasse|Weg|Gasse|Platz|Allee|Ufer|Markt))\s\d{{1,4}}(?:\s?[a-z]\b)?(?:,\s+\d{{5}}\s+{_TOWN})?")
-_STREET_HINT = re.compile(rf"\b{_STREET}|\b(?:Am|An\sder|Im|Zum|Zur)\s[{UP}]\w+\s\d|\b(?:rue|place|avenue|quai|chemin|boulevard|allée|impasse|cours|route)\b|(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|markt|graben|steig|Straße|Strasse|Weg|Gasse|Platz)\s\d")
+_GERMAN_HINTS = ("straße", "Straße", "strasse", "Strasse", "str.", "weg", "Weg", "gasse", "Gasse", "platz", "Platz", "allee", "ufer", "Ufer", "damm", "ring", "markt", "Markt", "graben", "steig", "Am ", "An der ", "Im ", "Zum ", "Zur ", "Auf dem ", "Hinter dem ")
 
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Capt|Captain|Col|Rev|Herrn?|Frau|Hr|Fr|M|Mme|Mlle|Sr|Sra|Don|Doña|Madame|Monsieur|Sir|Lady)\b\.?"
 _TOKEN = rf"(?:[{UP}]\.(?![{LOW}])|[{UP}][{UP}{LOW}]*(?:['’][{UP}][{UP}{LOW}]+)?(?:-\s?[{UP}][{UP}{LOW}'’]+)*)"
@@ -120,6 +120,7 @@ _PART = re.compile(rf"{_TOKEN}")
 BEFORE = rf"(?:{_TITLE}|signed,?|witness:?|zeuge|zeugin|born\sas|i,|heirs\sof\sthe\slate|the\slate|tenant|executor|letters\sfor|claim\sof|against|niece|nephew|entered\sfor|contact|écrire\sà|sich\san|bei|de|by|both|and|[\w:]\s\||\n|\(|confirmed\sby|checked\swith)\s*$"
 AFTER_FIRM = re.compile(r"\s*(?:&|and\sSons|et\sFils|und\sSöhne|[\w-]*\s?(?:Foundation|Institute|Trust|Co\b|Company|Ltd|Inc|Shipping|Savings|Bank|Bros|Sons|Council|Society|Press|Street|St\b|Road|Rd\b|Lane|Row|Avenue|Ave\b|Court|Hill|Place|Square))")
 _BEFORE = re.compile(BEFORE, re.I)
+_TITLE_END, _TITLE_START = re.compile(rf"(?<!\w){_TITLE}\s*$"), re.compile(rf"{_TITLE}\s")
 
 
 def _shape(text: str) -> str:
@@ -146,12 +147,12 @@ def candidates(t: str) -> list[tuple[str, int, int, list[int]]]:
             out.append(("email", m.start(), m.end(), [int(len(labels) > 1), int(labels[-1].isalpha() and len(labels[-1]) > 1), int(any(c.isalpha() for c in local)), 0 if domain[0].isdigit() else ABSTAIN, int(not local.startswith("."))]))
     if not any(c in t for c in "0123456789"):
         return out
-    if _STREET_HINT.search(t):
-        for pattern in (_ENGLISH, _FRENCH, _GERMAN):
-            for m in pattern.finditer(t):
-                s = m[0]
-                before = t[max(0, m.start() - 16) : m.start()]
-                out.append(("address", m.start(), m.end(), [1, int("," in s) or ABSTAIN, 0 if _OTHER_WORDS.search(before) else ABSTAIN, 1 if re.search(r"\d{5}", s) else ABSTAIN, 1 if re.search(r"(?:in|at|of|\||à|demeurant|haus|,|residing|live)\s*$", before, re.I) else ABSTAIN]))
+    # the first two begin at a figure and cost little
+    for pattern in (_ENGLISH, _FRENCH, _GERMAN) if any(h in t for h in _GERMAN_HINTS) else (_ENGLISH, _FRENCH):
+        for m in pattern.finditer(t):
+            s = m[0]
+            before = t[max(0, m.start() - 16) : m.start()]
+            out.append(("address", m.start(), m.end(), [1, int("," in s) or ABSTAIN, 0 if _OTHER_WORDS.search(before) else ABSTAIN, 1 if re.search(r"\d{5}", s) else ABSTAIN, 1 if re.search(r"(?:in|at|of|\||à|demeurant|haus|,|residing|live)\s*$", before, re.I) else ABSTAIN]))
     for m in _NUMBER.finditer(t):
         s = m[0]
         core = re.split(r",?\s+(?:ext|Ext|x|Durchwahl|poste)\b", s)[0]
@@ -174,13 +175,13 @@ def runs(t: str) -> list[Run]:
     out: list[Run] = []
     for m in _RUN.finditer(t):
         s = m[0]
+        before = t[max(0, m.start() - 24) : m.start()]
+        if " " not in s and "\n" not in s and not (before[-2:-1] == "." and _TITLE_END.search(before)):
+            continue  # one word, and no title before it
         tokens = [(x[0], m.start() + x.start(), m.start() + x.end()) for x in _PART.finditer(s)]
         if len(tokens) > 6 and s.isupper():
             continue
-        before = t[max(0, m.start() - 24) : m.start()]
-        trigger = bool(_BEFORE.search(before)) or bool(re.match(rf"{_TITLE}\s", s))
-        if len(tokens) < 2 and not re.search(rf"(?<!\w){_TITLE}\s*$", before):
-            continue
+        trigger = bool(_BEFORE.search(before)) or bool(_TITLE_START.match(s))
         out.append((m.start(), m.end(), tokens, 1 if trigger else ABSTAIN, 0 if AFTER_FIRM.match(t, m.end()) else ABSTAIN))
     return out
 
