@@ -116,7 +116,7 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
             members[x] = [y for y in xs if len(y) == 1]
     alike = lambda c: members.get(c, [c])
     bases = {y for c in seen if ud.category(c)[0] == "L" for y in [c, *alike(c)]}
-    marks = {y for c in seen for y in [c, *alike(c)] if ud.combining(y)}
+    marks = {y for c in seen for x in ud.normalize("NFD", c) for y in [x, *alike(x)] if ud.combining(y)}
     composed = {c for c in seen if ud.normalize("NFD", c) != c and not ud.decomposition(c).startswith("<") and not 0xAC00 <= ord(c) <= 0xD7A3}
     composed |= {x for b in bases for m in marks if len(x := ud.normalize("NFC", b + m)) == 1}
     for x in sorted(composed):

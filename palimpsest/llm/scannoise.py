@@ -324,7 +324,7 @@ def _with_skeletons(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [skeletons(w) for w in pdf["what"]]
-            yield pdf.assign(s1=[a for a, _ in found], s2=[b for _, b in found])
+            yield pdf.assign(s1=pd.Series([a for a, _ in found], dtype=object, index=pdf.index), s2=pd.Series([b for _, b in found], dtype=object, index=pdf.index))
 
     return words.mapInPandas(run, "what string, n long, s1 string, s2 string")
 
@@ -499,7 +499,7 @@ def paragraphs_of(t: Text, look: Lookup, doc: int, model: Layout) -> list[str]:
             held = ""
         else:
             held += " "
-    return [p for p in [*out, _WORD.sub(fix, held)] if p.strip()]
+    return [p.strip() for p in [*out, _WORD.sub(fix, held)] if p.strip()]
 
 
 def _recased(was: str, word: str) -> str:

@@ -135,8 +135,9 @@ def _kinds(f: str, signs: str) -> Column:
         closed = F.when(i == 0, True).otherwise(before["ends"] | (F.get(signs, i - 1) > 0) | (before["edge"] & _has(before["t"], r"^\D{0,6}\d{1,4}\D{0,3}$")))
         number = s["edge"] & _has(s["t"], r"^\s*(?:Page |Seite |[-–—] ?)?\d{1,4}(?: ?[-–—])?\s*$")
         # an early break doesn't count where what follows breaks the run anyway
-        broken = F.coalesce(after["none"] | (F.get(signs, i + 1) > 0), F.lit(False))
-        unit = number | (own == 3) | ((own == 2) & closed) | ((own == 1) & ((i == 0) | ~broken)) | ((i == 0) & ~s["ends"] & _bare(s["t"]) & after.isNull())
+        rule = F.coalesce(after["none"], F.lit(False))
+        broken = F.coalesce(F.get(signs, i + 1) > 0, F.lit(False))
+        unit = number | (own == 3) | ((own == 2) & closed & ~rule) | ((own == 1) & ~rule & ((i == 0) | ~broken)) | ((i == 0) & ~s["ends"] & _bare(s["t"]) & after.isNull())
         return F.when(s["none"], 3).when(unit, F.when(closed & ~F.coalesce(before["none"], F.lit(False)), 1).otherwise(2)).otherwise(0)
 
     return F.transform(f, kind)
@@ -145,7 +146,7 @@ def _kinds(f: str, signs: str) -> Column:
 def _dots() -> str:
     """Dots that end no sentence: of initials and abbreviations, of an ellipsis that goes on, of a day before its month."""
     before = lambda what: rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{what})\.)"
-    return rf"\.(?=\s)(?<![a-z]{{5}}\.)(?:(?:{before(_alternatives(NEVER))}|{before(chr(92) + 'p{Lu}')})|(?=\s+[\p{{Ll}}\d(&—–-])(?:{before(_alternatives(MAYBE))}|(?<=\.\.\.))|(?=\s+(?:{MONTHS})\b)(?<=\d\.))"
+    return rf"\.(?=\s)(?<![a-z]{{5}}\.)(?:(?:{before(_alternatives(NEVER))}|{before(chr(92) + 'p{Lu}')})|(?=\s+[\p{{Ll}}\d(&—–-])(?:{before(_alternatives(MAYBE))}|(?<=\.\.\.))|(?=\s+(?:{MONTHS})\b)(?<=\d\.)|(?=\s+\p{{Lu}}\.)(?<=(?<!\p{{L}})[a-z]\.))"
 
 
 def _marked(d: DataFrame) -> DataFrame:
