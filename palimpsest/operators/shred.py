@@ -302,6 +302,6 @@ def log_records(jobs: DataFrame, key: str = "result_key", text: str = "processin
             for kind, (path, number, child) in kinds.items():
                 rows = columns.table(node_at(root, path))
                 n = len(rows["record"])
-                yield pd.DataFrame({key: keys[rows["record"]], "page_num": pd.Series(rows[number], dtype=object), "child_kind": [kind] * n, "child_id": pd.Series(rows[child], dtype=object) if child else [""] * n})
+                yield pd.DataFrame({key: keys[rows["record"]], "page_num": pd.Series(rows[number], dtype=object), "child_kind": pd.Series([kind] * n, dtype=object), "child_id": pd.Series(rows[child] if child else [""] * n, dtype=object)})
 
     return jobs.select(key, text).mapInPandas(run, f"{key} long, page_num long, child_kind string, child_id string")
