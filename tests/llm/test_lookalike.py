@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from palimpsest.llm import lookalike as L
 
-CORPUS = "The old café of the ﬁne house; ½ m² and m2, 0O oо оaа. ｔｈｅ​  　­ Ελένη Осторожный é ガ ガ"
+CORPUS = "\u0435 The old café of the ﬁne house; ½ m² and m2, 0O oо оaа. ｔｈｅ​  　­ Ελένη Осторожный é ガ ガ"
 
 
 def table():
