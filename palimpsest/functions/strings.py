@@ -79,8 +79,18 @@ def _scores(a: str, b: str) -> np.ndarray:
 
 
 def align(a: str, b: str) -> tuple[str, str]:
-    """``needleman_wunsch``, in linear space by halving where a text is longer than ``LONG``."""
+    """``needleman_wunsch`` between equal ends, which are aligned with each other at no loss; in linear space by halving where a text is longer than ``LONG``."""
     a, b = a.replace(GAP, ""), b.replace(GAP, "")
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    if head or tail:
+        l, r = align(a[head : len(a) - tail], b[head : len(b) - tail])
+        end = a[len(a) - tail :]
+        return a[:head] + l + end, a[:head] + r + end
     if max(len(a), len(b)) <= LONG or len(a) < 2 or len(b) < 2:
         return needleman_wunsch(a, b)
     mid = len(a) // 2

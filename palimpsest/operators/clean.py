@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.plans.runtime import grouped
+
 # Groups of element types that may stand for each other.
 TYPE_GROUPS = {
     "printed_text": "text", "header": "text", "footer": "text", "page_number": "text", "table": "table",
@@ -74,30 +76,31 @@ def folded_angle(angle: Column) -> Column:
     return F.when(F.abs(a).between(0.1, 15), a).otherwise(F.lit(0.0))
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge(c: dict[str, np.ndarray]) -> list[tuple]:
     """Fragments of one engine and page: join those of one type that share a line and are near each other, transitively."""
-    pdf = pdf.sort_values(["region_ord", "region_key"], kind="stable").reset_index(drop=True)
-    box = pdf[["nx1", "ny1", "nx2", "ny2"]].to_numpy(dtype=float)
-    n = len(pdf)
-    left, right = np.maximum(box[:, None, 0], box[None, :, 0]), np.minimum(box[:, None, 2], box[None, :, 2])
-    near = (left - right) < FRAGMENT_GAP
-    line = (box[:, None, 1] < box[None, :, 3]) & (box[None, :, 1] < box[:, None, 3])
-    kinds = pdf["element_type"].to_numpy()
-    link = near & line & (kinds[:, None] == kinds[None, :])
+    n = len(c["region_key"])
+    box = np.stack([c[k].astype(float) for k in ("nx1", "ny1", "nx2", "ny2")], axis=1)
     label = np.arange(n)
-    while True:  # smallest label over the links, until nothing changes
-        low = np.where(link, label[None, :], n).min(axis=1, initial=n)
-        new = np.minimum(label, low)
-        if (new == label).all():
-            break
-        label = new
+    if n > 1:
+        near = (np.maximum(box[:, None, 0], box[None, :, 0]) - np.minimum(box[:, None, 2], box[None, :, 2])) < FRAGMENT_GAP
+        line = (box[:, None, 1] < box[None, :, 3]) & (box[None, :, 1] < box[:, None, 3])
+        link = near & line & (c["element_type"][:, None] == c["element_type"][None, :])
+        np.fill_diagonal(link, True)
+        if int(link.sum()) > n:
+            while True:  # smallest label over the links, until nothing changes
+                low = np.where(link, label[None, :], n).min(axis=1)
+                if (low == label).all():
+                    break
+                label = low
     rows = []
-    for _, at in pd.Series(range(n)).groupby(label):
-        part = pdf.iloc[at].sort_values(["nx1", "region_ord", "region_key"], kind="stable")
-        lead = part.iloc[0]
-        texts = [t for t in part["text_content"] if isinstance(t, str) and t]
-        rows.append((lead["doc_id"], lead["page_num"], lead["engine"], lead["region_key"], lead["region_id"], lead["element_type"], part["nx1"].min(), part["ny1"].min(), part["nx2"].max(), part["ny2"].max(), part["confidence"].min(), " ".join(texts), len(part)))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in FRAGMENTS.split(", ")])
+    for group in np.unique(label):
+        at = np.flatnonzero(label == group)
+        at = at[np.argsort(box[at, 0], kind="stable")]
+        lead = at[0]
+        texts = [t for t in c["text_content"][at] if isinstance(t, str) and t]
+        score = c["confidence"][at].astype(float)
+        rows.append((c["doc_id"][lead], c["page_num"][lead], c["engine"][lead], c["region_key"][lead], c["region_id"][lead], c["element_type"][lead], *map(float, (box[at, 0].min(), box[at, 1].min(), box[at, 2].max(), box[at, 3].max())), float(score.min()), " ".join(texts), len(at)))
+    return rows
 
 
 FRAGMENTS = "doc_id long, page_num long, engine string, region_key long, region_id string, element_type string, nx1 double, ny1 double, nx2 double, ny2 double, confidence double, text_content string, parts int"
@@ -109,7 +112,7 @@ def merged_fragments(regions: DataFrame) -> DataFrame:
     The leftmost fragment gives ids, texts are joined from left to right, boxes are united, the least confidence counts.
     A group is what one engine saw on one page, which doesn't grow with the data."""
     boxed = regions.filter("nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null").select("doc_id", "page_num", "engine", "region_key", "region_ord", "region_id", "element_type", "nx1", "ny1", "nx2", "ny2", "confidence", "text_content")
-    return boxed.groupBy("doc_id", "page_num", "engine").applyInPandas(_merge, FRAGMENTS)
+    return grouped(boxed, ["doc_id", "page_num", "engine"], ["region_ord", "region_key"], _merge, FRAGMENTS)
 
 
 def lines_of_words(words: DataFrame, tolerance: float = 2.0) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import geometry as g
 from palimpsest.operators.clean import type_group
+from palimpsest.plans.runtime import grouped
 
 # Weights of engines in the fusion of boxes; others count 1.
 FUSION_WEIGHTS = {"pdfplumber": 3.0, "paddleocr": 1.0, "docling": 1.0, "trocr": 2.0}
@@ -112,15 +113,17 @@ def linkage(boxes: np.ndarray, cut: float) -> list[list[int]]:
 
 GROUPS = "doc_id long, page_num long, type_group string, group_no int, match_type string, anchor_type string, x1 double, y1 double, x2 double, y2 double, engine_count int, members array<struct<engine:string,region_key:bigint,text:string,confidence:double>>"
 
+GROUP_COLUMNS = "doc_id page_num type_group group_no match_type anchor_type x1 y1 x2 y2 engine_count members".split()
+
 
 class Page:
     """The regions of one page and type group; ``take`` moves regions from the open ones into a group."""
 
-    def __init__(self, pdf: pd.DataFrame) -> None:
-        self.pdf = pdf.sort_values(["engine_ord", "region_ord", "region_key"], kind="stable").reset_index(drop=True)
-        self.box = self.pdf[["ux1", "uy1", "ux2", "uy2"]].to_numpy(dtype=float)
-        self.engine = self.pdf["engine"].to_numpy()
-        self.open = np.ones(len(self.pdf), dtype=bool)
+    def __init__(self, columns: dict[str, np.ndarray]) -> None:
+        self.c = columns
+        self.box = np.stack([columns[k].astype(float) for k in ("ux1", "uy1", "ux2", "uy2")], axis=1)
+        self.engine = columns["engine"].astype(object)
+        self.open = np.ones(len(self.box), dtype=bool)
         self.engines = list(dict.fromkeys(self.engine))
         self.groups: list[dict] = []
 
@@ -200,9 +203,9 @@ def by_fusion(page: Page, t: Thresholds) -> None:
     if not len(at):
         return
     weights = np.array([FUSION_WEIGHTS.get(e, 1.0) for e in page.engine[at]])
-    scores = page.pdf["confidence"].to_numpy(dtype=float)[at]
+    scores = page.c["confidence"].astype(float)[at]
     flat = _areas(np.clip(page.box[at], 0.0, 1.0)) <= 0
-    has_unit = page.pdf["has_unit"].to_numpy()[at]
+    has_unit = page.c["has_unit"].astype(bool)[at]
     page.open[at[flat & has_unit]] = False
     use = has_unit & ~flat
     for box, found in fuse(page.box[at[use]], scores[use], weights[use], t.fusion):
@@ -228,29 +231,36 @@ def by_linkage(page: Page, t: Thresholds) -> None:
 STAGES = (by_overlap, by_centre, by_containment, by_fusion, by_linkage)
 
 
-def match_page(pdf: pd.DataFrame, t: Thresholds, stages: tuple = STAGES) -> pd.DataFrame:
-    page = Page(pdf)
+def match_rows(columns: dict[str, np.ndarray], t: Thresholds, stages: tuple = STAGES) -> list[tuple]:
+    """Groups of one page and type group; rows in order of engine and region."""
+    page = Page(columns)
     for stage in stages:
         stage(page, t)
     for i in np.flatnonzero(page.open):
         page.take("orphan", {page.engine[i]: [int(i)]})
-    first = page.pdf.iloc[0]
-    rows = []
+    c, rows = page.c, []
     for n, group in enumerate(page.groups):
         members = []
         for engine, at in group["members"].items():
             at = sorted(at, key=lambda i: (page.box[i, 1], page.box[i, 0]))
-            texts = [x for x in page.pdf["text_content"].iloc[at] if isinstance(x, str) and x]
-            members.append({"engine": engine, "region_key": int(page.pdf["region_key"].iloc[at[0]]), "text": " ".join(texts), "confidence": float(page.pdf["confidence"].iloc[at].max())})
+            texts = [x for x in c["text_content"][at] if isinstance(x, str) and x]
+            members.append({"engine": engine, "region_key": int(c["region_key"][at[0]]), "text": " ".join(texts), "confidence": float(max(c["confidence"][at]))})
         lead = next(iter(group["members"].values()))[0]
-        rows.append((first["doc_id"], first["page_num"], first["type_group"], n, group["kind"], page.pdf["element_type"].iloc[lead], *map(float, group["box"]), len(members), members))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in GROUPS.replace("array<struct<", "array").split(", ")][:12])
+        rows.append((c["doc_id"][0], c["page_num"][0], c["type_group"][0], n, group["kind"], c["element_type"][lead], *map(float, group["box"]), len(members), members))
+    return rows
+
+
+def match_page(pdf: pd.DataFrame, t: Thresholds, stages: tuple = STAGES) -> pd.DataFrame:
+    """``match_rows`` of a data frame in any order."""
+    pdf = pdf.sort_values(["engine_ord", "region_ord", "region_key"], kind="stable")
+    return pd.DataFrame(match_rows({k: pdf[k].to_numpy() for k in pdf.columns}, t, stages), columns=GROUP_COLUMNS)
 
 
 def match_groups(regions: DataFrame, t: Thresholds = Thresholds(), stages: tuple = STAGES) -> DataFrame:  # noqa: B008
     """Groups of regions that show the same thing, by the layered matcher."""
     cols = regions.select("doc_id", "page_num", type_group(F.col("element_type")).alias("type_group"), "region_key", "engine", "engine_ord", "region_ord", "element_type", *g.unit_or_own(), (F.col("nx1").isNotNull()).alias("has_unit"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "text_content")
-    return cols.filter("ux1 is not null and uy1 is not null and ux2 is not null and uy2 is not null and engine is not null").groupBy("doc_id", "page_num", "type_group").applyInPandas(lambda pdf: match_page(pdf, t, stages), GROUPS)
+    usable = cols.filter("ux1 is not null and uy1 is not null and ux2 is not null and uy2 is not null and engine is not null")
+    return grouped(usable, ["doc_id", "page_num", "type_group"], ["engine_ord", "region_ord", "region_key"], lambda c: match_rows(c, t, stages), GROUPS)
 
 
 def resolution(groups: DataFrame) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +60,48 @@ def small_rows(df: DataFrame, bound: int) -> list | None:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Round-robin rows over the shuffle partitions when few large input splits would leave cores idle."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(c) for c in cols])
+
+
+def grouped(df: DataFrame, keys: list[str], order: list[str], rows_of: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """Apply ``rows_of`` to the columns of every group, its rows in ``order``.
+
+    A grouped map for many small groups: groups are cut from sorted partitions batch by batch, so a group costs a slice
+    of arrays and not a data frame and an Arrow batch of its own. Groups must fit in memory one at a time."""
+    columns = [c.split()[0] for c in _fields(schema)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def cut(pdf: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+            arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
+            out: list[tuple] = []
+            for a, b in zip(np.append(0, ends[:-1]), ends):
+                out += rows_of({c: v[a:b] for c, v in arrays.items()})
+            return pd.DataFrame(out, columns=columns, dtype=object)
+
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            changed = np.zeros(max(0, len(pdf) - 1), dtype=bool)
+            for k in keys:
+                v = pdf[k].to_numpy(dtype=object)
+                null = pd.isna(v)
+                changed |= (v[1:] != v[:-1]) & ~(null[1:] & null[:-1])
+            ends = np.flatnonzero(changed) + 1
+            held = pdf.iloc[ends[-1] :] if len(ends) else pdf
+            if len(ends):
+                yield cut(pdf, ends)
+        if held is not None and len(held):
+            yield cut(held, np.array([len(held)]))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _fields(schema: str) -> list[str]:
+    """The fields of a schema, without cutting inside nested types."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(schema):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(schema[at:i].strip())
+            at = i + 1
+    return [*out, schema[at:].strip()]
