@@ -20,9 +20,17 @@ def number_text(c: Column) -> Column:
     return c.cast("string")
 
 
+def two_places(c: Column) -> Column:
+    """A number from 0 to 1 with two decimals, rounded by its exact binary value; the JVM's formatting takes ties by the shortest decimal text instead."""
+    k = F.floor(c * 100).cast("int")
+    ties = F.array(*[F.lit(f"{(2 * n + 1) / 200:.2f}") for n in range(100)])
+    middle = (2 * k + 1).cast("double") / 200.0
+    return F.when((c == middle) & k.between(0, 99), F.get(ties, k)).otherwise(F.format_string("%.2f", c))
+
+
 def review_comment() -> Column:
     numbers = F.array(*[number_text(F.col(c)) for c in ("x1", "y1", "x2", "y2")])
-    return F.concat(F.lit("<!-- HITL: ["), F.array_join(numbers, ","), F.lit("] page="), F.col("page_num").cast("string"), F.lit(" confidence="), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0))), F.lit(" -->"))
+    return F.concat(F.lit("<!-- HITL: ["), F.array_join(numbers, ","), F.lit("] page="), F.col("page_num").cast("string"), F.lit(" confidence="), two_places(F.coalesce("confidence", F.lit(0.0))), F.lit(" -->"))
 
 
 def region_markdown() -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,11 +38,13 @@ def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
 def once(stream: DataFrame, path: str, mode: str = "append") -> StreamingQuery:
     """Run a stream over everything there is and stop, writing to ``path``; its checkpoint lies in the shared folder."""
     spark = stream.sparkSession
-    return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{shared_dir(spark)}/streams/{abs(hash(path))}").trigger(availableNow=True).start()
+    mark = hashlib.sha256(path.encode()).hexdigest()[:24]  # the same for every run that goes on with this output
+    return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{shared_dir(spark)}/streams/{mark}").trigger(availableNow=True).start()
 
 
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
     """The state of an aggregating stream after everything there is, for small results such as tests and reports."""
+    name = f"{name}_{uuid.uuid4().hex}"  # a run of its own, not one that goes on
     query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(stream.sparkSession)}/streams/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
