@@ -91,7 +91,8 @@ def _features(d: DataFrame) -> DataFrame:
             s["at"].alias("at"),
             trimmed.alias("n"),
             ((trimmed < 12) & ~_has(t, r"[\p{L}\p{N}]")).alias("none"),
-            (last.isin(*".!?。！？؟।…;．-") | (F.col("thai") & _has(t, "[\u0e00-\u0e7f] $"))).alias("ends"),
+            (last.isin(*".!?。！？؟।…;．") | (F.col("thai") & _has(t, "[\u0e00-\u0e7f] $"))).alias("ends"),
+            (last == "-").alias("dash"),
             (start != F.upper(start)).alias("lower"),
             ((trimmed > 3) & (F.upper(t) == t) & (F.lower(t) != t) & _has(t, r"\p{Lu}[^\p{Lu}]*\p{Lu}[^\p{Lu}]*\p{Lu}[^\p{Lu}]*\p{Lu}")).alias("caps"),
             F.coalesce(F.get("s", i + 1)["y"] - s["y"], F.lit(0)).alias("gap"),
@@ -112,15 +113,20 @@ def _bare(t: Column) -> Column:
 
 
 def _titles(d: DataFrame) -> DataFrame:
-    """Adds ``w``, the wrap width (the longest line that is surely running text), and ``signs``, per segment how surely it stands for itself: 3 by case, 2 by length or space, 1 by an early break, 0 not."""
+    """Adds ``w``, the wrap width (the longest line that surely runs on; null if none does), and ``signs``, per segment how surely it stands for itself: 3 by case, 2 by length or space, 1 by an early break, 0 not."""
     f = F.col("f")
-    sure = F.filter(F.transform(f, lambda s, i: F.when(~s["none"] & ~s["caps"] & F.when(F.col("cased"), F.get(f, i + 1)["lower"]).otherwise(~_bare(s["t"])), s["n"])), lambda n: n.isNotNull())
-    d = d.withColumn("w", F.coalesce(F.array_max(sure), F.lit(100000)))
+    # lines that run on: before one in lower case; without case, such with punctuation and those behind them
+    before = lambda i: F.get(f, i - 1)
+    runs = lambda s, i: ~s["ends"] & (~_bare(s["t"]) | F.coalesce((i > 0) & ~before(i)["ends"] & ~_bare(before(i)["t"]), F.lit(False)))
+    of = F.transform(f, lambda s, i: F.when(~s["none"] & ~s["caps"] & F.when(F.col("cased"), F.get(f, i + 1)["lower"]).otherwise(runs(s, i)), s["n"]))
+    d = d.withColumn("sure", F.filter(of, lambda n: n.isNotNull()))
+    # a few lines may all be shorter than the width
+    d = d.withColumns({"w": F.array_max("sure"), "margin": F.when(F.col("spaced") & (F.size("sure") < 6), 3).otherwise(0)})
 
     def sign(s: Column, i: Column) -> Column:
         n = F.get(f, i + 1)
-        able = ~s["ends"] & ~s["lower"] & ~s["none"] & _bare(s["t"])
-        far = (s["n"] > F.col("w")) | s["gap"].between(TITLE_GAP, TITLE_GAP + 40)
+        able = ~s["ends"] & ~s["dash"] & ~s["lower"] & ~s["none"] & _bare(s["t"])
+        far = F.coalesce(s["n"] > F.col("w") + F.col("margin"), F.lit(False)) | s["gap"].between(TITLE_GAP, TITLE_GAP + 40)
         early = ~n["lower"] & ~F.col("thai") & (s["n"] + n["word"] <= F.col("w"))
         return F.when(s["caps"], 3).when(F.coalesce(far, F.lit(False)) & able, 2).when(F.coalesce(early, F.lit(False)) & able, 1).otherwise(0)
 
