@@ -80,7 +80,7 @@ def plain_form(text: str) -> str:
 def skeletons(word: str) -> tuple[str, str]:
     """Skeleton with groups of letters, and without."""
     plain = word.translate(LETTERS)
-    for a, b in GROUPS:
+    for a, b in GROUPS * 2:  # a group may come of another one
         if a in word:
             word = word.replace(a, b)
     return word.translate(LETTERS), plain

@@ -3,6 +3,7 @@ from palimpsest.llm import scannoise as N
 
 def test_words_and_numbers():
     assert N.skeletons("througb")[1] == N.skeletons("through")[1] and N.skeletons("modem")[0] == N.skeletons("modern")[0]
+    assert N.skeletons("westerri")[0] == N.skeletons("western")[0]
     for x in ("12", "— 61 —", "- 9 -", "[15]", "Page 47 of 56", "p. 3", "xliii", "iv"):
         assert N.is_number(x), x
     for x in ("§ 27", "Item 44.", "No. 12.", "Anno 1866.", "word", "", "48. The late", "Schedule 3"):
