@@ -118,17 +118,17 @@ def merged_fragments(regions: DataFrame) -> DataFrame:
 def lines_of_words(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Words (doc_id, page_num, top, x0, text) to lines: a new line starts where the top differs by more than ``tolerance`` from that of the line's first word."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "x0"], kind="stable")
-        line, first, numbers = -1, None, []
-        for top in pdf["top"]:
+    def rows(c: dict[str, np.ndarray]) -> list[tuple]:
+        lines: list[list[int]] = []
+        first = None
+        for i, top in enumerate(c["top"]):
             if first is None or abs(top - first) > tolerance:
-                line, first = line + 1, top
-            numbers.append(line)
-        out = pdf.assign(line=numbers).groupby("line", sort=True)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "page_num": pdf["page_num"].iloc[0], "line": list(out.groups), "text": [" ".join(g.sort_values("x0", kind="stable")["text"]) for _, g in out]})
+                lines.append([])
+                first = top
+            lines[-1].append(i)
+        return [(c["doc_id"][0], c["page_num"][0], n, " ".join(str(c["text"][i]) for i in sorted(at, key=lambda i: c["x0"][i]))) for n, at in enumerate(lines)]
 
-    return words.groupBy("doc_id", "page_num").applyInPandas(run, "doc_id long, page_num long, line int, text string")
+    return grouped(words, ["doc_id", "page_num"], ["top", "x0"], rows, "doc_id long, page_num long, line int, text string")
 
 
 def seam(regions: DataFrame, reader: object, schema: str) -> DataFrame:

@@ -18,6 +18,11 @@ RETRIES = (1, 4)
 STATUSES = {"missing_key": 401, "inactive": 401, "budget_exhausted": 429, "not_found": 404, "forbidden": 403, "pending": 202, "too_large": 413, "invalid_upload": 422, "bad_callback": 400, "ok": 200}
 
 
+def status_of(kind: Column) -> Column:
+    """The HTTP status of an outcome; 500 for one that isn't known."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in STATUSES.items() for x in kv])[kind], F.lit(500))
+
+
 def extension(filename: Column) -> Column:
     return F.lower(F.regexp_extract(filename, r"(\.[^.]+)$", 1))
 

@@ -96,8 +96,8 @@ def q_compat_group(spark: SparkSession, d: str) -> DataFrame:
 def q_type_compatibility(spark: SparkSession, d: str) -> DataFrame:
     """P5, over the fixed set of types"""
     types = table(spark, d, "ocr_regions").select("element_type").filter("element_type is not null").distinct()
-    a, b = types.toDF("a"), types.toDF("b")
-    return a.join(F.broadcast(b)).select("a", "b", clean.compatible(F.col("a"), F.col("b")).alias("compatible"))
+    both = types.agg(F.collect_set("element_type").alias("all")).select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    return both.select("a", "b", clean.compatible(F.col("a"), F.col("b")).alias("compatible"))
 
 
 @query(r"""select region_key, case when ny1 > 0.93 and (nx2-nx1)*(ny2-ny1) < 0.003 then 'bottom' when nx1 < 0.12 and (nx2-nx1)*(ny2-ny1) < 0.001 and regexp_matches(regexp_replace(coalesce(text_content,''), '^\s+|\s+$', '', 'g'), '^\d{1,2}\.?$') then 'margin_number' end as noise_reason from ocr_regions""")
@@ -194,6 +194,39 @@ def q_line_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "aligned_regions").filter("confidence is not null").select("aligned_key", (sources.line_confidence(logs) >= 0.8).alias("confident"))
 
 
+@query()
+def q_word_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a newspaper page to rows across its columns"""
+    boxes = F.posexplode(F.arrays_zip(F.split("text", "\n", -1).alias("t"), F.col("line_boxes").alias("b")))
+    z = table(spark, d, "documents").filter("text != '' and line_boxes is not null").select("doc_id", F.coalesce("page_no", F.lit(0)).cast("long").alias("page_num"), boxes.alias("i", "z"))
+    words = z.filter("z.b is not null and z.t is not null").select("doc_id", "page_num", F.col("z.b.y1").cast("double").alias("top"), F.col("z.b.x1").cast("double").alias("x0"), F.col("z.t").alias("text"))
+    return clean.lines_of_words(words, 12.0)
+
+
+@query("select region_key, case when x2 > x1 and y2 > y1 then greatest(0.0, least(x1, 2550.0)) end px1, case when x2 > x1 and y2 > y1 then greatest(0.0, least(x2, 2550.0)) end px2 from ocr_regions")
+def q_line_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of polygons, clamped to the page"""
+    points = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
+    box = sources.enclosing_box(points)
+    clamp = lambda c: F.greatest(F.lit(0.0), F.least(c, F.lit(2550.0)))
+    some = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    return table(spark, d, "ocr_regions").select("region_key", F.when(some, clamp(box["x1"])).alias("px1"), F.when(some, clamp(box["x2"])).alias("px2"))
+
+
+@query("select event_id, case when coalesce(nullif(event_type, ''), '') = 'view' then 200 when event_type = 'click' then 403 else 500 end::int as code from events")
+def q_error_category(spark: SparkSession, d: str) -> DataFrame:
+    """Events as outcomes, by the fixed table of statuses"""
+    kind = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "click", "forbidden").otherwise("unexpected")
+    return table(spark, d, "events").select("event_id", service.status_of(kind).alias("code"))
+
+
+@query()
+def q_delivery_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Tries of a callback per job, its deliveries standing for answers"""
+    r = table(spark, d, "job_results").groupBy(F.col("job_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("received_at", F.when(F.col("filename").isNull(), 500).otherwise(200).alias("s")))).alias("a"))
+    return service.delivery_attempts(r.select("id", F.transform("a", lambda x: x["s"]).alias("statuses")))
+
+
 # --- matching ---------------------------------------------------------------------------------------------------------
 
 
