@@ -90,7 +90,6 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
 def shares(mixed: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per listed source: target and reached share of the tokens, rows, documents and the most often one is used."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"), F.max("repeat_no").alias("most_repeats"))
-    total = got.agg(F.sum("tokens").alias("all_tokens"))
-    full = targets.select("source", "target_share", "max_repeats").join(got, "source", "left").join(F.broadcast(total))
+    full = targets.select("source", "target_share", "max_repeats").join(got, "source", "left").withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # as few rows as the targets
     zero = lambda c, kind="long": F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
     return full.select("source", "target_share", "max_repeats", zero("tokens"), zero("rows"), zero("most_repeats", "int"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
