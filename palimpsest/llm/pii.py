@@ -109,8 +109,17 @@ _TOWN = rf"{_W}(?:\s{_W})?"
 _UNIT = r"(?:,\s+(?:Unit|Apt|Apartment|Suite|Flat|Floor|Room)\b\.?\s*\w{1,5})"
 _ENGLISH = re.compile(rf"(?<![\w.,/$£€-])\d{{1,4}}\s?[A-Z]?\s(?:{_W}\s){{1,3}}?{_STREET}{_UNIT}?(?:,\s+{_TOWN}(?:,?\s\d{{5}}(?!\d))?)?")
 _FRENCH = re.compile(rf"(?<![\w.,/$£€-])\d{{1,4}}(?:,?\s(?:bis|ter|quater))?,?\s(?:rue|place|avenue|quai|chemin|boulevard|allée|impasse|cours|route)(?:\s(?:de\sla|de\sl['’]|des|du|de|d['’]))?\s?{_W}(?:,\s+\d{{5}}\s+{_W}(?:-[{LOW}]+-{_W})?)?")
-_GERMAN = re.compile(rf"(?:(?:Am|An\sder|Im|Zum|Zur|Auf\sdem|Hinter\sdem)\s{_W}|(?:(?:Alte[rn]?|Neue[rn]?|Kleine[rn]?|Große[rn]?|Obere[rn]?|Untere[rn]?|Lange[rn]?)\s)?[{UP}][{LOW}]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|markt|graben|steig)|[{UP}][{LOW}]+(?:er|e|en)?\s(?:Straße|Strasse|Weg|Gasse|Platz|Allee|Ufer|Markt))\s\d{{1,4}}(?:\s?[a-z]\b)?(?:,\s+\d{{5}}\s+{_TOWN})?")
-_GERMAN_HINTS = ("straße", "Straße", "strasse", "Strasse", "str.", "weg", "Weg", "gasse", "Gasse", "platz", "Platz", "allee", "ufer", "Ufer", "damm", "ring", "markt", "Markt", "graben", "steig", "Am ", "An der ", "Im ", "Zum ", "Zur ", "Auf dem ", "Hinter dem ")
+# What German streets begin with, end in and have as a word of their own.
+_AT, _ENDINGS, _WAYS = (r"Am|An\sder|Im|Zum|Zur|Auf\sdem|Hinter\sdem", "straße|strasse|str.|weg|gasse|platz|allee|ufer|damm|ring|markt|graben|steig", "Straße|Strasse|Weg|Gasse|Platz|Allee|Ufer|Markt")
+_GERMAN = re.compile(rf"(?:(?:{_AT})\s{_W}|(?:(?:Alte[rn]?|Neue[rn]?|Kleine[rn]?|Große[rn]?|Obere[rn]?|Untere[rn]?|Lange[rn]?)\s)?[{UP}][{LOW}]+(?:{_ENDINGS.replace('.', chr(92) + '.')})|[{UP}][{LOW}]+(?:er|e|en)?\s(?:{_WAYS}))\s\d{{1,4}}(?:\s?[a-z]\b)?(?:,\s+\d{{5}}\s+{_TOWN})?")
+_GERMAN_HINTS = tuple(dict.fromkeys([*_ENDINGS.split("|"), *_WAYS.split("|")]))
+_AT_STARTS, _AT_HINT = tuple(x.split(r"\s")[0] for x in _AT.split("|")), re.compile(rf"(?:{_AT})\s")
+
+
+def _maybe_german(t: str) -> bool:
+    """Whether a text has what every match of ``_GERMAN`` has."""
+    return any(h in t for h in _GERMAN_HINTS) or any(h in t for h in _AT_STARTS) and bool(_AT_HINT.search(t))
+
 
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Capt|Captain|Col|Rev|Herrn?|Frau|Hr|Fr|M|Mme|Mlle|Sr|Sra|Don|Doña|Madame|Monsieur|Sir|Lady)\b\.?"
 _TOKEN = rf"(?:[{UP}]\.(?![{LOW}])|[{UP}][{UP}{LOW}]*(?:['’][{UP}][{UP}{LOW}]+)?(?:-\s?[{UP}][{UP}{LOW}'’]+)*)"
@@ -148,7 +157,7 @@ def candidates(t: str) -> list[tuple[str, int, int, list[int]]]:
     if not any(c in t for c in "0123456789"):
         return out
     # the first two begin at a figure and cost little
-    for pattern in (_ENGLISH, _FRENCH, _GERMAN) if any(h in t for h in _GERMAN_HINTS) else (_ENGLISH, _FRENCH):
+    for pattern in (_ENGLISH, _FRENCH, _GERMAN) if _maybe_german(t) else (_ENGLISH, _FRENCH):
         for m in pattern.finditer(t):
             s = m[0]
             before = t[max(0, m.start() - 16) : m.start()]

@@ -47,3 +47,8 @@ def test_votes_learn_reliability():
     v = P.Votes(counts)
     assert v((1, 1, 1, -1, 1)) > 0.9 and v((0, 1, 0, -1, 0)) < 0.3 and v((1, 0, 1, -1, 1)) > 0.5
     P.Votes({})
+
+
+def test_german_streets_over_line_ends():
+    for t, want in (("Wohnhaft Am\nTannhof 21 b, 02445 Oberfelden.", "Am\nTannhof 21 b, 02445 Oberfelden"), ("Das Haus Lange Allee 12 ist leer.", "Lange Allee 12"), ("Hinter\ndem Anger 4", "Hinter\ndem Anger 4")):
+        assert [t[a:b] for kind, a, b, _ in P.candidates(t) if kind == "address"] == [want]
