@@ -291,7 +291,7 @@ def resolve(aligned: DataFrame, key: str = "aligned_key") -> tuple[DataFrame, Mo
 
 def wrong_readings(aligned: DataFrame, key: str = "aligned_key", least: int = 3) -> DataFrame:
     """Readings that differ from the consensus, of regions with at least ``least`` entries."""
-    found, _ = resolve(aligned.filter(F.size("engine_texts") >= least), key)
+    found, _ = resolve(aligned, key)  # the smaller regions count in the model too
     return found.filter(F.col("entries") >= least).select(key, F.explode("wrong_engines").alias("engine"))
 
 

@@ -51,3 +51,10 @@ def test_edges(spark):
     found = {r.aligned_key: r.consensus_reading for r in C.resolve(frame(spark, rows))[0].collect()}
     assert found[2] is None and found[3] == "x" and found[5] == "" and found[6] == "x y"
     assert C.wrong_readings(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_small_regions_count_in_the_model(spark):
+    """Three engines read a word in three ways; only regions of two entries tell which is a word."""
+    rows = [(k, [("a", "the quick storm"), ("b", "the quick storm")]) for k in range(40)] + [(99, [("a", "the qvick storm"), ("b", "the quiok storm"), ("c", "the quick storm")])]
+    got = {(r.aligned_key, r.engine) for r in C.wrong_readings(frame(spark, rows)).collect()}
+    assert got == {(99, "a"), (99, "b")}
