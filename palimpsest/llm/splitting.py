@@ -71,17 +71,21 @@ def scan(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, int]]]:
     return starts, spans
 
 
+def _natural(starts: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    return [(p, kind) for p, kind in starts if kind in ("page", "heading")]
+
+
 def boundaries(text: str) -> list[tuple[int, str]]:
     """Positions of heading and page-break lines outside front matter, comments, formula blocks and fenced blocks."""
-    return [(p, kind) for p, kind in scan(text)[0] if kind in ("page", "heading")]
+    return _natural(scan(text)[0])
 
 
-def cut(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """(start, end, kind of the boundary at the end) of each piece; ``limit`` must be more than ``overlap``."""
+def cut(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP, scanned: tuple[list[tuple[int, str]], list[tuple[int, int]]] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind of the boundary at the end) of each piece; ``limit`` must be more than ``overlap``. ``scanned``: what ``scan`` gave, if it was called."""
     n = len(text)
     if n <= limit:
         return [(0, n, "end")] if n else []
-    starts, spans = scan(text)
+    starts, spans = scanned or scan(text)
     room = limit - overlap
     kinds = {p: k for p, k in starts if 0 < p < n}
     # the next worse kind comes in where boundaries so far are further apart than a piece may grow
@@ -118,22 +122,29 @@ def cut(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple
     return out
 
 
-def boundary_positions(jobs: DataFrame, key: str = "result_key", text: str = "markdown", limit: int = MAX_CHARS) -> DataFrame:
-    """The page and heading boundaries that the cutting of every oversized text has to choose from."""
+_SPLIT = "boundaries array<long>, pieces array<struct<piece_no:int,char_start:long,char_end:long,end_kind:string,piece:string>>"
+
+
+def split(jobs: DataFrame, key: str, text: str, limit: int, overlap: int) -> DataFrame:
+    """One row per text, from one pass over it: its page and heading boundaries and the pieces the programme cuts it into."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(k, p) for k, t in zip(pdf[key], pdf[text]) for p, _ in boundaries(t)], columns=[key, "char_pos"])
+            rows = []
+            for k, t in zip(pdf[key], pdf[text]):
+                scanned = scan(t)
+                found = [{"piece_no": i, "char_start": a, "char_end": b, "end_kind": kind, "piece": t[a:b]} for i, (a, b, kind) in enumerate(cut(t, limit, overlap, scanned))]
+                rows.append((k, [p for p, _ in _natural(scanned[0])], found))
+            yield pd.DataFrame(rows, columns=[key, "boundaries", "pieces"])
 
-    return jobs.select(key, text).filter(F.length(text) > limit).mapInPandas(run, f"{key} long, char_pos long")
+    return jobs.select(key, text).mapInPandas(run, f"{key} long, {_SPLIT}")
 
 
-def pieces(jobs: DataFrame, key: str = "result_key", text: str = "markdown", limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """The pieces of every text: key, piece_no, char_start, char_end, end_kind, piece."""
+def boundary_positions(jobs: DataFrame, key: str = "result_key", text: str = "markdown", limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """The page and heading boundaries that the cutting of every oversized text has to choose from."""
+    return split(jobs.filter(F.length(text) > limit), key, text, limit, overlap).select(key, F.explode("boundaries").alias("char_pos"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, a, b, kind, t[a:b]) for k, t in zip(pdf[key], pdf[text]) for i, (a, b, kind) in enumerate(cut(t, limit, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "piece_no", "char_start", "char_end", "end_kind", "piece"])
 
-    return jobs.select(key, text).filter(F.length(text) > 0).mapInPandas(run, f"{key} long, piece_no int, char_start long, char_end long, end_kind string, piece string")
+def pieces(jobs: DataFrame, key: str = "result_key", text: str = "markdown", limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """The pieces of every text: key, piece_no, char_start, char_end, end_kind, piece."""
+    return split(jobs.filter(F.length(text) > 0), key, text, limit, overlap).select(key, F.inline("pieces"))

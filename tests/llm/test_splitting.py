@@ -40,3 +40,12 @@ def test_queries(spark):
     got = S.pieces(df).toPandas()
     assert got.groupby("result_key").size().to_dict() == {1: 1, 2: 4, 5: 4}
     assert got.piece.str.len().max() <= 3000 and S.pieces(df.limit(0)).count() == 0
+
+
+def test_boundaries_come_from_the_cutting(spark):
+    """Both queries read one operator, which runs the programme."""
+    text = "# a\n" + "y " * 2000 + "\n---\n## b\n" + "z " * 900
+    df = spark.createDataFrame([(1, text), (2, "# short")], "result_key long, markdown string")
+    (row,) = S.split(df.filter("result_key = 1"), "result_key", "markdown", 3000, 200).collect()
+    assert [(p.char_start, p.char_end, p.end_kind) for p in row.pieces] == S.cut(text)
+    assert row.boundaries == [p for p, _ in S.boundaries(text)] == sorted(r.char_pos for r in S.boundary_positions(df).collect())
