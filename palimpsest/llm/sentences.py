@@ -167,7 +167,7 @@ def _marked(d: DataFrame) -> DataFrame:
 
     m, quotes = F.col("m"), F.col("quotes")
     for a, b in (("„", "“"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』")):
-        step(rf"{a}([^{a}{b}]{{0,800}}){b}", f"{OPEN}$1{CLOSE}", F.contains(m, F.lit(a)))
+        step(rf"{a}([^{a}{b}]*){b}", f"{OPEN}$1{CLOSE}", F.contains(m, F.lit(a)))
     d = d.withColumn("quotes", F.contains(m, F.lit(OPEN)))
     # terminators inside, from each opening mark on; a match begins where the last one ended
     step(rf"((?:{OPEN}|\G(?!\A))[^{CLOSE}.!?。！？؟।…]*)[.!?。！？؟।…]", f"$1{INNER}", quotes)

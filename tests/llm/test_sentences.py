@@ -54,3 +54,8 @@ def test_layout(spark):
     assert got[1] == sorted(upto(texts[1], w) for w in ("bridge.", "market.", "town.", "again."))
     assert got[2] == [upto(texts[2], w) for w in ("LAMP OIL", "9 p.m.", "bridge.")]
     assert set(got) == {0, 1, 2}
+
+
+def test_long_quotation(spark):
+    text = "The clerk wrote “" + "The mill was closed again. " * 60 + "It stayed so.” and left the town. Then it ended."
+    assert ends(spark, [(text, None)]) == {0: [text.index("town.") + 4, len(text) - 1]}
