@@ -4,8 +4,9 @@
    column by column. Lines that stand for themselves (masthead, headline, advert title, page number) are told from running
    text by case, by being longer than the wrap width, by the space below, or by a break where the next word would have
    fitted. They are units of their own and leave the running text; what they interrupt goes on behind them.
-2. Masking. In the running text, dots of decimals, initials and abbreviations, terminators inside quotations and the
-   quotation marks themselves are replaced by private-use placeholders, one character for one.
+2. Masking. In the running text, dots of initials and abbreviations, terminators inside quotations, those of web addresses
+   at a line end and the quotation marks themselves are replaced by private-use placeholders, one character for one.
+   Decimals and web addresses within a line need no mask: these terminators split only before white space.
 3. Splitting. A marker is put behind every terminator of the script at hand that is left. As placeholders keep lengths,
    the markers give positions in the stored text, which is what "restoring" comes to: sentences are cut from it.
 
@@ -176,6 +177,8 @@ def _marked(d: DataFrame) -> DataFrame:
     step(rf"({INNER}\s*(?:{SAID_CLOSE}(?![.,;。])|{CLOSE}(?=\s+[\p{{Lu}}{OPEN}{SAID_OPEN}])))", f"$1{MARK}", quotes)
     # an abbreviation at the end of an interrupting advert ends its sentence, whatever goes on behind it
     step(rf"({BREAK}\n(?:[^\n{BREAK}{ASIDE}]*\n){{0,3}}?[^\n{BREAK}{ASIDE}]*(?:{_alternatives(MAYBE)})\.)(?=\n\p{{Ll}})", f"$1{MARK}", F.contains(m, F.lit(BREAK)))
+    # a web address that goes on in the next line
+    step(r"((?:https?://|www\.)\S*)[.?!](?=\n\p{Ll})", f"$1{DOT}", F.contains(m, F.lit("://")) | F.contains(m, F.lit("www.")))
     step(_dots(), DOT, F.contains(m, F.lit(".")))
     step(rf"([.!?]{CLOSERS}*+)(?=\s|$)", f"$1{MARK}")
     step(rf"([؟।…]+{CLOSERS}*+)(?=\s|$)", f"$1{MARK}", F.contains(m, F.lit("؟")) | F.contains(m, F.lit("।")) | F.contains(m, F.lit("…")))

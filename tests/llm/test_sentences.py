@@ -59,3 +59,8 @@ def test_layout(spark):
 def test_long_quotation(spark):
     text = "The clerk wrote “" + "The mill was closed again. " * 60 + "It stayed so.” and left the town. Then it ended."
     assert ends(spark, [(text, None)]) == {0: [text.index("town.") + 4, len(text) - 1]}
+
+
+def test_web_address_over_a_line_end(spark):
+    text = "The clerk wrote to https://www.example.\norg/mill?a=1.5 about the mill at 3.75 a day. Then it ended."
+    assert ends(spark, [(text, None)]) == {0: [text.index("day.") + 3, len(text) - 1]}
