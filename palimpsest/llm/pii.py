@@ -188,8 +188,6 @@ def runs(t: str) -> list[Run]:
         if " " not in s and "\n" not in s and not (before[-2:-1] == "." and _TITLE_END.search(before)):
             continue  # one word, and no title before it
         tokens = [(x[0], m.start() + x.start(), m.start() + x.end()) for x in _PART.finditer(s)]
-        if len(tokens) > 6 and s.isupper():
-            continue
         trigger = bool(_BEFORE.search(before)) or bool(_TITLE_START.match(s))
         out.append((m.start(), m.end(), tokens, 1 if trigger else ABSTAIN, 0 if AFTER_FIRM.match(t, m.end()) else ABSTAIN))
     return out

@@ -52,3 +52,13 @@ def test_votes_learn_reliability():
 def test_german_streets_over_line_ends():
     for t, want in (("Wohnhaft Am\nTannhof 21 b, 02445 Oberfelden.", "Am\nTannhof 21 b, 02445 Oberfelden"), ("Das Haus Lange Allee 12 ist leer.", "Lange Allee 12"), ("Hinter\ndem Anger 4", "Hinter\ndem Anger 4")):
         assert [t[a:b] for kind, a, b, _ in P.candidates(t) if kind == "address"] == [want]
+
+
+def test_names_in_long_runs_of_capitals(spark):
+    """A list of names in capitals, and a sentence in capitals that has one."""
+    lists = ["ELVA ORLIN VASKELL, BRANDT OAKHANGER, TAMSIN MARNOCK, BRANDT OSTRELL", "NOTICE IS GIVEN THAT DENHOLM PENHALWICK HAS LEFT THE TOWN"]
+    texts = [*TEXTS, *(f"Signed, {g} Oakhanger of the town." for g in ("Brandt", "Orlin", "Denholm", "Renske")), *lists]
+    rows = spark.createDataFrame([("text_content", i, t) for i, t in enumerate(texts)], "field string, row_key long, text string")
+    parts = spark.createDataFrame([(i, k, s) for i, (k, s) in enumerate(PARTS)], "part_key int, kind string, spelling string")
+    got = {texts[r.row_key][r.char_start : r.char_end] for r in P.find(rows, parts).collect() if texts[r.row_key] in lists}
+    assert got == {"BRANDT OAKHANGER", "DENHOLM PENHALWICK"}
