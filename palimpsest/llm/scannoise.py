@@ -113,6 +113,14 @@ def header_key(line: str) -> str | None:
     return skeletons(_DIGITS.sub("#", "".join(_WORD.findall(core.lower()))))[0]
 
 
+def _runs_on(line: str) -> bool:
+    """Whether a line begins in lower case, behind an attached page number if it has one."""
+    if not line[:1].islower():
+        return False
+    m = _ATTACHED.match(line) if line[0] in "ivxlc" else None
+    return m is None or line[m.end()].islower()
+
+
 def near(key: str) -> Iterator[str]:
     """A key and what is left of it without any one character: keys one edit apart have one of these in common."""
     yield key
@@ -138,7 +146,7 @@ class Text:
                 if found and then and then[0][0].isalpha():
                     self.pairs[i] = (found[-1], then[0])
         self.numbers = [len(x) < 25 and is_number(x) for x in self.lines]
-        self.keys = [None if n or x[:1].islower() or x[-1:] in ".,;" else header_key(x) for x, n in zip(self.lines, self.numbers)]
+        self.keys = [None if n or _runs_on(x) or x[-1:] in ".,;" else header_key(x) for x, n in zip(self.lines, self.numbers)]
 
     def words(self) -> list[str]:
         """Whole words, without the parts of broken ones."""

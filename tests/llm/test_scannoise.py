@@ -53,3 +53,8 @@ def test_hidden_markov_model_sums_to_one():
     post, moves = N.Layout().expect([(1, 1, 0, 0, 3), (3, 0, 0, 0, 0), (2, 0, 1, 0, 0)])
     assert all(abs(sum(p) - 1) < 1e-9 for p in post) and abs(sum(map(sum, moves)) - 2) < 1e-9
     assert N.Layout().label([(1, 1, 0, 0, 3), (3, 0, 0, 0, 0), (2, 0, 1, 0, 0)]) == [1, 0, 2]
+
+
+def test_header_behind_a_roman_number():
+    keys = N.Text("xiv   Register of Kelderby\nxiv   register of the town\nvisit Register Of Kelderby").keys
+    assert keys == [N.header_key("Register of Kelderby"), None, None] and keys[0]
