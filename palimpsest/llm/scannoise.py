@@ -1,9 +1,10 @@
 """Problem 6: repairing text from scanned pages.
 
-Lines are labelled by a hidden Markov model (running header, page number, body) whose observations are layout features:
-place in the region, shape, an attached number, and on how many pages of the volume and in how many volumes the same line
-stands. The model starts from weak expectations and is fitted by expectation-maximisation over the line sequences, which
-are first aggregated to patterns of features, so an iteration doesn't read the texts again.
+Lines are labelled by a hidden Markov model (body, break: the last line of a paragraph, running header, page number) whose
+observations are layout features: place in the region, shape, an attached number, how the line ends, and on how many pages
+of the volume and in how many volumes the same line stands. The model starts from weak expectations and is fitted by
+expectation-maximisation over the line sequences, which are first aggregated to patterns of features, so an iteration
+doesn't read the texts again. Words are joined and corrected only on lines labelled as text, and paragraphs end at breaks.
 
 Words: letters that recognisers confuse are mapped to common classes ("skeletons", one with and one without classes of
 several letters). A word is misread if a word of the same skeleton is ``DOMINANCE`` times as frequent in the corpus. Parts
@@ -18,13 +19,13 @@ line end can have a header, a page number or a misread word, but no hyphen; the
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata as ud
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +39,13 @@ ITERATIONS = 5
 
 HYPHENS = "-\u2010\u2011\xad\xac"
 _WORD = re.compile(r"[^\W_]+(?:!+[^\W_]+)*")
-_COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
+_COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[-‐‑][^\W\d_]++)+")
+_LOWER = re.compile(r"(?<![^\W_!])[a-z][^\W_]{3}")
 _DIGITS = re.compile(r"\d+")
-_ATTACHED = re.compile(r"^(?:\d{1,4}|[ivxlc]{1,7})\s{2,}(?=\S)|(?<=\S)\s{2,}(?:\d{1,4}|[ivxlc]{1,7})$")
+_ATTACHED = re.compile(r"^(?:\d{1,4}|[ivxlc]{1,11})\s{2,}(?=\S)|(?<=\S)\s{2,}(?:\d{1,4}|[ivxlc]{1,11})$")
 _ROMAN = re.compile(r"c{0,3}(?:x[lc]|l?x{0,3})(?:i[xv]|v?i{0,3})$")
-_NUMBER = re.compile(r"[\[({<|*~·•.=–—\-\s]*(?:(page|pag|seite|pg|p|s)\b\.?\s*)?([\w!]{1,7})(?:\s*(?:of|/|von|de)\s*([\w!]{1,7}))?[\])}>|*~·•=–—\-\s]*", re.I)
+_AROUND = "[({<|*~·•.=–—- \t])}>"
+_NUMBER = re.compile(r"[\[({<|*~·•.=–—\-\s]*(?:(page|pag|seite|pg|p|s)\b\.?\s*)?([\w!]{1,11})(?:\s*(?:of|/|von|de)\s*([\w!]{1,11}))?[\])}>|*~·•=–—\-\s]*", re.I)
 
 # Letters and groups of letters that recognisers confuse, with the common class on the right.
 GROUPS = (("rn", "m"), ("ri", "n"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("lo", "b"), ("τι", "π"))
@@ -50,8 +53,8 @@ LETTERS = str.maketrans({"c": "e", "a": "n", "f": "t", "!": "i", "1": "i", "l":
 
 
 @lru_cache(1)
-def _forms() -> tuple[dict[int, str | None], re.Pattern]:
-    """One-for-one replacements by the consistent forms of problem 1, and a pattern of marks that first need composing."""
+def _forms() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
+    """One-for-one replacements by the consistent forms of problem 1, a pattern of what is replaced, and one of marks that need composing."""
     one: dict[int, str | None] = {ord(c): a for a, bs in TWINS.items() for c in bs}
     for n in [*range(0x80, 0x3200), *range(0xFB00, 0xFB50), *range(0xFE00, 0x10000)]:
         c = chr(n)
@@ -64,15 +67,16 @@ def _forms() -> tuple[dict[int, str | None], re.Pattern]:
             one[n] = " "
         elif tag in ("<wide>", "<narrow>", "<noBreak>", "<compat>") and not (to := ud.normalize("NFKC", c)).startswith(" "):
             one[n] = to
-    return one, re.compile("[\u0300-\u036f\u3099\u309a]")
+    return one, re.compile("[" + "".join(re.escape(chr(n)) for n in one) + "]"), re.compile("[\u0300-\u036f\u3099\u309a]")
 
 
 def plain_form(text: str) -> str:
     """A text in the consistent form, with the same line ends."""
     if text.isascii():
         return text
-    one, marks = _forms()
-    text = text.translate(one)
+    one, odd, marks = _forms()
+    if odd.search(text):
+        text = text.translate(one)
     return ud.normalize("NFC", text) if marks.search(text) else text
 
 
@@ -86,29 +90,39 @@ def skeletons(word: str) -> tuple[str, str]:
     return word.translate(LETTERS), plain
 
 
+def _value(t: str) -> bool:
+    """Whether a word is a number in digits or Roman, perhaps misread."""
+    t = t.lower()
+    if t.translate(_AS_DIGITS).isdigit():
+        return any(c.isdigit() for c in t) and len(t) <= 5
+    return bool(t) and bool(_ROMAN.match(t.translate(_AS_ROMAN)))
+
+
+_AS_DIGITS, _AS_ROMAN = str.maketrans("ol!isé", "011156"), str.maketrans("1!", "li")
+#: The most words of a page-number line: page, number, of, number.
+NUMBER_WORDS = 4
+
+
 def is_number(line: str) -> bool:
     """Whether a line holds only a page number, in digits or Roman, in some of its decorations, perhaps misread."""
+    if len(line) > 24:  # long decorations or wide blanks round few words
+        words = line.strip(_AROUND).split(None, NUMBER_WORDS)
+        if len(words) > NUMBER_WORDS:
+            return False
     m = _NUMBER.fullmatch(line)
-    if not m or len(line) > 24:
-        return False
-
-    def number(t: str) -> bool:
-        t = t.lower()
-        if t.translate(str.maketrans("ol!isé", "011156")).isdigit():
-            return any(c.isdigit() for c in t) and len(t) <= 5
-        t = t.translate(str.maketrans("1!", "li"))
-        return bool(t) and bool(_ROMAN.match(t))
-
-    return number(m[2]) and (m[3] is None or number(m[3]))
+    return bool(m) and _value(m[2]) and (m[3] is None or _value(m[3]))
 
 
 def header_key(line: str) -> str | None:
-    """What recurs of a line shaped like a running header: its skeleton without the page number; None for other lines."""
-    if len(line) > 70 or not line.strip() or any(c in line for c in "|=\\^{<"):
+    """What recurs of a line shaped like a running header, of any length: its skeleton without the page number; None for other lines."""
+    line = line.strip()
+    core = _ATTACHED.sub("", line) if "  " in line or "\t" in line else line
+    # a longer word in lower case can't be in one
+    if _LOWER.search(core) or core[-1:] in ".!?;:," or any(c in core for c in "|=\\^{<"):
         return None
-    core = _ATTACHED.sub("", line.strip())
     names = [w for w in _WORD.findall(core) if not w.isdigit()]
-    if len(names) < 2 or sum(c.isdigit() for c in core) > 3 or core[-1:] in ".!?;:," or not (core.isupper() or all(w[0].isupper() or len(w) < 4 for w in names)):
+    # more figures than letters make a list or a table
+    if len(names) < 2 or sum(map(len, _DIGITS.findall(core))) * 2 > sum(map(len, names)) or not (core.isupper() or all(w[0].isupper() or len(w) < 4 for w in names)):
         return None
     return skeletons(_DIGITS.sub("#", "".join(_WORD.findall(core.lower()))))[0]
 
@@ -145,17 +159,14 @@ class Text:
                 found, then = _WORD.findall(self.lines[i].lower()), _WORD.match(self.lines[i + 1].lstrip().lower())
                 if found and then and then[0][0].isalpha():
                     self.pairs[i] = (found[-1], then[0])
-        self.numbers = [len(x) < 25 and is_number(x) for x in self.lines]
+        self.numbers = [is_number(x) for x in self.lines]
         self.keys = [None if n or _runs_on(x) or x[-1:] in ".,;" else header_key(x) for x, n in zip(self.lines, self.numbers)]
 
-    def words(self) -> list[str]:
-        """Whole words, without the parts of broken ones."""
-        out = _WORD.findall(self.low)
+    def count_words(self, counts: Counter) -> None:
+        """Adds whole words, without the parts of broken ones."""
+        counts.update(_WORD.findall(self.low))
         for p in self.pairs.values():
-            for part in p:
-                if part in out:
-                    out.remove(part)
-        return out
+            counts.subtract(p)
 
     def compounds(self) -> list[str]:
         return _COMPOUND.findall(self.low) if "-" in self.low or "‐" in self.low else []
@@ -164,116 +175,131 @@ class Text:
         return [_WORD.findall(x.lower()) for x in self.lines]
 
 
-STATES = ("body", "header", "number")
+STATES = ("body", "break", "header", "number")
+BODY, BREAK, HEADER, NUMBER = range(len(STATES))
 #: Features of a line: name -> number of values. shape: none, title case of few words, of many, capitals of few words, of many;
-#: recurs: not, a little, on many pages of the volume, in many volumes.
-FEATURES = {"place": 4, "shape": 5, "number": 2, "attached": 2, "recurs": 4}
+#: recurs: not, a little, on many pages of the volume, in many volumes; end: the line goes on, a sentence ends with it, and
+#: it is much shorter than the widest, nothing or a row of a table.
+FEATURES = {"place": 4, "shape": 5, "number": 2, "attached": 2, "recurs": 4, "end": 4}
 FEW_WORDS = 6
+SHORT = 0.6
 #: A line recurs much if it stands on this share of the volume's pages, or in this share of the volumes.
 SHARE = 0.003
 
 
 def features(text: Text, support: Callable[[str], tuple[int, int]] | None) -> list[tuple[int, ...]]:
-    out, n = [], len(text.lines)
-    for i, (x, key, number) in enumerate(zip(text.lines, text.keys, text.numbers)):
+    lines = text.lines
+    out, n = [], len(lines)
+    width = SHORT * max(map(len, lines))
+    for i, (x, key, number) in enumerate(zip(lines, text.keys, text.numbers)):
         place = 0 if n == 1 else 1 if i == 0 else 2 if i == n - 1 else 3
-        pages, volumes, shape, attached = 0, 0, 0, 0
+        recurs, shape, attached, end = 0, 0, 0, 0
         if key:
             pages, volumes = support(key) if support else (0, 0)
+            recurs = 3 if volumes > 1 else 2 if pages > 1 else int(pages + volumes > 0)
             attached = int(bool(_ATTACHED.search(x.strip())))
             few = len(_WORD.findall(x)) <= FEW_WORDS + attached
             shape = (3 if x.isupper() else 1) + (not few)
-        out.append((place, shape, int(number), attached, 3 if volumes > 1 else 2 if pages > 1 else int(pages + volumes > 0)))
+        last = x.rstrip()[-1:]
+        if not last or "|" in x:
+            end = 3
+        elif last in ".!?:。！？”»" and not (i + 1 < n and lines[i + 1][:1].islower()):
+            end = 2 if len(x) < width else 1
+        out.append((place, shape, int(number), attached, recurs, end))
     return out
 
 
 class Layout:
-    """The hidden Markov model over the lines of a text, with independent features."""
+    """The hidden Markov model over the lines of a text, with independent features; many sequences at once."""
 
     def __init__(self) -> None:
-        self.start = [0.85, 0.1, 0.05]
-        self.step = [[0.95, 0.01, 0.04], [0.95, 0.01, 0.04], [0.95, 0.03, 0.02]]
-        even = [0.25] * 4
-        self.emit: list[dict[str, list[float]]] = [
-            {"place": even, "shape": [0.92, 0.01, 0.005, 0.015, 0.05], "number": [0.999, 0.001], "attached": [0.998, 0.002], "recurs": [0.97, 0.02, 0.008, 0.002]},
-            {"place": [0.35, 0.6, 0.03, 0.02], "shape": [0.004, 0.6, 0.01, 0.376, 0.01], "number": [0.999, 0.001], "attached": [0.6, 0.4], "recurs": [0.001, 0.049, 0.15, 0.8]},
-            {"place": [0.4, 0.1, 0.48, 0.02], "shape": [0.996, 0.001, 0.001, 0.001, 0.001], "number": [0.01, 0.99], "attached": [0.999, 0.001], "recurs": [0.997, 0.001, 0.001, 0.001]},
+        self.start = np.array([0.6, 0.25, 0.1, 0.05])
+        self.step = np.array([[0.7, 0.25, 0.01, 0.04], [0.7, 0.25, 0.01, 0.04], [0.75, 0.2, 0.01, 0.04], [0.75, 0.2, 0.03, 0.02]])
+        text = {"place": [0.25] * 4, "shape": [0.92, 0.01, 0.005, 0.015, 0.05], "number": [0.999, 0.001], "attached": [0.998, 0.002], "recurs": [0.97, 0.02, 0.008, 0.002]}
+        emit = [
+            text | {"end": [0.87, 0.11, 0.01, 0.01]},
+            text | {"end": [0.03, 0.17, 0.6, 0.2]},
+            {"place": [0.35, 0.6, 0.03, 0.02], "shape": [0.004, 0.6, 0.01, 0.376, 0.01], "number": [0.999, 0.001], "attached": [0.6, 0.4], "recurs": [0.001, 0.049, 0.15, 0.8], "end": [0.7, 0.08, 0.18, 0.04]},
+            {"place": [0.4, 0.1, 0.48, 0.02], "shape": [0.996, 0.001, 0.001, 0.001, 0.001], "number": [0.01, 0.99], "attached": [0.999, 0.001], "recurs": [0.997, 0.001, 0.001, 0.001], "end": [0.7, 0.08, 0.18, 0.04]},
         ]
-
-    def _likely(self, x: tuple[int, ...]) -> list[float]:
-        return [math.prod(e[f][v] for f, v in zip(FEATURES, x)) for e in self.emit]
-
-    def expect(self, seq: list[tuple[int, ...]]) -> tuple[list[list[float]], list[list[float]]]:
-        """Posterior of the states per line, and the expected transitions, by scaled forward-backward."""
-        like, n = [self._likely(x) for x in seq], len(STATES)
-        fwd = []
-        for t, l in enumerate(like):
-            row = [l[j] * (self.start[j] if t == 0 else sum(fwd[-1][i] * self.step[i][j] for i in range(n))) for j in range(n)]
-            z = sum(row) or 1e-300
-            fwd.append([v / z for v in row])
-        back = [[1.0] * n for _ in like]
-        for t in range(len(like) - 2, -1, -1):
-            row = [sum(self.step[i][j] * like[t + 1][j] * back[t + 1][j] for j in range(n)) for i in range(n)]
-            z = sum(row) or 1e-300
-            back[t] = [v / z for v in row]
-        post = []
-        for f, b in zip(fwd, back):
-            row = [x * y for x, y in zip(f, b)]
-            z = sum(row) or 1e-300
-            post.append([v / z for v in row])
-        moves = [[0.0] * n for _ in range(n)]
-        for t in range(len(like) - 1):
-            row = [[fwd[t][i] * self.step[i][j] * like[t + 1][j] * back[t + 1][j] for j in range(n)] for i in range(n)]
-            z = sum(map(sum, row)) or 1e-300
-            for i in range(n):
-                for j in range(n):
-                    moves[i][j] += row[i][j] / z
-        return post, moves
-
-    def label(self, seq: list[tuple[int, ...]]) -> list[int]:
-        return [max(range(len(STATES)), key=p.__getitem__) for p in self.expect(seq)[0]]
+        self.emit = {f: np.array([e[f] for e in emit]) for f in FEATURES}
+
+    def expect(self, seqs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior of the states per line, and the expected transitions, by scaled forward-backward; ``seqs``: sequences of one length, their lines, features."""
+        like = np.ones((*seqs.shape[:2], len(STATES)))
+        for k, e in enumerate(self.emit.values()):
+            like *= e.T[seqs[:, :, k]]
+        n = seqs.shape[1]
+        fwd, back = np.empty_like(like), np.ones_like(like)
+        scaled = lambda x: x / np.maximum(x.sum(axis=-1, keepdims=True), 1e-300)
+        fwd[:, 0] = scaled(like[:, 0] * self.start)
+        for t in range(1, n):
+            fwd[:, t] = scaled(like[:, t] * (fwd[:, t - 1] @ self.step))
+        moves = np.zeros((len(seqs), len(STATES), len(STATES)))
+        for t in range(n - 2, -1, -1):
+            ahead = like[:, t + 1] * back[:, t + 1]
+            back[:, t] = scaled(ahead @ self.step.T)
+            both = fwd[:, t, :, None] * self.step * ahead[:, None, :]
+            moves += both / np.maximum(both.sum(axis=(1, 2), keepdims=True), 1e-300)
+        return scaled(fwd * back), moves
+
+    def labels(self, codes: Iterable[str]) -> dict[str, list[int]]:
+        """The most likely state of every line, by code of the sequence."""
+        out: dict[str, list[int]] = {}
+        for own, seqs in _decoded(codes):
+            out.update(zip(own, self.expect(seqs)[0].argmax(axis=2).tolist()))
+        return out
 
 
 def _code(seq: list[tuple[int, ...]]) -> str:
-    return " ".join("".join(map(str, x)) for x in seq)
+    return " ".join(["".join(map(str, x)) for x in seq])
 
 
-def _decode(text: str) -> list[tuple[int, ...]]:
-    return [tuple(map(int, x)) for x in text.split(" ")]
+def _decoded(codes: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Codes of equal length with their sequences."""
+    of: dict[int, list[str]] = defaultdict(list)
+    for c in codes:
+        of[len(c)].append(c)
+    for own in of.values():
+        digits = np.frombuffer("".join(own).replace(" ", "").encode(), dtype=np.uint8) - 48
+        yield own, digits.reshape(len(own), -1, len(FEATURES))
 
 
 def fit_layout(patterns: DataFrame, iterations: int = ITERATIONS) -> Layout:
-    """Expectation-maximisation over ``pattern string, n long``; per iteration the driver gets a row per parameter of the model (at most 60)."""
-    model = Layout()
+    """Expectation-maximisation over ``pattern string, n long``; per iteration the driver gets a row per parameter of the model (at most 110)."""
+    model, first = Layout(), Layout()
+    states = range(len(STATES))
     for _ in range(iterations):
 
         def run(batches: Iterator[pd.DataFrame], model: Layout = model) -> Iterator[pd.DataFrame]:
             sums: Counter = Counter()
             for pdf in batches:
-                for text, n in zip(pdf["pattern"], pdf["n"]):
-                    seq = _decode(text)
-                    post, moves = model.expect(seq)
-                    for s in range(len(STATES)):
-                        sums["start", s, "", 0] += n * post[0][s]
-                        for j in range(len(STATES)):
-                            sums["step", s, "", j] += n * moves[s][j]
-                        for x, p in zip(seq, post):
-                            for f, v in zip(FEATURES, x):
-                                sums["emit", s, f, v] += n * p[s]
+                times = dict(zip(pdf["pattern"], pdf["n"]))
+                for own, seqs in _decoded(times):
+                    n = np.array([times[c] for c in own], dtype=float)
+                    post, moves = model.expect(seqs)
+                    post *= n[:, None, None]
+                    begun, gone = post[:, 0].sum(axis=0), (moves * n[:, None, None]).sum(axis=0)
+                    for s in states:
+                        sums["start", s, "", 0] += begun[s]
+                        for j in states:
+                            sums["step", s, "", j] += gone[s, j]
+                        for k, (f, size) in enumerate(FEATURES.items()):
+                            for v, x in enumerate(np.bincount(seqs[:, :, k].ravel(), weights=post[:, :, s].ravel(), minlength=size)):
+                                sums["emit", s, f, v] += x
             yield pd.DataFrame([(*k, float(v)) for k, v in sums.items()], columns=["what", "s", "f", "v", "n"])
 
         rows = patterns.mapInPandas(run, "what string, s int, f string, v int, n double").groupBy("what", "s", "f", "v").agg(F.sum("n").alias("n")).collect()
         got = {(r["what"], r["s"], r["f"], r["v"]): r["n"] for r in rows}
         old, model = model, Layout()
-        share = lambda xs, before: [(x + 0.2 * (sum(xs) + 50) * b) / (1.2 * sum(xs) + 10) for x, b in zip(xs, before)]  # noqa: E731  # what was expected counts as a fifth of the lines
-        first = Layout()
-        states = range(len(STATES))
-        model.start = share([got.get(("start", s, "", 0), 0.0) for s in states], first.start)
-        model.step = [share([got.get(("step", s, "", j), 0.0) for j in states], first.step[s]) for s in states]
-        model.emit = [{f: share([got.get(("emit", s, f, v), 0.0) for v in range(k)], first.emit[s][f]) for f, k in FEATURES.items()} for s in states]
-        # a running header recurs by definition, so that isn't learned
-        model.emit[1]["recurs"] = first.emit[1]["recurs"]
-        if max(abs(a - b) for x, y in zip(old.step, model.step) for a, b in zip(x, y)) < 1e-4:
+        count = lambda *ks: np.array([got.get(k, 0.0) for k in ks])
+        share = lambda xs, before: (xs + 0.2 * (xs.sum() + 50) * before) / (1.2 * xs.sum() + 10)  # noqa: E731  # what was expected counts as a fifth of the lines
+        model.start = share(count(*[("start", s, "", 0) for s in states]), first.start)
+        model.step = np.array([share(count(*[("step", s, "", j) for j in states]), first.step[s]) for s in states])
+        model.emit = {f: np.array([share(count(*[("emit", s, f, v) for v in range(k)]), first.emit[f][s]) for s in states]) for f, k in FEATURES.items()}
+        # a running header recurs and a break ends short of the width by definition, so that isn't learned
+        model.emit["recurs"][HEADER], model.emit["end"][BREAK] = first.emit["recurs"][HEADER], first.emit["end"][BREAK]
+        if np.abs(old.step - model.step).max() < 1e-4:
             break
     return model
 
@@ -290,38 +316,38 @@ def _statistics(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = defaultdict(Counter)
+        words: dict[int, Counter] = defaultdict(Counter)  # by the number of copies
         places: set[tuple[str, int, int]] = set()
         keyed: Counter = Counter()
-        done: dict[str, Text] = {}
         for pdf in batches:
+            done: dict[str, tuple[str, list[str]]] = {}
             for text, n in Counter(pdf["text"]).items():
-                done[text] = t = Text(text)
-                words = counts["w"]
-                for w in t.words():
-                    words[w] += n
+                t = Text(text)
+                t.count_words(words[n])
                 for c in t.compounds():
                     counts["c"][c] += n
-                if not any(t.keys):
-                    counts["f"][_code(features(t, None))] += n
                 for p in t.pairs.values():
                     counts["p"][" ".join(p)] += n
-            for text, d, p in zip(pdf["text"], pdf["doc_id"], pdf["page_num"]):
-                t = done[text]
+                code = _code(features(t, None))
                 if any(t.keys):
-                    keyed["\t".join([_code(features(t, None)), *(k or "" for k in t.keys)]), d] += 1
-                    for k in t.keys:
-                        if k:
-                            places.add((k, d, p))
-            done.clear()
-            if sum(map(len, counts.values())) + len(places) > 500_000:
-                yield _rows(counts, places, keyed)
-                counts.clear()
-                places.clear()
-                keyed.clear()
-        yield _rows(counts, places, keyed)
-
-    def _rows(counts: dict[str, Counter], places: set, keyed: Counter) -> pd.DataFrame:
-        out = [(k, x, n, None, None) for k, c in counts.items() for x, n in c.items() if k != "w" or not x.isdigit()]
+                    done[text] = "\t".join([code, *(k or "" for k in t.keys)]), [k for k in t.keys if k]
+                else:
+                    counts["f"][code] += n
+            if done:
+                for text, d, p in zip(pdf["text"], pdf["doc_id"], pdf["page_num"]):
+                    got = done.get(text)
+                    if got:
+                        keyed[got[0], d] += 1
+                        places.update((k, d, p) for k in got[1])
+            if sum(map(len, counts.values())) + sum(map(len, words.values())) + len(places) > 500_000:
+                yield _rows(counts, words, places, keyed)
+                for x in (counts, words, places, keyed):
+                    x.clear()
+        yield _rows(counts, words, places, keyed)
+
+    def _rows(counts: dict[str, Counter], words: dict[int, Counter], places: set, keyed: Counter) -> pd.DataFrame:
+        out = [(k, x, n, None, None) for k, c in counts.items() for x, n in c.items()]
+        out += [("w", x, times * n, None, None) for times, c in words.items() for x, n in c.items() if n and not x.isdigit()]
         out += [("l", k, 1, d, p) for k, d, p in places] + [("k", k, n, d, None) for (k, d), n in keyed.items()]
         return pd.DataFrame(out, columns=["kind", "what", "n", "doc_id", "page_num"])
 
@@ -337,12 +363,38 @@ def _with_skeletons(words: DataFrame) -> DataFrame:
     return words.mapInPandas(run, "what string, n long, s1 string, s2 string")
 
 
+def near_ones(keys: DataFrame, strong: DataFrame) -> DataFrame:
+    """(key, like): keys that are one edit away from a strong one, with the first of those; by what is left of both without a character."""
+    few = small_rows(strong, BOUND // 50)
+    if few is not None:
+        of: dict[str, str] = {}
+        for k in sorted(r["key"] for r in few):
+            for v in near(k):
+                of.setdefault(v, k)
+        sent = keys.sparkSession.sparkContext.broadcast(of)
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = sent.value
+            for pdf in batches:
+                found = [(k, min((of[v] for v in near(k) if v in of), default=None)) for k in pdf["key"]]
+                yield pd.DataFrame([x for x in found if x[1] is not None], columns=["key", "like"])
+
+        return keys.mapInPandas(look, "key string, like string")
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(k, v) for k in pdf["key"] for v in dict.fromkeys(near(k))], columns=["key", "v"])
+
+    split = lambda d: d.mapInPandas(parts, "key string, v string")
+    return split(keys).join(split(strong).groupBy("v").agg(F.min("key").alias("like")), "v").groupBy("key").agg(F.min("like").alias("like"))
+
+
 class Knowledge:
     """Tables the labelling looks up: misread (what -> top), compounds (pairs that keep the hyphen), lines (key, doc_id -> pages, volumes)."""
 
     def __init__(self, rows: DataFrame) -> None:
         self.found = found = materialise(_statistics(rows).groupBy("kind", "what", "doc_id", "page_num").agg(F.sum("n").alias("n")), "p6-statistics")
-        words = found.filter("kind = 'w'").select("what", "n")
+        words = found.filter("kind = 'w' and n > 0").select("what", "n")
         pairs = found.filter("kind = 'p'").select(F.split("what", " ").alias("ab"), "n").select(F.col("ab")[0].alias("a"), F.col("ab")[1].alias("b"))
         # words put together from broken ones are looked at as words that occur nowhere else
         known = _with_skeletons(words.unionByName(pairs.select(F.concat("a", "b").alias("what"), F.lit(0).cast("long").alias("n"))).groupBy("what").agg(F.sum("n").alias("n")))
@@ -370,68 +422,56 @@ class Knowledge:
         # only lines that recur at all need looking up; how much, is 1 for a small share and 2 for a large one
         total = of.count()
         much = lambda n, share: F.when(F.col(n) > 1, F.when(share >= SHARE, 2).otherwise(1)).otherwise(0).cast("long").alias(n)
-        self.lines = pages.join(volumes, "key").filter("pages > 1 or volumes > 1").join(of, "doc_id").select("key", "doc_id", much("pages", F.col("pages") / F.col("all_pages")), much("volumes", F.col("volumes") / F.lit(total)))
-        # lines of a large share of the volumes: at most 1 / SHARE times as many as a volume has on average
-        strong = volumes.filter((F.col("volumes") > 1) & (F.col("volumes") / F.lit(total) >= SHARE)).select("key").collect()
-        self.strong: dict[str, str] = {}
-        for r in sorted(r["key"] for r in strong):
-            for v in near(r):
-                self.strong.setdefault(v, r)
+        base = pages.join(volumes, "key").filter("pages > 1 or volumes > 1").join(of, "doc_id").select("key", "doc_id", much("pages", F.col("pages") / F.col("all_pages")), much("volumes", F.col("volumes") / F.lit(total)))
+        base = materialise(base, "p6-recurring")
+        # a line one edit away from one of many volumes counts as that one
+        strong = volumes.filter((F.col("volumes") > 1) & (F.col("volumes") / F.lit(total) >= SHARE)).select("key")
+        like = materialise(near_ones(volumes.select("key").join(strong, "key", "left_anti"), strong), "p6-like")
+        theirs = base.select(F.col("key").alias("like"), "doc_id", F.col("pages").alias("their_pages"))
+        liked = pages.select("key", "doc_id").join(like, "key").join(base, ["key", "doc_id"], "left").join(theirs, ["like", "doc_id"], "left")
+        liked = liked.select("key", "doc_id", F.coalesce(F.greatest("pages", "their_pages"), F.lit(0)).alias("pages"), F.lit(2).cast("long").alias("volumes"))
+        self.lines = base.join(like.select("key"), "key", "left_anti").unionByName(liked)
         self.misread, self.compounds, self.lines = (materialise(x, f"p6-{n}") for n, x in (("misread", self.misread.distinct()), ("compounds", self.compounds.distinct()), ("lines", self.lines)))
 
 
-Lookup = tuple[dict[str, str], set[tuple[str, str]], dict[tuple[str, int], tuple[int, int]], dict[str, str]]
-
-
-def support(look: Lookup, doc: int) -> Callable[[str], tuple[int, int]]:
-    """How much a line recurs in its volume and in how many volumes; one that is one edit away from a line of many volumes counts as that line."""
-    lines, strong = look[2], look[3]
+Lookup = tuple[dict[str, str], set[tuple[str, str]], dict[tuple[str, int], tuple[int, int]]]
 
-    def of(key: str) -> tuple[int, int]:
-        got = lines.get((key, doc), (0, 0))
-        if got[1] < 2:
-            like = next((strong[v] for v in near(key) if v in strong), None)
-            if like:
-                return max(got[0], lines.get((like, doc), (0, 0))[0]), 2
-        return got
 
-    return of
+def _labelled(texts: list[Text], docs: list[int], looks: list[Lookup], model: Layout, all_lines: bool) -> list[list[int] | None]:
+    """States of the lines of every text, all texts at once; None where nothing but text can come out and only that is asked."""
+    codes = [_code(features(t, lambda k, d=d, lines=look[2]: lines.get((k, d), (0, 0)))) if all_lines or any(t.keys) or any(t.numbers) else None for t, d, look in zip(texts, docs, looks)]
+    states = model.labels({c for c in codes if c})
+    return [states[c] if c else None for c in codes]
 
 
-def _each(rows: DataFrame, known: Knowledge, schema: str, make: Callable[[Text, Lookup, int, str, int], list[tuple]]) -> DataFrame:
-    """Apply ``make`` to every row with what it has to look up: sent with the code if small, else joined to each row."""
+def _each(rows: DataFrame, known: Knowledge, model: Layout, schema: str, make: Callable[[Text, Lookup, list[int] | None], list[tuple]], all_lines: bool = False) -> DataFrame:
+    """Apply ``make`` to every row with its labels and what it has to look up: sent with the code if small, else joined to each row."""
     misread, compounds, lines = (small_rows(x, BOUND) for x in (known.misread, known.compounds, known.lines))
     columns = [c.split()[0] for c in schema.split(", ")]
 
     if misread is not None and compounds is not None and lines is not None:
-        lookup = rows.sparkSession.sparkContext.broadcast(({r[0]: r[1] for r in misread}, {(r[0], r[1]) for r in compounds}, {(r["key"], r["doc_id"]): (r["pages"], r["volumes"]) for r in lines}, known.strong))
+        lookup = rows.sparkSession.sparkContext.broadcast(({r[0]: r[1] for r in misread}, {(r[0], r[1]) for r in compounds}, {(r["key"], r["doc_id"]): (r["pages"], r["volumes"]) for r in lines}))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             look = lookup.value
             for pdf in batches:
-                out: list[tuple] = []
-                done: dict[tuple[str, int], list[tuple]] = {}
-                analysed: dict[str, Text] = {}
-                for field, key, doc, text in zip(pdf["field"], pdf["row_key"], pdf["doc_id"], pdf["text"]):
-                    got = done.get((text, doc))
-                    if got is None:
-                        t = analysed.get(text)
-                        if t is None:
-                            t = analysed[text] = Text(text)
-                        got = done[text, doc] = make(t, look, doc, "", 0)
-                    out += [(field, key, *x) for x in got]
-                yield pd.DataFrame(out, columns=columns)
+                analysed = {x: Text(x) for x in dict.fromkeys(pdf["text"])}
+                # a text without lines that may recur is the same in every volume
+                at = [(x, d if any(analysed[x].keys) else None) for x, d in zip(pdf["text"], pdf["doc_id"])]
+                each = list(dict.fromkeys(at))
+                own = [analysed[x] for x, _ in each]
+                states = _labelled(own, [d for _, d in each], [look] * len(each), model, all_lines)
+                done = {k: make(t, look, l) for k, t, l in zip(each, own, states)}
+                yield pd.DataFrame([(field, key, *x) for field, key, k in zip(pdf["field"], pdf["row_key"], at) for x in done[k]], columns=columns)
 
         return rows.select("field", "row_key", "doc_id", "text").mapInPandas(run, schema)
 
-    strong = rows.sparkSession.sparkContext.broadcast(known.strong)
-
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, doc, text in zip(pdf["rid"], pdf["doc_id"], pdf["text"]):
                 t = Text(text)
-                out += [(i, "w", w, "", doc) for w in {*t.words(), *(a + b for a, b in t.pairs.values()), *(x for p in t.pairs.values() for x in p)}] + [(i, "p", a, b, doc) for a, b in set(t.pairs.values())] + [(i, "l", x, "", doc) for k in set(t.keys) if k for x in {k, *(strong.value[v] for v in near(k) if v in strong.value)}]
+                out += [(i, "w", w, "", doc) for w in {*_WORD.findall(t.low), *(a + b for a, b in t.pairs.values())}] + [(i, "p", a, b, doc) for a, b in set(t.pairs.values())] + [(i, "l", k, "", doc) for k in set(t.keys) if k]
             yield pd.DataFrame(out, columns=["rid", "kind", "a", "b", "doc_id"])
 
     stored = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "p6-rows")
@@ -444,26 +484,21 @@ def _each(rows: DataFrame, known: Knowledge, schema: str, make: Callable[[Text,
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: list[tuple] = []
-            for field, key, doc, text, got in zip(pdf["field"], pdf["row_key"], pdf["doc_id"], pdf["text"], pdf["answers"]):
+            own, docs, looks = [*map(Text, pdf["text"])], [*pdf["doc_id"]], []
+            for doc, got in zip(docs, pdf["answers"]):
                 got = got if got is not None else []
-                look = ({r["a"]: r["b"] for r in got if r["kind"] == "w"}, {(r["a"], r["b"]) for r in got if r["kind"] == "p"}, {(r["a"], doc): (r["x"], r["y"]) for r in got if r["kind"] == "l"}, strong.value)
-                made = make(Text(text), look, doc, "", 0)
-                out += [(field, key, *x) for x in made]
-            yield pd.DataFrame(out, columns=columns)
+                looks.append(({r["a"]: r["b"] for r in got if r["kind"] == "w"}, {(r["a"], r["b"]) for r in got if r["kind"] == "p"}, {(r["a"], doc): (r["x"], r["y"]) for r in got if r["kind"] == "l"}))
+            states = _labelled(own, docs, looks, model, all_lines)
+            yield pd.DataFrame([(field, key, *x) for field, key, t, look, l in zip(pdf["field"], pdf["row_key"], own, looks, states) for x in make(t, look, l)], columns=columns)
 
     return per_row.mapInPandas(run_joined, schema)
 
 
-def _labels(t: Text, look: Lookup, doc: int, model: Layout) -> list[int]:
-    return model.label(features(t, support(look, doc))) if any(t.keys) or any(t.numbers) else [0] * len(t.lines)
-
-
-def noise_of(t: Text, look: Lookup, doc: int, model: Layout) -> list[tuple[str, int]]:
-    """(noise_kind, line_no) of one text."""
+def noise_of(t: Text, look: Lookup, labels: list[int] | None) -> list[tuple[str, int]]:
+    """(noise_kind, line_no) of one text; words are judged on lines of text only."""
     misread, compounds = look[:2]
-    labels = _labels(t, look, doc, model)
-    out: list[tuple[str, int]] = [(("running_header", "page_number")[l - 1], i) for i, l in enumerate(labels) if l]
+    aside = {i: "running_header" if l == HEADER else "page_number" for i, l in enumerate(labels) if l >= HEADER} if labels else {}
+    out: list[tuple[str, int]] = [(kind, i) for i, kind in aside.items()]
     bad: set[int] = set()
     if not misread.keys().isdisjoint(_WORD.findall(t.low)):
         for i, ts in enumerate(t.tokens()):
@@ -471,7 +506,7 @@ def noise_of(t: Text, look: Lookup, doc: int, model: Layout) -> list[tuple[str,
             if any(w in misread for w in ts[lo:hi]):
                 bad.add(i)
     for i, (a, b) in t.pairs.items():
-        if labels[i]:
+        if i in aside:
             continue
         if (a, b) in compounds:
             bad |= {i} if a in misread else set()
@@ -482,18 +517,16 @@ def noise_of(t: Text, look: Lookup, doc: int, model: Layout) -> list[tuple[str,
         if top:
             same = next((k for k, (x, y) in enumerate(zip(a + b, top)) if x != y), min(len(a + b), len(top)))
             bad.add(i if same < len(a) else i + 1)
-    return out + [("misread", i) for i in sorted(bad) if not labels[i]]
+    return out + [("misread", i) for i in sorted(bad) if i not in aside]
 
 
-def paragraphs_of(t: Text, look: Lookup, doc: int, model: Layout) -> list[str]:
-    """The body of a text as paragraphs: no headers and page numbers, words joined and corrected, lines run together; a paragraph ends where a sentence ends well before the longest line does."""
+def paragraphs_of(t: Text, look: Lookup, labels: list[int]) -> list[str]:
+    """The text as paragraphs: no headers and page numbers, words joined and corrected, lines run together up to each break."""
     misread, compounds = look[:2]
-    labels = _labels(t, look, doc, model)
-    width = max(map(len, t.lines))
     fix = lambda m: _recased(m[0], misread[m[0].lower()]) if m[0].lower() in misread else m[0]
     out, held = [], ""
-    for i, x in enumerate(t.lines):
-        if labels[i]:
+    for i, (x, l) in enumerate(zip(t.lines, labels)):
+        if l >= HEADER:
             continue
         x = x.strip()
         if i in t.pairs and t.pairs[i] not in compounds:
@@ -502,7 +535,7 @@ def paragraphs_of(t: Text, look: Lookup, doc: int, model: Layout) -> list[str]:
         held += x
         if i in t.pairs:
             continue
-        if "|" in x or (held[-1:] in ".!?:。！？”»" and len(x) < 0.6 * width) or not x:
+        if l == BREAK or not x:
             out.append(_WORD.sub(fix, held))
             held = ""
         else:
@@ -518,23 +551,17 @@ def fitted(rows: DataFrame) -> tuple[Knowledge, Layout]:
     known = Knowledge(rows)
     # patterns of lines; those with lines that may recur get to know whether they do
     keyed = known.found.filter("kind = 'k'").select("what", "doc_id", "n").withColumn("rid", F.monotonically_increasing_id())
-    keyed = materialise(keyed.withColumn("keys", F.split("what", "\t")), "p6-keyed")
-    strong = rows.sparkSession.sparkContext.broadcast(known.strong)
-
-    def like(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(r, d, k, next((strong.value[v] for v in near(k) if v in strong.value), k)) for r, d, ks in zip(pdf["rid"], pdf["doc_id"], pdf["keys"]) for k in {*ks[1:]} if k]
-            yield pd.DataFrame(out, columns=["rid", "doc_id", "own", "key"])
-
-    asked = keyed.select("rid", "doc_id", "keys").mapInPandas(like, "rid long, doc_id long, own string, key string")
-    met = asked.join(known.lines, ["key", "doc_id"], "left").groupBy("rid").agg(F.collect_list(F.struct("own", "key", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("volumes", F.lit(0)).alias("volumes"))).alias("met"))
+    keyed = materialise(keyed.withColumn("keys", F.split("what", "\t")).drop("what"), "p6-keyed")
+    asked = keyed.select("rid", "doc_id", F.explode(F.array_distinct(F.slice("keys", 2, F.size("keys")))).alias("key")).filter("key != ''")
+    met = asked.join(known.lines, ["key", "doc_id"]).groupBy("rid").agg(F.collect_list(F.struct("key", "pages", "volumes")).alias("met"))
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = [*FEATURES].index("recurs")
         for pdf in batches:
             out = []
             for keys, n, met in zip(pdf["keys"], pdf["n"], pdf["met"]):
-                got = {m["own"]: 3 if m["volumes"] > 1 or m["key"] != m["own"] else 2 if m["pages"] > 1 else int(m["pages"] + m["volumes"] > 0) for m in (met if met is not None else [])}
-                out.append((_code([(*x[:-1], got.get(k, 0)) for x, k in zip(_decode(keys[0]), keys[1:])]), n))
+                got = {m["key"]: "3" if m["volumes"] > 1 else "2" if m["pages"] > 1 else str(int(m["pages"] + m["volumes"] > 0)) for m in (met if met is not None else [])}
+                out.append((" ".join([x[:at] + got.get(k, "0") + x[at + 1 :] for x, k in zip(keys[0].split(" "), keys[1:])]), n))
             yield pd.DataFrame(out, columns=["pattern", "n"])
 
     recurring = keyed.join(met, "rid", "left").select("keys", "n", "met").mapInPandas(resolve, "pattern string, n long")
@@ -546,11 +573,11 @@ def noise(regions: DataFrame, aligned: DataFrame) -> DataFrame:
     """(field, row_key, noise_kind, line_no)."""
     rows = texts(regions, aligned)
     known, model = fitted(rows)
-    return _each(rows, known, "field string, row_key long, noise_kind string, line_no int", lambda t, look, doc, *_: noise_of(t, look, doc, model))
+    return _each(rows, known, model, "field string, row_key long, noise_kind string, line_no int", noise_of)
 
 
 def repaired(regions: DataFrame, aligned: DataFrame) -> DataFrame:
     """(field, row_key, paragraph_no, paragraph)."""
     rows = texts(regions, aligned)
     known, model = fitted(rows)
-    return _each(rows, known, "field string, row_key long, paragraph_no int, paragraph string", lambda t, look, doc, *_: list(enumerate(paragraphs_of(t, look, doc, model))))
+    return _each(rows, known, model, "field string, row_key long, paragraph_no int, paragraph string", lambda t, look, labels: list(enumerate(paragraphs_of(t, look, labels))), all_lines=True)

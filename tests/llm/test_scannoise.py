@@ -1,3 +1,5 @@
+import numpy as np
+
 from palimpsest.llm import scannoise as N
 
 
@@ -50,9 +52,36 @@ def test_joined_lookup_equals_sent_lookup(spark, monkeypatch):
 
 
 def test_hidden_markov_model_sums_to_one():
-    post, moves = N.Layout().expect([(1, 1, 0, 0, 3), (3, 0, 0, 0, 0), (2, 0, 1, 0, 0)])
-    assert all(abs(sum(p) - 1) < 1e-9 for p in post) and abs(sum(map(sum, moves)) - 2) < 1e-9
-    assert N.Layout().label([(1, 1, 0, 0, 3), (3, 0, 0, 0, 0), (2, 0, 1, 0, 0)]) == [1, 0, 2]
+    seq = np.array([[(1, 1, 0, 0, 3, 0), (3, 0, 0, 0, 0, 0), (3, 0, 0, 0, 0, 2), (2, 0, 1, 0, 0, 0)]])
+    post, moves = N.Layout().expect(seq)
+    assert np.allclose(post.sum(axis=2), 1) and np.isclose(moves.sum(), 3)
+    assert N.Layout().labels(["110030 300000 300002 201000", "000002"]) == {"110030 300000 300002 201000": [N.HEADER, N.BODY, N.BREAK, N.NUMBER], "000002": [N.BREAK]}
+
+
+def test_near_keys_joined_equal_near_keys_sent(spark, monkeypatch):
+    keys, strong = (spark.createDataFrame([(k,) for k in ks], "key string") for ks in (["abcd", "abcx", "abxd", "zzz", "bcd", "ac"], ["abc", "abcde", "abed"]))
+    want = sorted(map(tuple, N.near_ones(keys, strong).collect()))
+    assert want == [("ac", "abc"), ("abcd", "abc"), ("abcx", "abc"), ("abxd", "abed"), ("bcd", "abc")]
+    monkeypatch.setattr(N, "BOUND", 0)
+    assert sorted(map(tuple, N.near_ones(keys, strong).collect())) == want
+
+
+def test_lines_of_any_length(spark):
+    """A running header of more than 90 characters, one with a year and a volume, and a number in wide decorations."""
+    long = "MINUTES OF THE HONOURABLE COUNCIL OF THE BOROUGH OF STANWICK BAY AND OF THE PARISHES ADJOINING TO IT"
+    assert len(long) > 90 and N.header_key(long) and N.header_key("Minutes of Stanwick Council 1866 to 1871")
+    assert N.is_number("*" * 20 + " Page   112   of   240 " + "*" * 20) and N.is_number("lxxxviii") and not N.is_number("12 of the parishes that are in the borough")
+    texts = [f"{long}\nThe curious surveyor governed page {i} of the\nrecord here." for i in range(20)] + [BODY[i % 2] for i in range(60)]
+    got = {}
+    for r in N.noise(*frames(spark, texts)).collect():
+        got.setdefault(r.row_key, set()).add((r.noise_kind, r.line_no))
+    assert all(got[i] == {("running_header", 0)} for i in range(20)) and len(got) == 20
+
+
+def test_paragraphs_end_at_breaks(spark):
+    text = "The curious surveyor governed the through street before the winter.\nThe modern library went on and on for a long while, and the ending\nwas near.\nThe curious surveyor governed the through street before the winter"
+    got = N.repaired(*frames(spark, [text, BODY[0], None])).filter("row_key = 0").orderBy("paragraph_no").collect()
+    assert [r.paragraph[-9:] for r in got] == ["was near.", "he winter"]
 
 
 def test_header_behind_a_roman_number():
