@@ -1,3 +1,5 @@
+import numpy as np
+
 from palimpsest.llm import pii as P
 
 TEXTS = {
@@ -38,10 +40,19 @@ def test_find_and_redact(spark):
 def test_plain_positions():
     t = "a​b café ﬁn Ｘ"
     p, at = P.plain(t)
-    assert p == "ab café fin X" and [t[i] for i in at[:3]] == ["a", "b", " "]
+    assert p == "ab café fin X" and [t[at[i]] for i in range(3)] == ["a", "b", " "]
     assert t[at[3] : P._end(t, at, 7)] == "café"
 
 
+def test_plain_positions_one_by_one():
+    """Every place of a text of many moved characters against a loop over its characters."""
+    t = "Ａ\u200bb\u0301e\u0301 ﬁ2½²\u00ad ﬄx\u0301\u0301y\u200d"
+    p, at = P.plain(t)
+    where = [at[i] for i in range(len(p))]
+    assert p == "Ab\u00e9 fi2½² fflxy"
+    assert where == sorted(where) and t[where[0]] == "Ａ" and t[where[p.index("y")]] == "y" and [t[where[i]] for i in range(p.index("ffl"), p.index("ffl") + 3)] == ["ﬄ"] * 3
+
+
 def test_votes_learn_reliability():
     counts = {(1, 1, 1, -1, 1): 90.0, (0, 0, 0, -1, 0): 80.0, (1, 0, 1, -1, 1): 5.0, (0, 1, 0, -1, 0): 8.0}
     v = P.Votes(counts)
@@ -49,6 +60,26 @@ def test_votes_learn_reliability():
     P.Votes({})
 
 
+def test_classifier_learns_context():
+    """Where votes say little, the words around a span decide."""
+    rng = np.random.default_rng(1)
+    votes = rng.integers(-1, 2, (400, P.LABELERS))
+    yes = rng.random(400) < 0.5
+    x = np.array([P._hashed(*(f"{k}{'tel' if y and k == 1 else rng.integers(9)}" for k in range(P.FEATURES))) for y in yes])
+    w = P.train(votes[:300], x[:300], yes[:300].astype(float))
+    assert ((P.probability(w, votes[300:], x[300:]) >= 0.5) == yes[300:]).mean() > 0.95
+    assert not P.train(votes[:0], x[:0], np.zeros(0)).any()
+
+
+def test_joined_roles_equal_sent_roles(spark, monkeypatch):
+    texts = [*TEXTS, *(f"Signed, {g} Oakhanger of the town." for g in ("Brandt", "Orlin", "Denholm", "Renske"))]
+    rows = spark.createDataFrame([("text_content", i, t) for i, t in enumerate(texts)], "field string, row_key long, text string")
+    parts = spark.createDataFrame([(i, k, s) for i, (k, s) in enumerate(PARTS)], "part_key int, kind string, spelling string")
+    want = sorted(map(tuple, P.find(rows, parts).collect()))
+    monkeypatch.setattr(P, "BOUND", 0)
+    assert len(want) > 15 and sorted(map(tuple, P.find(rows, parts).collect())) == want
+
+
 def test_german_streets_over_line_ends():
     for t, want in (("Wohnhaft Am\nTannhof 21 b, 02445 Oberfelden.", "Am\nTannhof 21 b, 02445 Oberfelden"), ("Das Haus Lange Allee 12 ist leer.", "Lange Allee 12"), ("Hinter\ndem Anger 4", "Hinter\ndem Anger 4")):
         assert [t[a:b] for kind, a, b, _ in P.candidates(t) if kind == "address"] == [want]
