@@ -46,7 +46,7 @@ MEETING_SHARE, DOUBT = 0.22, 9
 #: Roles of words are sent to all tasks up to this many; more are joined.
 BOUND = 500_000
 #: Spans of each type the classifier is trained on, and the size of the table its features are hashed to.
-SAMPLE, TABLE = 20_000, 1 << 14
+SAMPLE, TABLE = 5_000, 1 << 14
 #: Features of a span beside its votes.
 FEATURES = 8
 
