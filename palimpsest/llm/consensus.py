@@ -20,54 +20,77 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.lookalike import lookalike_table, readings, rewriter
-from palimpsest.plans.runtime import materialise
+from palimpsest.plans.runtime import materialise, small_rows
 
 KINDS = ("known", "unknown", "nothing", "repeated")
 ITERATIONS = 8
 _TOKEN = re.compile(r"[^\S\n]*[^\s]+|[^\S\n]*\n|[^\S\n]+")
 _EDGES = re.compile(r"^\W+|[^\w²³¹½¼¾%]+$")
 _DIGIT = re.compile(r"\d")
-#: Candidates are told apart by the logarithm of their counts, up to this many doublings.
-MAX_LOG = 24
+#: Counts of the words in differing labels are sent to all tasks up to this many; more are joined.
+BOUND = 500_000
 
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+@lru_cache(300_000)
+def _unit(token: str) -> str:
+    return _DIGIT.sub("0", _EDGES.sub("", token))
+
+
 def units(text: str) -> list[str]:
     """The tokens as they are counted: without outer punctuation and with every digit as 0."""
-    return [x for t in text.split() if (x := _DIGIT.sub("0", _EDGES.sub("", t)))]
+    return [x for x in map(_unit, text.split()) if x]
+
+
+def _ends(lists: list[list[str]]) -> tuple[int, int]:
+    """How many tokens all lists begin and, behind those, end with."""
+    least, (first, *rest) = min(map(len, lists)), lists
+    head = next((i for i in range(least) if any(x[i] != first[i] for x in rest)), least)
+    tail = next((i for i in range(least - head) if any(x[-1 - i] != first[-1 - i] for x in rest)), least - head)
+    return head, tail
 
 
 def segments(texts: list[str]) -> list[list[str]]:
     """The aligned texts as segments in reading order: of one string where all agree, of one label per text elsewhere.
 
-    All texts are aligned to the one that most agree with; spans of it that differ from any text are joined where they
-    overlap, and a replacement of as many tokens as it replaces is split into single tokens."""
+    Between what all begin and end with, all texts are aligned to the one that most agree with; spans of it that differ from
+    any text are joined where they overlap, and a replacement of as many tokens as it replaces is split into single tokens."""
     if len(set(texts)) == 1:
         return [[texts[0]]]
     lists = [tokens(t) for t in texts]
+    head, tail = _ends(lists)
+    middles = [x[head : len(x) - tail] for x in lists]
     common, times = Counter(texts).most_common(1)[0]
     pivot = texts.index(common)
     if times == 1 and len(texts) > 2:
-        alike = [sum(SequenceMatcher(None, a, b, autojunk=False).ratio() for b in lists) for a in lists]
+        alike = [0.0] * len(lists)
+        for i, j in itertools.combinations(range(len(lists)), 2):
+            same = head + tail + sum(m.size for m in SequenceMatcher(None, middles[i], middles[j], autojunk=False).get_matching_blocks())
+            for k in (i, j):
+                alike[k] += 2 * same / (len(lists[i]) + len(lists[j]))
         pivot = alike.index(max(alike))
     base = lists[pivot]
     edits: list[list[tuple[int, int, int]]] = []  # span of the base, tokens gained
-    for other in lists:
-        mine = []
-        if other != base:
-            for op, a, b, c, d in SequenceMatcher(None, base, other, autojunk=False).get_opcodes():
+    done: dict[str, list[tuple[int, int, int]]] = {texts[pivot]: []}
+    for text, other in zip(texts, middles):
+        mine = done.get(text)
+        if mine is None:
+            mine = done[text] = []
+            for op, a, b, c, d in SequenceMatcher(None, middles[pivot], other, autojunk=False).get_opcodes():
                 if op != "equal":
+                    a, b = a + head, b + head
                     mine += [(i, i + 1, 0) for i in range(a, b)] if b - a == d - c else [(a, b, (d - c) - (b - a))]
         edits.append(mine)
     spans: list[list[int]] = []
@@ -110,7 +133,7 @@ def classes(labels: list[str], counts: list[int], around: tuple[str, str]) -> di
     for label, n in zip(labels, counts):
         if label not in out:
             kind = 2 if not label.strip() else 3 if _repeats(label, around) else 0 if n else 1
-            out[label] = (kind, min(MAX_LOG, int(math.log2(n + 1))) // 3 if kind < 2 else 0)
+            out[label] = (kind, int(math.log2(n + 1)) // 3 if kind < 2 else 0)
     return out
 
 
@@ -161,7 +184,7 @@ def _read(text: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
 
 
 def fit(patterns: DataFrame, iterations: int = ITERATIONS) -> Model:
-    """Expectation-maximisation over ``pattern string, n long``. What comes back to the driver per iteration is a row per engine and kind and a row per class of candidate (at most 4 x 9)."""
+    """Expectation-maximisation over ``pattern string, n long``. What comes back to the driver per iteration is a row per engine and kind and a row per class of candidate (at most 4 x 22)."""
     model = Model()
     for _ in range(iterations):
 
@@ -203,12 +226,15 @@ def _aligned(rows: DataFrame, key: str) -> DataFrame:
     table = lookalike_table(readings(rows, key), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rewrite = rewriter(table)
+        rewrite = lru_cache(50_000)(rewriter(table))
         for pdf in batches:
             out, seen, same = [], Counter(), Counter()
+            done: dict[tuple[str, ...], list[list[str]]] = {(): []}
             for k, n, entries in zip(pdf[key], pdf["entries"], pdf["e"]):
-                engines, texts = [e["engine"] for e in entries], [rewrite(e["text"]) for e in entries]
-                parts = segments(texts) if texts else []
+                engines, texts = [e["engine"] for e in entries], tuple([rewrite(e["text"]) for e in entries])
+                parts = done.get(texts)
+                if parts is None:
+                    parts = done[texts] = segments([*texts])
                 for x in parts:
                     if len(x) == 1 or len(texts) == 1:
                         seen.update(units(x[0]))
@@ -225,36 +251,50 @@ def _aligned(rows: DataFrame, key: str) -> DataFrame:
     return pairs.mapInPandas(run, f"{key} long, entries int, engines array<string>, segments array<array<string>>, word string, n long")
 
 
+def _counted(regions: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, Callable[[object], dict[str, int]]]:
+    """Regions that differ somewhere, and what gives the counts of the words in a row's labels: from a table sent to all tasks if it is small, else from a column joined to the row, frequent words over several keys."""
+
+    def label_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = {(rid, u) for rid, parts in zip(pdf["rid"], pdf["segments"]) for x in parts if len(x) > 1 for l in dict.fromkeys(x) for u in units(l)}
+            yield pd.DataFrame(list(words), columns=["rid", "word"])
+
+    def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"word": list({u for parts in pdf["segments"] for x in parts if len(x) > 1 for l in dict.fromkeys(x) for u in units(l)})}, dtype=object)
+
+    needed = regions.select("segments").mapInPandas(distinct_words, "word string").distinct().join(vocabulary, "word")
+    few = small_rows(needed, BOUND)
+    if few is not None:
+        sent = regions.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in few})
+        return regions, lambda _: sent.value
+    salt = F.lit(16)
+    spread = vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), salt - 1)))
+    words = regions.select("rid", "segments").mapInPandas(label_words, "rid long, word string").withColumn("salt", F.pmod(F.col("rid"), salt).cast("int"))
+    counts = words.join(spread, ["word", "salt"]).groupBy("rid").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
+    return materialise(regions.join(counts, "rid", "left"), "p3-sites"), lambda rows: {r["word"]: r["n"] for r in (rows if rows is not None else [])}
+
+
 def resolve(aligned: DataFrame, key: str = "aligned_key") -> tuple[DataFrame, Model]:
     """Consensus per region (key, entries, consensus_reading, agreement, wrong_engines) and the fitted model."""
     stored = materialise(_aligned(aligned.filter("engine_texts is not null"), key).withColumn("rid", F.monotonically_increasing_id()), "p3-aligned")
     vocabulary = stored.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    regions = stored.filter("segments is not null")
-    # the rarest unit of each label, counted where engines agree
-
-    def label_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for rid, parts in zip(pdf["rid"], pdf["segments"]):
-                for k, x in enumerate(parts):
-                    out += [(rid, k, l, u) for l in (dict.fromkeys(x) if len(x) > 1 else ()) for u in units(l)]
-            yield pd.DataFrame(out, columns=["rid", "site", "label", "word"])
-
-    labels = regions.filter(F.exists("segments", lambda x: F.size(x) > 1)).select("rid", "segments").mapInPandas(label_units, "rid long, site int, label string, word string")
-    rarest = labels.join(vocabulary, "word", "left").groupBy("rid", "site", "label").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
-    counts = rarest.groupBy("rid").agg(F.collect_list(F.struct("site", "label", "n")).alias("counts"))
-    joined = materialise(regions.select("rid", key, "entries", "engines", "segments").join(counts, "rid", "left"), "p3-sites")
+    regions = stored.filter("segments is not null").select("rid", key, "entries", "engines", "segments")
+    differ = F.exists("segments", lambda x: F.size(x) > 1)
+    joined, count_of = _counted(regions.filter(differ), vocabulary)
 
     def sites(pdf: pd.DataFrame) -> Iterator[tuple[int, list[str], int, list[str], list[int], tuple[str, str]]]:
         """Index of the row, engines, index of the segment, labels, counts, texts before and after."""
-        for i, (engines, parts, rows) in enumerate(zip(pdf["engines"], pdf["segments"], pdf["counts"])):
+        counts = pdf["counts"] if "counts" in pdf else [None] * len(pdf)
+        for i, (engines, parts, rows) in enumerate(zip(pdf["engines"], pdf["segments"], counts)):
             if len(engines) < 2:
                 continue
-            known = {(r["site"], r["label"]): r["n"] for r in (rows if rows is not None else [])}
+            count = count_of(rows)
             for k, x in enumerate(parts):
                 if len(x) > 1:
                     around = (parts[k - 1][0] if k else "", parts[k + 1][0] if k + 1 < len(parts) else "")
-                    yield i, list(engines), k, list(x), [known.get((k, l), 0) for l in x], around
+                    of = {l: min((count.get(u, 0) for u in units(l)), default=0) for l in dict.fromkeys(x)}
+                    yield i, list(engines), k, list(x), [of[l] for l in x], around
 
     def patterns_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -263,8 +303,8 @@ def resolve(aligned: DataFrame, key: str = "aligned_key") -> tuple[DataFrame, Mo
                 total[pattern(engines, x, classes(x, n, around))] += 1
         yield pd.DataFrame(list(total.items()), columns=["pattern", "n"])
 
-    same = stored.filter("segments is null and word is null").select(F.concat(F.array_join(F.transform("engines", lambda e: F.concat(e, F.lit("=0"))), ";"), F.lit(f"|0,{MAX_LOG // 3}")).alias("pattern"), "n")
-    patterns = materialise(joined.filter(F.exists("segments", lambda x: F.size(x) > 1)).mapInPandas(patterns_of, "pattern string, n long").unionByName(same).groupBy("pattern").agg(F.sum("n").alias("n")), "p3-patterns")
+    same = stored.filter("segments is null and word is null").select(F.concat(F.array_join(F.transform("engines", lambda e: F.concat(e, F.lit("=0"))), ";"), F.lit("|0,8")).alias("pattern"), "n")
+    patterns = materialise(joined.mapInPandas(patterns_of, "pattern string, n long").unionByName(same).groupBy("pattern").agg(F.sum("n").alias("n")), "p3-patterns")
     model = fit(patterns)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,7 +326,11 @@ def resolve(aligned: DataFrame, key: str = "aligned_key") -> tuple[DataFrame, Mo
                 out.append((key_, n, text, agreement, sorted(bad)))
             yield pd.DataFrame(out, columns=[key, "entries", "consensus_reading", "agreement", "wrong_engines"])
 
-    return joined.mapInPandas(choose, f"{key} long, entries int, consensus_reading string, agreement double, wrong_engines array<string>"), model
+    chosen = joined.mapInPandas(choose, f"{key} long, entries int, consensus_reading string, agreement double, wrong_engines array<string>")
+    # where all agree there is nothing to choose
+    one = F.get(F.get("segments", F.lit(0)), F.lit(0))
+    plain = regions.filter(~differ).select(key, "entries", F.when(F.size("segments") > 0, one).alias("consensus_reading"), F.when(F.size("segments") > 0, F.lit(1.0)).alias("agreement"), F.array().cast("array<string>").alias("wrong_engines"))
+    return chosen.unionByName(plain), model
 
 
 def wrong_readings(aligned: DataFrame, key: str = "aligned_key", least: int = 3) -> DataFrame:

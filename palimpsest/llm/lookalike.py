@@ -7,7 +7,7 @@ Edges of the union-find, for the code points that occur in the corpus:
 
 * canonical equivalence (a composed letter and its base plus marks, in every mixture of alike bases and marks),
 * wide, narrow, no-break, contextual and ligature forms and the text they stand for,
-* letters of Latin, Greek and Cyrillic that are drawn alike (``TWINS``),
+* letters of Latin, Greek, Cyrillic and Armenian that are drawn alike (``TWINS``),
 * every kind of blank and the plain blank, every invisible character and nothing, every line separator and ``\\n``.
 
 Raised and lowered figures, fractions, circled forms and font variants look different and stay apart, and so do a
@@ -19,10 +19,10 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata as ud
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 # Letters of other scripts drawn like the Latin letter on the left (Greek, then Cyrillic and others).
 TWINS = {
     "A": "ΑА", "B": "ΒВ", "C": "С", "E": "ΕЕ", "F": "Ϝ", "G": "Ԍ", "H": "ΗН", "I": "ΙІӀ", "J": "ͿЈ", "K": "ΚК",
-    "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "Q": "Ԛ", "S": "Ѕ", "T": "ΤТ", "V": "Ѵ", "W": "Ԝ", "X": "ΧХ",
-    "Y": "ΥҮ", "Z": "Ζ", "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ",
-    "o": "οо", "p": "р", "q": "ԛ", "s": "ѕ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
+    "M": "ΜМ", "N": "Ν", "O": "ΟОՕ", "P": "ΡР", "Q": "Ԛ", "S": "Ѕ", "T": "ΤТ", "V": "Ѵ", "W": "Ԝ", "X": "ΧХ",
+    "Y": "ΥҮ", "Z": "Ζ", "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ",
+    "n": "ո", "o": "οоօ", "p": "р", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
 }
 #: Compatibility tags of the Unicode character data under which the look is kept.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
@@ -134,9 +134,12 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
 
 
 class Rewriter:
-    """Rewrites texts by a table of representatives; ``rewrite(rewrite(t)) == rewrite(t)``."""
+    """Rewrites texts by a table of representatives until they stay the same; ``rewrite(rewrite(t)) == rewrite(t)``."""
 
     def __init__(self, table: dict[str, str]) -> None:
+        # a text without any of these, and composed already, is what it should be
+        first = {k[0] for k in table}
+        self.odd = re.compile("[" + "".join(map(re.escape, sorted(first))) + "]") if first else None
         gone = "".join(k for k, v in table.items() if not v)
         self.invisible = re.compile(f"[{re.escape(gone)}]") if gone else None
         self.automaton = ahocorasick.Automaton()
@@ -148,33 +151,39 @@ class Rewriter:
         if not self.empty:
             self.automaton.make_automaton()
 
+    def _once(self, text: str) -> str:
+        if self.invisible:
+            text = self.invisible.sub("", text)
+        text = ud.normalize("NFC", text)
+        if self.empty:
+            return text
+        out, at = [], 0
+        for end, (n, v) in self.automaton.iter_long(text):
+            out += (text[at : end - n + 1], v)
+            at = end + 1
+        return "".join([*out, text[at:]]) if out else text
+
     def __call__(self, text: str | None) -> str | None:
-        if text is None or (self.plain_ascii and text.isascii()):
+        if text is None or (self.plain_ascii and text.isascii()) or (not (self.odd and self.odd.search(text)) and ud.is_normalized("NFC", text)):
             return text
-        for _ in range(4):
-            before = text
-            if self.invisible:
-                text = self.invisible.sub("", text)
-            text = ud.normalize("NFC", text)
-            if not self.empty:
-                out, at = [], 0
-                for end, (n, v) in self.automaton.iter_long(text):
-                    out += (text[at : end - n + 1], v)
-                    at = end + 1
-                text = "".join([*out, text[at:]]) if out else text
-            if text == before:
-                break
-        return text
+        seen: list[str] = []
+        while text not in seen:
+            seen.append(text)
+            text = self._once(text)
+        # forms that lead to each other come to the least of them
+        return min(seen[seen.index(text) :])
 
 
 def count_code_points(texts: DataFrame, column: str) -> dict[str, int]:
     """Code point counts over all texts of ``column``, combined per batch before the shuffle. What reaches the driver is bounded by the 1,114,112 code points of Unicode."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        total = np.zeros(0x110000, dtype=np.int64)
         for pdf in batches:
-            total.update("".join(pdf[column].dropna()))
-        yield pd.DataFrame({"cp": [ord(c) for c in total], "n": list(total.values())}, dtype="int64")
+            points = np.frombuffer("".join(pdf[column].dropna()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            total += np.bincount(points, minlength=len(total))
+        met = np.flatnonzero(total)
+        yield pd.DataFrame({"cp": met, "n": total[met]}, dtype="int64")
 
     rows = texts.select(column).mapInPandas(partial, "cp long, n long").groupBy("cp").agg(F.sum("n").alias("n")).collect()
     return {chr(r["cp"]): r["n"] for r in rows}

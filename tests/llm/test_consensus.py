@@ -58,3 +58,15 @@ def test_small_regions_count_in_the_model(spark):
     rows = [(k, [("a", "the quick storm"), ("b", "the quick storm")]) for k in range(40)] + [(99, [("a", "the qvick storm"), ("b", "the quiok storm"), ("c", "the quick storm")])]
     got = {(r.aligned_key, r.engine) for r in C.wrong_readings(frame(spark, rows)).collect()}
     assert got == {(99, "a"), (99, "b")}
+
+
+def test_joined_counts_equal_sent_counts(spark, monkeypatch):
+    rows = [(k, [("a", "the quick storm"), ("b", "the quick storm")]) for k in range(40)] + [(99, [("a", "the qvick storm"), ("b", "the quiok storm"), ("c", "the quick storm")]), (98, [("a", "the storm the"), ("b", "storm"), ("c", "")])]
+    read = lambda: sorted((r.aligned_key, r.consensus_reading, round(r.agreement, 9), r.wrong_engines) for r in C.resolve(frame(spark, rows))[0].collect())
+    want = read()
+    monkeypatch.setattr(C, "BOUND", 0)
+    assert read() == want and len(want) == 42
+
+
+def test_frequent_words_have_classes_of_their_own():
+    assert C.classes(["a", "b"], [2**25, 2**40], ("", "")) == {"a": (0, 8), "b": (0, 13)}

@@ -33,6 +33,18 @@ def test_rewriting_is_stable(t):
     assert r(ud.normalize("NFD", t)) == once
 
 
+def test_rewriting_goes_on_until_nothing_changes():
+    """Rewritten parts that make new ones, more than four times over; forms that lead to each other."""
+    assert L.Rewriter({"ba": "ab"})("bbbbbbbba") == "abbbbbbbb"
+    r = L.Rewriter({"x": "y", "y": "x"})
+    assert r("x") == r("y") == r(r("x"))
+
+
+def test_letters_of_other_scripts():
+    r = L.Rewriter(L.representatives(dict.fromkeys("aɑoοоօOՕngɡ", 1) | dict.fromkeys("aogO", 50)))
+    assert r("ɑօɡՕ") == "aogO" and r("ο") == r("о") == "o"
+
+
 def test_pairs(spark):
     rows = [(1, [("b", "the"), ("a", "ｔｈｅ"), ("c", "tho")]), (1, [("b", "the"), ("a", "ｔｈｅ")]), (2, [("a", "x"), ("b", None), (None, "x")]), (3, None), (4, []), (5, [("a", "m²"), ("b", "m2")]), (6, [("a", "same"), ("b", "same")]), (7, [("a", ""), ("b", "​")])]
     df = spark.createDataFrame([(k, e, "clash", 1) for k, e in rows], "aligned_key long, engine_texts array<struct<engine:string,text:string>>, engine_a string, text int")
