@@ -10,6 +10,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.strings import let, places
+
 Box = Mapping[str, Column]
 #: Points per inch of the extractors that give PDF points; pages are 300 DPI pixels.
 POINTS = 72.0
@@ -72,10 +74,15 @@ def to_pixels(unit: Box, width: Column, height: Column) -> Box:
 def from_source(b: Box, system: Column, dpi: Column, page_height: Column) -> Box:
     """300-DPI top-left pixels from PDF points, from pixels, or from bottom-left points given as left, bottom, right, top.
 
-    Rounded to two places half up; an unknown system or a missing height gives null."""
+    Rounded to two places by the exact binary value; an unknown system or a missing height gives null."""
     s = dpi / F.lit(POINTS)
     flipped = {"x1": b["x1"] * s, "y1": page_height - b["y2"] * s, "x2": b["x2"] * s, "y2": page_height - b["y1"] * s}
-    return {c: F.round(F.when(system == "pdf_points_topleft", v * s).when(system == "pixel_topleft", v).when(system == "docling_bottomleft", flipped[c]), 2) for c, v in b.items()}
+    return {c: two_places(F.when(system == "pdf_points_topleft", v * s).when(system == "pixel_topleft", v).when(system == "docling_bottomleft", flipped[c])) for c, v in b.items()}
+
+
+def two_places(c: Column) -> Column:
+    """A number rounded to two places by its exact binary value, ties to even."""
+    return let(c, lambda v: places(F.abs(v), 2).cast("double") * F.when(v < 0, -1.0).otherwise(1.0))
 
 
 def handwriting_position(x1: Column, x2: Column, width: Column) -> Column:

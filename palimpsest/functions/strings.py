@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -199,8 +201,8 @@ def candidate_block(candidates: Column) -> Column:
 
 
 def pipe_table(text: Column, separator: str = "\t") -> Column:
-    """Rows of separated cells as a pipe table: blank rows dropped, short rows filled up, the first row as head."""
-    rows = F.filter(F.split(text, "\n"), lambda r: strip(r) != "")
+    """Rows of separated cells as a pipe table: the text stripped, blank rows dropped, short rows filled up, the first row as head."""
+    rows = F.filter(F.split(strip(text), "\n"), lambda r: strip(r) != "")
     cells = F.transform(rows, lambda r: F.transform(F.split(r, separator), strip))
     width = F.array_max(F.transform(cells, lambda r: F.size(r)))
     full = F.transform(cells, lambda r: F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))))
@@ -209,10 +211,43 @@ def pipe_table(text: Column, separator: str = "\t") -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.size(lines))), "\n")).otherwise("")
 
 
+# What is taken out of embedded graphics.
+SCRIPTS, HANDLERS = r"(?is)<script[^>]*>.*?</script>", (r'\s+on\w+\s*=\s*"[^"]*"', r"\s+on\w+\s*=\s*'[^']*'")
+
+
 def clean_svg(text: Column) -> Column:
     """Without script blocks and quoted event handlers."""
-    out = F.regexp_replace(text, r"(?is)<script[^>]*>.*?</script>", "")
-    return F.regexp_replace(F.regexp_replace(out, r'\son\w+\s*=\s*"[^"]*"', ""), r"\son\w+\s*=\s*'[^']*'", "")
+    out = F.regexp_replace(text, SCRIPTS, "")
+    for handler in HANDLERS:
+        out = F.regexp_replace(out, handler, "")
+    return out
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def places(c: Column, n: int) -> Column:
+    """A number that isn't negative with ``n`` (1 or 2) decimals, rounded by its exact binary value, ties to even, as C does; the JVM's formatting goes by the shortest decimal text instead.
+
+    The fraction is taken apart in whole numbers of 64 bits: small fractions at a finer scale, so no bit of one that could be a tie is lost."""
+    ten = 10**n
+
+    def scaled(v: Column) -> Column:
+        part = v - F.floor(v)
+        of = lambda bits: F.struct(F.floor(v).alias("whole"), (F.floor(part * float(2**bits)).cast("long") * ten).alias("x"), F.lit(2**bits).alias("unit"))
+        return F.when(part >= 1 / 16, of(56)).otherwise(of(60))
+
+    def digits(z: Column) -> Column:
+        """The whole part and the rounded decimals as one number of units of the last place."""
+        k, half = z["q"], F.shiftright(z["unit"], 1)
+        rest = z["x"] - k * z["unit"]
+        return z["whole"] * ten + k + ((rest > half) | ((rest == half) & (k % 2 == 1))).cast("long")
+
+    quotient = lambda z: F.struct(z["whole"].alias("whole"), z["x"].alias("x"), z["unit"].alias("unit"), F.when(z["unit"] == 2**56, F.shiftright(z["x"], 56)).otherwise(F.shiftright(z["x"], 60)).alias("q"))
+    show = lambda u: F.concat(F.floor(u / ten).cast("string"), F.lit("."), F.lpad((u % ten).cast("string"), n, "0"))
+    return let(let(let(let(c, scaled), quotient), digits), show)
 
 
 def latex_valid(text: Column) -> Column:

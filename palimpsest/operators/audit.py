@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.strings import places
 from palimpsest.operators.clean import lookup
 
 # Dollars per second of an engine's run; others as a CPU.
-RATES = {"pdfplumber": 0.000043, "paddleocr": 0.000306, "docling": 0.000164, "trocr": 0.000164, "dots": 0.000306}
+RATES = {"pdfplumber": 0.000043, "paddleocr": 0.000306, "docling": 0.000164, "trocr": 0.000164, "dots": 0.000306, "llm_arbiter": 0.000306}
 CPU_RATE = 0.000043
 ALERT_SHARE = 0.8
-# Accuracy limits per kind of document; cer must not be above, table_teds not below.
-LIMITS = (("clean_digital", "cer", 0.01), ("clean_digital", "table_teds", 0.95), ("scanned", "cer", 0.03), ("handwriting", "cer", 0.05))
-
-
 def rate(engine: Column) -> Column:
     return F.coalesce(lookup({k: str(v) for k, v in RATES.items()}, engine).cast("double"), F.lit(CPU_RATE))
 
@@ -44,15 +41,17 @@ def within_budget(costs: DataFrame, budget_nano: int) -> DataFrame:
 
 
 def alerts(spent: DataFrame) -> DataFrame:
-    """Rows (key_hash, spent_usd, budget_usd) at or above the alert share; a null budget never alerts."""
+    """Rows (job_id, key_hash, spent_usd, budget_usd) at or above the alert share, with a message; a null budget never alerts."""
     hit = spent.filter(F.col("spent_usd") >= F.col("budget_usd") * ALERT_SHARE)
     share = F.col("spent_usd") / F.col("budget_usd") * 100
-    return hit.select("key_hash", "spent_usd", "budget_usd", (F.col("spent_usd") >= F.col("budget_usd")).alias("exceeded"), F.format_string("Spent $%.4f of $%.4f (%.1f%%)", "spent_usd", "budget_usd", share).alias("message"))
+    money = lambda c: F.format_string("%.4f", c)
+    message = F.concat(F.lit("Job "), F.col("job_id").cast("string"), F.lit(" has used "), places(share, 1), F.lit("% of budget ($"), money("spent_usd"), F.lit("/$"), money("budget_usd"), F.lit(")"))
+    return hit.select("job_id", "key_hash", "spent_usd", "budget_usd", F.lit(ALERT_SHARE).alias("threshold_pct"), (F.col("spent_usd") >= F.col("budget_usd")).alias("exceeded"), message.alias("message"))
 
 
 def character_errors(predicted: Column, truth: Column) -> Column:
-    """Edits per character of the truth."""
-    return F.levenshtein(predicted, truth) / F.greatest(F.length(truth), F.lit(1))
+    """Edits per character of the truth, in code points."""
+    return F.when(predicted == truth, 0.0).otherwise(F.levenshtein(predicted, truth) / F.greatest(F.length(truth), F.lit(1)))
 
 
 def regressions(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -62,5 +61,26 @@ def regressions(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def regression_report(found: DataFrame) -> DataFrame:
-    line = F.format_string("| %s | %s | %.4f | %.4f |", "benchmark", "metric", "value", "limit")
-    return found.select("benchmark", "metric", line.alias("line"))
+    """The report as lines (line_no, line): title, how many, and a table of benchmarks in order, or that all pass. As many rows as benchmarks."""
+    rows = found.select("benchmark", "metric", F.format_string("| %s | %s | %.4f | %.4f |", "benchmark", "metric", "limit", "value").alias("line"))
+    all_rows = rows.agg(F.array_sort(F.collect_list(F.struct("benchmark", "metric", "line"))).alias("r"))
+    text = lambda *xs: F.array(*map(F.lit, xs))
+    count = F.concat(F.lit("**"), F.size("r").cast("string"), F.lit(" regression(s) detected.**"))
+    table = F.concat(F.array(count), text("", "| Benchmark | Metric | Expected | Actual |", "|-----------|--------|----------|--------|"), F.transform("r", lambda x: x["line"]))
+    lines = F.concat(text("# Regression Report", ""), F.when(F.size("r") > 0, table).otherwise(text("All benchmarks passing.")))
+    return all_rows.select(F.posexplode(lines).alias("line_no", "line"))
+
+
+def log_pages(pages: DataFrame, regions: DataFrame, durations: DataFrame) -> DataFrame:
+    """Per page of each log, from its flat tables: regions, arbitrated ones, ones to review, and the cost of its engines in nano-dollars."""
+    one = lambda c: F.sum(F.when(F.col(c), 1).otherwise(0)).cast("long")
+    counts = regions.groupBy("result_key", "page_ord").agg(F.count("*").alias("region_count"), one("llm_invoked").alias("llm_count"), one("hitl_flag").alias("hitl_count"))
+    costs = page_costs(durations).select("result_key", "page_ord", "cost_nano")
+    own = pages.select("result_key", "page_ord", "page_num", "is_ground_truth").join(counts, ["result_key", "page_ord"], "left").join(costs, ["result_key", "page_ord"], "left")
+    return own.select("result_key", "page_ord", "page_num", "is_ground_truth", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("region_count", "llm_count", "hitl_count", "cost_nano")])
+
+
+def log_jobs(pages: DataFrame) -> DataFrame:
+    """Totals of each log over its pages, and the share of regions that were arbitrated."""
+    total = pages.groupBy("result_key").agg(F.count("*").alias("pages"), *[F.sum(a).cast("long").alias(b) for a, b in (("region_count", "regions"), ("llm_count", "llm_count"), ("hitl_count", "hitl_count"), ("cost_nano", "cost_nano"))])
+    return total.withColumn("llm_rate", F.col("llm_count") / F.greatest(F.lit(1), F.col("regions")))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.plans.runtime import grouped
+from palimpsest.plans.runtime import grouped, ranked
 
 # Groups of element types that may stand for each other.
 TYPE_GROUPS = {
@@ -53,13 +51,16 @@ def dispatched(regions: DataFrame) -> DataFrame:
     return regions.withColumn("specialist", lookup(SPECIALISTS, F.col("element_type"))).filter("specialist is not null")
 
 
-def pages_in_order(payloads: DataFrame) -> DataFrame:
-    """Valid pages, one row each, with their position in the document. Repeated deliveries count once (the last scan)."""
-    from pyspark.sql import Window
+def valid_pages(payloads: DataFrame) -> DataFrame:
+    """Valid pages, one row each. Repeated deliveries count once (the last scan)."""
+    valid = payloads.filter("error is null and width > 0 and height > 0").select("doc_id", "page_num", "scanned_at", "dpi", "width", "height")
+    return valid.groupBy("doc_id", "page_num").agg(F.max(F.struct("scanned_at", "dpi", "width", "height")).alias("p")).select("doc_id", "page_num", "p.*")
 
-    valid = payloads.filter("error is null and width > 0 and height > 0")
-    last = valid.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "page_num").orderBy(F.desc("scanned_at"), F.desc("dpi"), F.desc("width"), F.desc("height")))).filter("rn = 1").drop("rn")
-    return last.withColumn("page_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num")) - 1)
+
+def pages_in_order(payloads: DataFrame) -> DataFrame:
+    """Valid pages with their position in the document."""
+    last = valid_pages(payloads)
+    return ranked(last, ["doc_id"], ["page_num"], "rank").withColumn("page_index", F.col("rank") - 1).drop("rank")
 
 
 def normalised_page() -> list[Column]:
@@ -80,6 +81,7 @@ def _merge(c: dict[str, np.ndarray]) -> list[tuple]:
     """Fragments of one engine and page: join those of one type that share a line and are near each other, transitively."""
     n = len(c["region_key"])
     box = np.stack([c[k].astype(float) for k in ("nx1", "ny1", "nx2", "ny2")], axis=1)
+    pixels = np.stack([c[k].astype(float) for k in ("x1", "y1", "x2", "y2")], axis=1)
     label = np.arange(n)
     if n > 1:
         near = (np.maximum(box[:, None, 0], box[None, :, 0]) - np.minimum(box[:, None, 2], box[None, :, 2])) < FRAGMENT_GAP
@@ -99,19 +101,21 @@ def _merge(c: dict[str, np.ndarray]) -> list[tuple]:
         lead = at[0]
         texts = [t for t in c["text_content"][at] if isinstance(t, str) and t]
         score = c["confidence"][at].astype(float)
-        rows.append((c["doc_id"][lead], c["page_num"][lead], c["engine"][lead], c["region_key"][lead], c["region_id"][lead], c["element_type"][lead], *map(float, (box[at, 0].min(), box[at, 1].min(), box[at, 2].max(), box[at, 3].max())), float(score.min()), " ".join(texts), len(at)))
+        union = lambda b: map(float, (b[at, 0].min(), b[at, 1].min(), b[at, 2].max(), b[at, 3].max()))
+        level, shape = c["hierarchy_level"][lead], c["table_structure"][lead]
+        rows.append((c["doc_id"][lead], c["page_num"][lead], c["engine"][lead], c["region_key"][lead], c["region_id"][lead], c["element_type"][lead], *union(box), float(score.min()), " ".join(texts), len(at), *union(pixels), None if pd.isna(level) else int(level), None if shape is None else dict(shape)))
     return rows
 
 
-FRAGMENTS = "doc_id long, page_num long, engine string, region_key long, region_id string, element_type string, nx1 double, ny1 double, nx2 double, ny2 double, confidence double, text_content string, parts int"
+FRAGMENTS = "doc_id long, page_num long, engine string, region_key long, region_id string, element_type string, nx1 double, ny1 double, nx2 double, ny2 double, confidence double, text_content string, parts int, x1 double, y1 double, x2 double, y2 double, hierarchy_level int, table_structure struct<rows:int,cols:int,has_merged_cells:boolean,has_html:boolean>"
 
 
 def merged_fragments(regions: DataFrame) -> DataFrame:
     """Fragments joined per document, page and engine; a region without unit box is left as it is.
 
-    The leftmost fragment gives ids, texts are joined from left to right, boxes are united, the least confidence counts.
+    The leftmost fragment gives ids, header level and table structure, texts are joined from left to right, boxes are united, the least confidence counts.
     A group is what one engine saw on one page, which doesn't grow with the data."""
-    boxed = regions.filter("nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null").select("doc_id", "page_num", "engine", "region_key", "region_ord", "region_id", "element_type", "nx1", "ny1", "nx2", "ny2", "confidence", "text_content")
+    boxed = regions.filter("nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null").select("doc_id", "page_num", "engine", "region_key", "region_ord", "region_id", "element_type", "nx1", "ny1", "nx2", "ny2", "confidence", "text_content", "x1", "y1", "x2", "y2", "hierarchy_level", "table_structure")
     return grouped(boxed, ["doc_id", "page_num", "engine"], ["region_ord", "region_key"], _merge, FRAGMENTS)
 
 
@@ -129,12 +133,3 @@ def lines_of_words(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
         return [(c["doc_id"][0], c["page_num"][0], n, " ".join(str(c["text"][i]) for i in sorted(at, key=lambda i: c["x0"][i]))) for n, at in enumerate(lines)]
 
     return grouped(words, ["doc_id", "page_num"], ["top", "x0"], rows, "doc_id long, page_num long, line int, text string")
-
-
-def seam(regions: DataFrame, reader: object, schema: str) -> DataFrame:
-    """Where a neural engine plugs in: ``reader`` maps an iterator of pandas batches to batches of ``schema`` and is set up once per Python worker."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from reader(batches)  # type: ignore[operator]
-
-    return regions.mapInPandas(run, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import geometry as g
 from palimpsest.functions import strings as s
+from palimpsest.plans.runtime import ranked
 
 SKIPPED = ("footer", "page_number", "seal", "image")
 PAGE_WIDTH = 2550.0
@@ -20,17 +21,13 @@ def number_text(c: Column) -> Column:
     return c.cast("string")
 
 
-def two_places(c: Column) -> Column:
-    """A number from 0 to 1 with two decimals, rounded by its exact binary value; the JVM's formatting takes ties by the shortest decimal text instead."""
-    k = F.floor(c * 100).cast("int")
-    ties = F.array(*[F.lit(f"{(2 * n + 1) / 200:.2f}") for n in range(100)])
-    middle = (2 * k + 1).cast("double") / 200.0
-    return F.when((c == middle) & k.between(0, 99), F.get(ties, k)).otherwise(F.format_string("%.2f", c))
+# Fixed value: what a comment that asks for a review begins with.
+REVIEW = "<!-- REVIEW NEEDED: ["
 
 
 def review_comment() -> Column:
     numbers = F.array(*[number_text(F.col(c)) for c in ("x1", "y1", "x2", "y2")])
-    return F.concat(F.lit("<!-- HITL: ["), F.array_join(numbers, ","), F.lit("] page="), F.col("page_num").cast("string"), F.lit(" confidence="), two_places(F.coalesce("confidence", F.lit(0.0))), F.lit(" -->"))
+    return F.concat(F.lit(REVIEW), F.array_join(numbers, ","), F.lit("] page="), F.col("page_num").cast("string"), F.lit(" confidence="), s.places(F.coalesce("confidence", F.lit(0.0)), 2), F.lit(" -->"))
 
 
 def region_markdown() -> Column:
@@ -44,38 +41,60 @@ def region_markdown() -> Column:
     svg = F.coalesce(meta("svg_content"), F.lit(""))
     chart = F.when(svg != "", s.clean_svg(svg)).otherwise(F.concat(F.lit("[Chart: extraction failed, see page "), page, F.lit("]")))
     box = F.array_join(F.array(*[number_text(F.col(c)) for c in ("x1", "y1", "x2", "y2")]), ",")
-    hand = F.when(g.handwriting_position(F.col("x1"), F.col("x2"), F.lit(PAGE_WIDTH)) == "marginal", F.concat(F.lit("*[Margin note: "), text, F.lit("]* <!-- handwritten-margin ["), box, F.lit("] -->"))).otherwise(F.concat(F.lit("*"), text, F.lit("* <!-- handwritten -->")))
+    hand = F.when(g.handwriting_position(F.col("x1"), F.col("x2"), F.coalesce(F.expr("try_cast(metadata['page_width'] as double)"), F.lit(PAGE_WIDTH))) == "marginal", F.concat(F.lit("*[Margin note: "), text, F.lit("]* <!-- handwritten-margin ["), box, F.lit("] -->"))).otherwise(F.concat(F.lit("*"), text, F.lit("* <!-- handwritten -->")))
     kind = F.col("element_type")
     content = F.when(kind == "table", table).when(kind == "header", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).when(kind == "formula", formula).when(kind == "chart", chart).when(kind == "handwriting", hand).otherwise(text)
     flagged = F.when(F.coalesce("hitl_flag", F.lit(False)), F.concat_ws("\n", F.nullif(content, F.lit("")), review_comment())).otherwise(content)
     return F.when(kind.isin(*SKIPPED), "").otherwise(flagged)
 
 
+def _order() -> list[Column]:
+    """What regions of a page are sorted by: hierarchy level where given, from top to bottom, from left to right."""
+    level = F.coalesce(F.expr("try_cast(metadata['hierarchy_level'] as double)"), F.lit(float("inf")))
+    return [level.alias("level"), F.col("y1").isNull().alias("no_y"), F.col("y1"), F.col("x1").isNull().alias("no_x"), F.col("x1"), F.col("aligned_key")]
+
+
 def reading_order() -> Column:
     """Position on the page: by hierarchy level where given, from top to bottom, from left to right."""
-    level = F.coalesce(F.expr("try_cast(metadata['hierarchy_level'] as double)"), F.lit(float("inf")))
-    return F.row_number().over(Window.partitionBy("doc_id", "page_num").orderBy(level, F.col("y1").asc_nulls_last(), F.col("x1").asc_nulls_last(), "aligned_key"))
+    return F.row_number().over(Window.partitionBy("doc_id", "page_num").orderBy(*_order()))
 
 
 def pages(aligned: DataFrame) -> DataFrame:
-    """Markdown per page. A page's regions are aggregated together; they are bounded by what fits on a page."""
-    rows = aligned.withColumn("rank", reading_order()).withColumn("md", region_markdown()).filter("md != ''")
-    return rows.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "md"))), lambda x: x["md"]), "\n\n").alias("page_markdown"))
+    """Markdown per page, empty for a page of which nothing is printed. A page's regions are aggregated together; they are bounded by what fits on a page."""
+    parts = aligned.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct(*_order(), region_markdown().alias("md")))).alias("parts"))
+    printed = F.filter(F.transform("parts", lambda x: x["md"]), lambda x: x != "")
+    return parts.select("doc_id", "page_num", F.array_join(printed, "\n\n").alias("page_markdown"))
 
 
 def titles(aligned: DataFrame) -> DataFrame:
-    """Title per document: its first header with text, by page and reading order."""
-    heads = aligned.withColumn("rank", reading_order()).filter("element_type = 'header' and consensus_text != ''")
-    return heads.groupBy("doc_id").agg(F.min_by("consensus_text", F.struct("page_num", "rank")).alias("title"))
+    """Title per document: the text of the first header in reading order on its first page; null without one."""
+    header = F.when(F.col("element_type") == "header", F.struct("page_num", *_order()))
+    heads = aligned.groupBy("doc_id").agg(F.min("page_num").alias("first"), F.min_by(F.struct("page_num", "consensus_text"), header).alias("head"))
+    return heads.select("doc_id", F.when(F.col("head.page_num") == F.col("first"), F.col("head.consensus_text")).alias("title"))
+
+
+# Plain words that YAML reads as something else than text.
+_YAML_WORDS = r"(?i)^(?:y|n|yes|no|true|false|on|off|null|~|)$"
+_YAML_NUMBERS = r"(?i)^[-+]?(?:\.?\d[\d_,:]*(?:\.[\d_]*)?(?:e[-+]?\d+)?|0[xob][\da-f_]+|\.(?:inf|nan))$|^\d{4}-\d\d?-\d\d?(?:$|[Tt\s])|^[=<]{1,2}$"
+_YAML_SIGNS = r"^[-?:](?:\s|$)|^[,\[\]{}#&*!|>'\"%@`]|:(?:\s|$)|\s#|^\s|\s$|^(?:---|\.\.\.)"
+
+
+def yaml_text(c: Column) -> Column:
+    """A text as a YAML scalar on one line: plain where that reads as the same text, else in single quotes, or in double quotes where it has line ends or invisible characters."""
+    quoted = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(c.rlike(r"[\x00-\x1f\x7f-\x9f\u2028\u2029\ufeff]"), F.regexp_replace(F.regexp_replace(F.to_json(F.struct(c.alias("t"))), r'^\{"t":', ""), r"\}$", "")).when(c.rlike(_YAML_WORDS) | c.rlike(_YAML_NUMBERS) | c.rlike(_YAML_SIGNS), quoted).otherwise(c)
 
 
-def documents(aligned: DataFrame, processed: str) -> DataFrame:
+def documents(aligned: DataFrame, processed: str, of: DataFrame | None = None) -> DataFrame:
     """A document as front matter and pages with breaks between them, in parts (doc_id, part_no, part) to be concatenated in order.
 
-    A document of many pages is never put together in one row: part 0 is the front matter, part n the n-th page."""
+    ``of`` (doc_id, page_num) names all pages, those without regions too. A document of many pages is never put together in one row: part 0 is the front matter, part n the n-th page, an empty
+    one included. Pages are numbered over ranges of pages, not in one task a document."""
     body = pages(aligned)
+    if of is not None:
+        body = of.join(body, ["doc_id", "page_num"], "left").withColumn("page_markdown", F.coalesce("page_markdown", F.lit("")))
     head = body.groupBy("doc_id").agg(F.count("*").alias("pages")).join(titles(aligned), "doc_id", "left")
-    front = head.select("doc_id", F.lit(0).cast("long").alias("part_no"), F.concat(F.lit("---\ntitle: "), F.coalesce("title", F.lit("Untitled Document")), F.lit("\npages: "), F.col("pages").cast("string"), F.lit(f"\nprocessed: {processed}\n---\n\n")).alias("part"))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num")).cast("long")
-    numbered = body.withColumn("part_no", n)
+    title = yaml_text(F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled Document")))
+    front = head.select("doc_id", F.lit(0).cast("long").alias("part_no"), F.concat(F.lit("---\npages: "), F.col("pages").cast("string"), F.lit(f"\nprocessed: '{processed}'\ntitle: "), title, F.lit("\n---\n\n")).alias("part"))
+    numbered = ranked(body, ["doc_id"], ["page_num"], "part_no")
     return front.unionByName(numbered.select("doc_id", "part_no", F.concat(F.when(F.col("part_no") > 1, F.lit("\n\n---\n\n")).otherwise(""), "page_markdown").alias("part")))

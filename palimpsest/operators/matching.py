@@ -22,6 +22,10 @@ from palimpsest.plans.runtime import grouped
 FUSION_WEIGHTS = {"pdfplumber": 3.0, "paddleocr": 1.0, "docling": 1.0, "trocr": 2.0}
 
 
+#: The engine whose header levels are carried into groups.
+LEVEL_ENGINE = "docling"
+
+
 @dataclass(frozen=True)
 class Thresholds:
     iou: float = 0.5
@@ -96,24 +100,36 @@ def fuse(boxes: np.ndarray, scores: np.ndarray, weights: np.ndarray, least: floa
 
 
 def linkage(boxes: np.ndarray, cut: float) -> list[list[int]]:
-    """Complete-linkage clusters under the distance 1 - IoU, merged while the largest distance in a union is at most ``cut``."""
-    clusters = [[i] for i in range(len(boxes))]
-    if len(boxes) < 2:
+    """Complete-linkage clusters under the distance 1 - IoU, merged while the largest distance in a union is at most ``cut``.
+
+    The nearest pair is merged into its first cluster, whose distances become the larger ones of both; of equal pairs the
+    first is taken."""
+    n = len(boxes)
+    clusters = [[i] for i in range(n)]
+    if n < 2:
         return clusters
     d = 1.0 - iou_matrix(boxes, boxes)
-    while len(clusters) > 1:
-        best = min(((max(d[i, j] for i in a for j in b), x, y) for x, a in enumerate(clusters) for y, b in enumerate(clusters) if x < y), default=None)
-        if best is None or best[0] > cut:
+    d[np.tril_indices(n)] = np.inf
+    near = d.min(axis=1)
+    while True:
+        x = int(near.argmin())
+        if not near[x] <= cut:
             break
-        _, x, y = best
-        clusters[x] = clusters[x] + clusters[y]
-        del clusters[y]
-    return clusters
+        y = int(d[x].argmin())
+        clusters[x] += clusters[y]
+        clusters[y] = []
+        # distances to y and x, whichever side of the diagonal they stand on
+        far = np.maximum(np.minimum(d[x], d[:, x]), np.minimum(d[y], d[:, y]))
+        d[y], d[:, y] = np.inf, np.inf
+        far[[x, y]] = np.inf
+        d[x, x + 1 :], d[:x, x] = far[x + 1 :], far[:x]
+        near = d.min(axis=1)
+    return [c for c in clusters if c]
 
 
-GROUPS = "doc_id long, page_num long, type_group string, group_no int, match_type string, anchor_type string, x1 double, y1 double, x2 double, y2 double, engine_count int, members array<struct<engine:string,region_key:bigint,text:string,confidence:double>>"
+GROUPS = "doc_id long, page_num long, type_group string, group_no int, match_type string, anchor_type string, x1 double, y1 double, x2 double, y2 double, engine_count int, members array<struct<engine:string,region_key:bigint,text:string,confidence:double>>, region_id string, px1 double, py1 double, px2 double, py2 double, hierarchy_level int, table_structure struct<rows:int,cols:int,has_merged_cells:boolean,has_html:boolean>"
 
-GROUP_COLUMNS = "doc_id page_num type_group group_no match_type anchor_type x1 y1 x2 y2 engine_count members".split()
+GROUP_COLUMNS = "doc_id page_num type_group group_no match_type anchor_type x1 y1 x2 y2 engine_count members region_id px1 py1 px2 py2 hierarchy_level table_structure".split()
 
 
 class Page:
@@ -122,6 +138,7 @@ class Page:
     def __init__(self, columns: dict[str, np.ndarray]) -> None:
         self.c = columns
         self.box = np.stack([columns[k].astype(float) for k in ("ux1", "uy1", "ux2", "uy2")], axis=1)
+        self.pixels = np.stack([columns[k].astype(float) for k in ("x1", "y1", "x2", "y2")], axis=1) if "x1" in columns else self.box
         self.engine = columns["engine"].astype(object)
         self.open = np.ones(len(self.box), dtype=bool)
         self.engines = list(dict.fromkeys(self.engine))
@@ -130,11 +147,17 @@ class Page:
     def of(self, engine: str) -> np.ndarray:
         return np.flatnonzero((self.engine == engine) & self.open)
 
-    def take(self, kind: str, members: dict[str, list[int]], box: np.ndarray | None = None) -> None:
+    def take(self, kind: str, members: dict[str, list[int]], box: np.ndarray | None = None, pixels: np.ndarray | None = None) -> None:
+        """A group's boxes are the means of its engines' first members' if none are given."""
         for at in members.values():
             self.open[at] = False
         lead = np.array([at[0] for at in members.values()])
-        self.groups.append({"kind": kind, "members": members, "box": self.box[lead].mean(axis=0) if box is None else box})
+        self.groups.append({"kind": kind, "members": members, "box": self.box[lead].mean(axis=0) if box is None else box, "pixels": self.pixels[lead].mean(axis=0) if pixels is None else pixels})
+
+    def value(self, column: str, i: int) -> object:
+        """A value of a region, None where it has none."""
+        v = self.c[column][i] if column in self.c else None
+        return None if v is None or (isinstance(v, (float, np.floating)) and np.isnan(v)) else v
 
 
 def by_overlap(page: Page, t: Thresholds) -> None:
@@ -214,7 +237,7 @@ def by_fusion(page: Page, t: Thresholds) -> None:
             members: dict[str, list[int]] = {}
             for x in rows:
                 members.setdefault(page.engine[x], []).append(int(x))
-            page.take("wbf", members, box)
+            page.take("wbf", members, box, np.average(page.pixels[rows], axis=0, weights=weights[use][found]))
 
 
 def by_linkage(page: Page, t: Thresholds) -> None:
@@ -246,7 +269,11 @@ def match_rows(columns: dict[str, np.ndarray], t: Thresholds, stages: tuple = ST
             texts = [x for x in c["text_content"][at] if isinstance(x, str) and x]
             members.append({"engine": engine, "region_key": int(c["region_key"][at[0]]), "text": " ".join(texts), "confidence": float(max(c["confidence"][at]))})
         lead = next(iter(group["members"].values()))[0]
-        rows.append((c["doc_id"][0], c["page_num"][0], c["type_group"][0], n, group["kind"], c["element_type"][lead], *map(float, group["box"]), len(members), members))
+        # carried along: the level that the structure extractor gives, and the last table structure any engine gives
+        level = next((v for v in (page.value("hierarchy_level", at[0]) for engine, at in group["members"].items() if engine == LEVEL_ENGINE) if v is not None), None)
+        shapes = [v for v in (page.value("table_structure", at[0]) for at in group["members"].values()) if v is not None]
+        carried = (page.value("region_id", lead), *map(float, group["pixels"]), None if level is None else int(level), dict(shapes[-1]) if shapes else None)
+        rows.append((c["doc_id"][0], c["page_num"][0], c["type_group"][0], n, group["kind"], c["element_type"][lead], *map(float, group["box"]), len(members), members, *carried))
     return rows
 
 
@@ -258,7 +285,7 @@ def match_page(pdf: pd.DataFrame, t: Thresholds, stages: tuple = STAGES) -> pd.D
 
 def match_groups(regions: DataFrame, t: Thresholds = Thresholds(), stages: tuple = STAGES) -> DataFrame:  # noqa: B008
     """Groups of regions that show the same thing, by the layered matcher."""
-    cols = regions.select("doc_id", "page_num", type_group(F.col("element_type")).alias("type_group"), "region_key", "engine", "engine_ord", "region_ord", "element_type", *g.unit_or_own(), (F.col("nx1").isNotNull()).alias("has_unit"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "text_content")
+    cols = regions.select("doc_id", "page_num", type_group(F.col("element_type")).alias("type_group"), "region_key", "engine", "engine_ord", "region_ord", "element_type", *g.unit_or_own(), (F.col("nx1").isNotNull()).alias("has_unit"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "text_content", *[c for c in ("region_id", "x1", "y1", "x2", "y2", "hierarchy_level", "table_structure") if c in regions.columns])
     usable = cols.filter("ux1 is not null and uy1 is not null and ux2 is not null and uy2 is not null and engine is not null")
     return grouped(usable, ["doc_id", "page_num", "type_group"], ["engine_ord", "region_ord", "region_key"], lambda c: match_rows(c, t, stages), GROUPS)
 

@@ -14,8 +14,10 @@ MAX_UPLOAD = 100 * 1024 * 1024
 DAY = 86_400
 # Seconds waited before the second and third try of a delivery.
 RETRIES = (1, 4)
-# Error classes and the status they give.
+# The status of each outcome of the job service.
 STATUSES = {"missing_key": 401, "inactive": 401, "budget_exhausted": 429, "not_found": 404, "forbidden": 403, "pending": 202, "too_large": 413, "invalid_upload": 422, "bad_callback": 400, "ok": 200}
+# Kinds of errors with the label and status they are reported by.
+ERRORS = {"ValueError": ("invalid input", 400), "KeyError": ("not found", 404), "FileNotFoundError": ("not found", 404), "PermissionError": ("forbidden", 403)}
 
 
 def status_of(kind: Column) -> Column:
@@ -23,6 +25,19 @@ def status_of(kind: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in STATUSES.items() for x in kv])[kind], F.lit(500))
 
 
+def error_report(kind: Column, detail: Column, production: bool = True) -> Column:
+    """struct(status, detail) of an error: in production its label instead of its own words; an unknown kind is an internal error."""
+    label = F.coalesce(F.create_map(*[F.lit(x) for k, (l, _) in ERRORS.items() for x in (k, l)])[kind], F.lit("internal error"))
+    status = F.coalesce(F.create_map(*[F.lit(x) for k, (_, n) in ERRORS.items() for x in (k, n)])[kind], F.lit(500))
+    return F.struct(status.alias("status"), (label if production else detail).alias("detail"))
+
+
+def token_check(expected: Column, cookie: Column, parameter: Column) -> Column:
+    """200 where no token is set or the given one is right, 403 otherwise; a cookie goes before a query parameter."""
+    given = F.coalesce(cookie, parameter)
+    return F.when(expected.isNull(), 200).when(F.coalesce(given == expected, F.lit(False)), 200).otherwise(403)
+
+
 def extension(filename: Column) -> Column:
     return F.lower(F.regexp_extract(filename, r"(\.[^.]+)$", 1))
 
@@ -119,13 +134,16 @@ def delivery_attempts(events: DataFrame) -> DataFrame:
     return events.select("id", n.alias("attempts"), F.array_contains(good, True).alias("delivered"), waits.alias("waited_s"))
 
 
-def callback_check(url: Column) -> Column:
-    """ok or why a callback address is refused: https on port 443 only, a host, no user information, no private or local address literal."""
+# Address ranges that aren't public (private, loopback, link-local, reserved).
+NOT_PUBLIC = r"^(?:0\.|10\.|127\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.168\.|192\.0\.[02]\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2[4-5]\d\.|::1?$|::ffff:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|100::|2001:db8:)"
+
+
+def callback_check(url: Column, addresses: Column) -> Column:
+    """ok or why a callback address is refused: https on port 443 only, a host, no user information, and public ``addresses`` only (what the host resolves to: an array, null or empty if it doesn't)."""
     part = lambda p: F.try_parse_url(url, F.lit(p))
-    host = F.lower(part("HOST"))
     port = F.regexp_extract(F.coalesce(part("AUTHORITY"), F.lit("")), r":(\d+)$", 1)
-    local = host.rlike(r"^(?:localhost|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|169\.254\.\d+\.\d+|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+|0\.0\.0\.0|\[::1\]|\[f[cd].*)$")
-    return F.when(F.coalesce(part("PROTOCOL"), F.lit("")) != "https", "not_https").when(part("USERINFO").isNotNull(), "userinfo").when(F.coalesce(host, F.lit("")) == "", "no_host").when(~port.isin("", "443"), "bad_port").when(local, "private_address").otherwise("ok")
+    private = F.exists(addresses, lambda a: F.coalesce(F.lower(a).rlike(NOT_PUBLIC), F.lit(True)))
+    return F.when(F.coalesce(part("PROTOCOL"), F.lit("")) != "https", "not_https").when(~port.isin("", "443"), "bad_port").when(F.coalesce(part("HOST"), F.lit("")) == "", "no_host").when(part("USERINFO").isNotNull(), "userinfo").when(F.coalesce(F.size(addresses), F.lit(0)) < 1, "unresolvable").when(private, "private_address").otherwise("ok")
 
 
 def review_queue(reviewed: DataFrame) -> DataFrame:
@@ -137,3 +155,30 @@ def review_queue(reviewed: DataFrame) -> DataFrame:
 def corrected(reviewed: DataFrame) -> DataFrame:
     """Text after review: the correction where there is one."""
     return reviewed.select("hitl_key", "job_id", F.coalesce("corrected_text", "consensus_text").alias("text"), F.col("corrected_text").isNotNull().alias("was_corrected"))
+
+
+def with_corrections(reviewed: DataFrame, payload: DataFrame) -> DataFrame:
+    """The whole review table as it is to be written back: regions of a job whose id is in its payload (job_id, corrections map) take the correction from there."""
+    new = F.col("corrections")[F.col("region_id")]
+    joined = reviewed.join(payload.select("job_id", "corrections"), "job_id", "left")
+    return joined.select(*[F.coalesce(new, F.col(c)).alias(c) if c == "corrected_text" else F.col(c) for c in reviewed.columns])
+
+
+def corrections_applied(payload: DataFrame) -> DataFrame:
+    """What the answer to a review says: the size of its payload, even of ids that aren't known."""
+    return payload.select("job_id", F.lit("updated").alias("status"), F.coalesce(F.size("corrections"), F.lit(0)).alias("corrections_applied"))
+
+
+def upserted(store: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """A key-value table after changes in the order of ``at``: the last one of a key counts, one that is ``deleted`` takes it away. The result is to be written in place of the table."""
+    values = [c for c in store.columns if c not in keys]
+    both = store.select(*keys, *values, F.lit(None).cast("timestamp").alias("at"), F.lit(False).alias("deleted")).unionByName(changes.select(*keys, *values, "at", "deleted"))
+    last = both.groupBy(*keys).agg(F.max_by(F.struct(*values, "deleted"), F.struct(F.col("at").isNotNull().alias("a"), F.col("at").alias("b"))).alias("v"))
+    return last.filter("not v.deleted").select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
+def result_metadata(pages: DataFrame) -> DataFrame:
+    """What a finished result says of itself; ``pages``: doc_id, filename, processed, hitl_flags, one row per valid page. Without any processed page all counts are 0."""
+    done = F.col("processed")
+    got = pages.groupBy("doc_id").agg(F.sum(done.cast("int")).cast("int").alias("page_count"), F.count("*").cast("int").alias("total_page_count"), F.max("filename").alias("filename"), F.sum(F.when(done, F.col("hitl_flags")).otherwise(0)).cast("long").alias("hitl_flag_count"))
+    return got.withColumn("budget_exceeded", F.col("page_count") < F.col("total_page_count"))

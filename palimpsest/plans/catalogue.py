@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import geometry as g
 from palimpsest.functions import strings as s
 from palimpsest.operators import audit, clean, consensus, markdown, matching, service, shred
+from palimpsest.plans import pipeline
 from palimpsest.plans.runtime import table
 from palimpsest.sources import documents as sources
 from palimpsest.streaming import windows
@@ -38,6 +39,15 @@ def fixed(*names: str) -> list:
     return [F.round(n, ROUND).alias(n) for n in names]
 
 
+# Code points for DuckDB, whose distance counts bytes: the letters of a pair of texts outside ASCII become ASCII characters that neither has.
+def _bytes_sql(a: str, b: str) -> str:
+    odd = f"list_distinct(regexp_extract_all({a} || {b}, '[^\\x00-\\x7F]'))"
+    free = f"list_filter(list_transform(range(1, 127), lambda i: chr(i::int)), lambda c: not contains({a} || {b}, c))"
+    to = f"array_to_string(list_slice({free}, 1, len({odd})), '')"
+    return f"levenshtein(translate({a}, array_to_string({odd}, ''), {to}), translate({b}, array_to_string({odd}, ''), {to}))"
+
+
+STRIP_SQL = r"regexp_replace({0}, '^[\s\v\pZ\x85]+|[\s\v\pZ\x85]+$', '', 'g')"
 # --- problem 2 --------------------------------------------------------------------------------------------------------
 
 
@@ -66,24 +76,34 @@ PAIRS_SQL = BOXES_SQL + """, pair as (select a.region_key ak, b.region_key bk, a
 @query(f"with {PAGES_SQL} select r.region_key, round(r.x1/p.width,6) ux1, round(r.y1/p.height,6) uy1, round(r.x2/p.width,6) ux2, round(r.y2/p.height,6) uy2 from ocr_regions r join pages p using (doc_id, page_num)")
 def q_unit_bbox(spark: SparkSession, d: str) -> DataFrame:
     """P2"""
-    pages = clean.pages_in_order(table(spark, d, "page_payloads")).select("doc_id", "page_num", "width", "height")
+    pages = clean.valid_pages(table(spark, d, "page_payloads")).select("doc_id", "page_num", "width", "height")
     joined = table(spark, d, "ocr_regions").select("region_key", "doc_id", "page_num", "x1", "y1", "x2", "y2").join(pages, ["doc_id", "page_num"])
     return joined.select("region_key", *g.as_columns(g.to_unit(g.box(), F.col("width"), F.col("height")), "u")).select("region_key", *fixed("ux1", "uy1", "ux2", "uy2"))
 
 
-@query("select region_key, round_even(nx1*2550.0,0)::double px1, round_even(ny1*3300.0,0)::double py1, round_even(nx2*2550.0,0)::double px2, round_even(ny2*3300.0,0)::double py2 from ocr_regions where nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null")
+@query(f"with {PAGES_SQL} select region_key, round_even(nx1*width,0)::double px1, round_even(ny1*height,0)::double py1, round_even(nx2*width,0)::double px2, round_even(ny2*height,0)::double py2 from ocr_regions r join pages using (doc_id, page_num) where nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null")
 def q_pixel_bbox(spark: SparkSession, d: str) -> DataFrame:
     """P3"""
-    r = table(spark, d, "ocr_regions").filter("nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null")
+    pages = clean.valid_pages(table(spark, d, "page_payloads")).select("doc_id", "page_num", "width", "height")
+    r = table(spark, d, "ocr_regions").filter("nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null").join(pages, ["doc_id", "page_num"])
     unit = {c: F.col(f"n{c}") for c in ("x1", "y1", "x2", "y2")}
-    return r.select("region_key", *g.as_columns(g.to_pixels(unit, F.lit(2550.0), F.lit(3300.0)), "p"))
+    return r.select("region_key", *g.as_columns(g.to_pixels(unit, F.col("width"), F.col("height")), "p"))
+
 
+SYSTEM_SQL = "case region_key % 4 when 0 then 'pdf_points_topleft' when 1 then 'pixel_topleft' when 2 then 'docling_bottomleft' else 'other' end"
+_two = lambda x: f"printf('%.2f', {x})::double"
 
-@query("select region_key, x1*300/72.0 as points_x1, (3300 - y2*300/72.0) as flipped_y1 from ocr_regions where x1 is not null")
+
+@query(
+    f"with {PAGES_SQL}, b as (select region_key, {SYSTEM_SQL} sys, x1, y1, x2, y2, p.dpi/72.0::double s, p.height::double h from ocr_regions r join pages p using (doc_id, page_num)) select region_key, "
+    + ", ".join(f"case sys when 'pdf_points_topleft' then {_two(c + '*s')} when 'pixel_topleft' then {_two(c)} when 'docling_bottomleft' then {_two(b)} end as s{c}" for c, b in (("x1", "x1*s"), ("y1", "h-y2*s"), ("x2", "x2*s"), ("y2", "h-y1*s")))
+    + " from b"
+)
 def q_source_bbox(spark: SparkSession, d: str) -> DataFrame:
-    """P1, unrounded"""
-    r = table(spark, d, "ocr_regions").filter("x1 is not null")
-    return r.select("region_key", (F.col("x1") * 300 / g.POINTS).alias("points_x1"), (F.lit(3300) - F.col("y2") * 300 / g.POINTS).alias("flipped_y1"))
+    """Boxes as if they came in each of the systems in turn"""
+    pages = clean.valid_pages(table(spark, d, "page_payloads")).select("doc_id", "page_num", "dpi", "height")
+    r = table(spark, d, "ocr_regions").join(pages, ["doc_id", "page_num"])
+    return r.select("region_key", *g.as_columns(g.from_source(g.box(), F.expr(SYSTEM_SQL), F.col("dpi"), F.col("height").cast("double")), "s"))
 
 
 @query(f"with {BOXES_SQL} select region_key, type_group from box")
@@ -151,11 +171,12 @@ def q_format_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "job_results").select("result_key", sources.readable(F.col("filename")).alias("readable"), sources.has_text_layer(F.col("filename")).alias("text_layer"))
 
 
-@query()
+@query("with n as (select doc_id, max(filename) filename from job_results group by doc_id), p as (select doc_id, page_num, octet_length(pdf) size, hex(pdf) head, lower(regexp_extract(filename, '(\\.[^.]+)$', 1)) ext from page_payloads left join n using (doc_id) where pdf is not null) select doc_id, page_num, case when size > 104857600 then 'too_large' when coalesce(ext, '') not in ('.pdf','.png','.jpg','.jpeg','.tiff') then 'bad_format' when ext = '.pdf' and not starts_with(head, '255044462D') then 'fake_pdf' else 'ok' end upload from p")
 def q_upload_check(spark: SparkSession, d: str) -> DataFrame:
-    """S22"""
-    p = table(spark, d, "page_payloads").filter("pdf is not null")
-    return p.select("doc_id", "page_num", service.upload_check(F.octet_length("pdf"), F.lit("page.pdf"), F.decode(F.substring("pdf", 1, 5), "ISO-8859-1")).alias("upload"))
+    """Page documents under the file name of their job"""
+    names = table(spark, d, "job_results").groupBy("doc_id").agg(F.max("filename").alias("filename"))
+    p = table(spark, d, "page_payloads").filter("pdf is not null").join(names, "doc_id", "left")
+    return p.select("doc_id", "page_num", service.upload_check(F.octet_length("pdf"), F.col("filename"), F.decode(F.substring("pdf", 1, 5), "ISO-8859-1")).alias("upload"))
 
 
 @query(f"with {BOXES_SQL}, w as (select * from box where engine = 'docling') select l.region_key from (select * from w where element_type <> 'table') l where not exists (select 1 from w t where t.element_type = 'table' and t.doc_id = l.doc_id and t.page_num = l.page_num and l.x1 < t.x2 and t.x1 < l.x2 and l.y1 < t.y2 and t.y1 < l.y2)")
@@ -203,21 +224,43 @@ def q_word_lines(spark: SparkSession, d: str) -> DataFrame:
     return clean.lines_of_words(words, 12.0)
 
 
-@query("select region_key, case when x2 > x1 and y2 > y1 then greatest(0.0, least(x1, 2550.0)) end px1, case when x2 > x1 and y2 > y1 then greatest(0.0, least(x2, 2550.0)) end px2 from ocr_regions")
+@query("with c as (select region_key, doc_id, page_num, engine, greatest(0.0, least(x1, x2, 2550.0)) px1, greatest(0.0, least(y1, y2, 3300.0)) py1, greatest(0.0, least(greatest(x1, x2), 2550.0)) px2, greatest(0.0, least(greatest(y1, y2), 3300.0)) py2 from ocr_regions) select region_key, px1, py1, px2, py2, (row_number() over (partition by doc_id, page_num, engine order by py1, px1, region_key))::int line_no from c where px2 > px1 and py2 > py1")
 def q_line_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of polygons, clamped to the page"""
+    """Boxes of polygons, clamped to the page, empty ones dropped, from top to bottom"""
     points = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
-    box = sources.enclosing_box(points)
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(c, F.lit(2550.0)))
-    some = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    return table(spark, d, "ocr_regions").select("region_key", F.when(some, clamp(box["x1"])).alias("px1"), F.when(some, clamp(box["x2"])).alias("px2"))
+    r = table(spark, d, "ocr_regions").select("region_key", "doc_id", "page_num", "engine", points.alias("points"))
+    return sources.line_boxes(r, ["doc_id", "page_num", "engine"], "region_key", 2550.0, 3300.0).select("region_key", "px1", "py1", "px2", "py2", "line_no")
+
 
+KIND_SQL = "case event_type when 'signup' then 'ValueError' when 'click' then 'KeyError' when 'purchase' then 'PermissionError' when 'view' then 'FileNotFoundError' else 'RuntimeError' end"
 
-@query("select event_id, case when coalesce(nullif(event_type, ''), '') = 'view' then 200 when event_type = 'click' then 403 else 500 end::int as code from events")
+
+@query(f"select event_id, case event_type when 'signup' then 400 when 'click' then 404 when 'purchase' then 403 when 'view' then 404 else 500 end::int status, case event_type when 'signup' then 'invalid input' when 'click' then 'not found' when 'purchase' then 'forbidden' when 'view' then 'not found' else 'internal error' end as label, props as detail from events")
 def q_error_category(spark: SparkSession, d: str) -> DataFrame:
-    """Events as outcomes, by the fixed table of statuses"""
-    kind = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "click", "forbidden").otherwise("unexpected")
-    return table(spark, d, "events").select("event_id", service.status_of(kind).alias("code"))
+    """Each kind of event standing for a kind of error, reported in production and outside it"""
+    kind = F.expr(KIND_SQL)
+    rows = table(spark, d, "events").select("event_id", service.error_report(kind, F.col("props")).alias("p"), service.error_report(kind, F.col("props"), production=False).alias("o"))
+    return rows.select("event_id", "p.status", F.col("p.detail").alias("label"), F.col("o.detail").alias("detail"))
+
+
+OUTCOMES = "ok missing_key inactive budget_exhausted not_found forbidden pending too_large invalid_upload bad_callback other".split()
+
+
+@query("select event_id, [200, 401, 401, 429, 404, 403, 202, 413, 422, 400, 500][(event_id % 11 + 1)::int]::int as status from events")
+def q_outcome_status(spark: SparkSession, d: str) -> DataFrame:
+    """The status of each outcome of the job service, in turn"""
+    kind = F.get(F.array(*map(F.lit, OUTCOMES)), (F.col("event_id") % len(OUTCOMES)).cast("int"))
+    return table(spark, d, "events").select("event_id", service.status_of(kind).alias("status"))
+
+
+@query("select c_custkey, case when c_custkey % 5 = 0 then 200 when c_custkey % 3 = 0 then 200 when c_custkey % 3 = 1 and c_custkey % 2 = 0 then 200 else 403 end::int as status from customer")
+def q_review_token(spark: SparkSession, d: str) -> DataFrame:
+    """A token per customer (none for each fifth), given right by cookie, by parameter only, by parameter behind a wrong cookie, or not at all"""
+    k, token = F.col("c_custkey"), F.sha2(F.col("c_custkey").cast("string"), 256)
+    expected = F.when(k % 5 != 0, token)
+    cookie = F.when(k % 3 == 0, token).when(k % 3 == 2, F.lit("wrong"))
+    parameter = F.when(k % 2 == 0, token)
+    return table(spark, d, "customer").select("c_custkey", service.token_check(expected, cookie, parameter).alias("status"))
 
 
 @query()
@@ -293,11 +336,11 @@ def q_avg_bbox(spark: SparkSession, d: str) -> DataFrame:
 WEIGHT_SQL = "case engine when 'pdfplumber' then 3.0 when 'trocr' then 2.0 else 1.0 end::double"
 
 
-@query(f"select doc_id, page_num, region_id, round(sum(x1*{WEIGHT_SQL})/sum({WEIGHT_SQL}),6) x1, round(sum(y2*{WEIGHT_SQL})/sum({WEIGHT_SQL}),6) y2 from ocr_regions group by doc_id, page_num, region_id")
+@query("select doc_id, page_num, region_id, " + ", ".join(f"round(sum({c}*{WEIGHT_SQL})/sum({WEIGHT_SQL}),6) {c}" for c in ("x1", "y1", "x2", "y2")) + " from ocr_regions group by doc_id, page_num, region_id")
 def q_fused_box(spark: SparkSession, d: str) -> DataFrame:
     """A12, A9"""
     w = F.coalesce(clean.lookup({k: str(v) for k, v in matching.FUSION_WEIGHTS.items()}, F.col("engine")).cast("double"), F.lit(1.0))
-    return table(spark, d, "ocr_regions").groupBy("doc_id", "page_num", "region_id").agg(*[F.round(F.sum(F.col(c) * w) / F.sum(w), ROUND).alias(c) for c in ("x1", "y2")])
+    return table(spark, d, "ocr_regions").groupBy("doc_id", "page_num", "region_id").agg(*[F.round(F.sum(F.col(c) * w) / F.sum(w), ROUND).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 # --- texts and decisions ----------------------------------------------------------------------------------------------
@@ -305,11 +348,22 @@ def q_fused_box(spark: SparkSession, d: str) -> DataFrame:
 READINGS_SQL = "r as (select aligned_key, list_filter(engine_texts, lambda e: e.engine is not null and e.text is not null) e from aligned_regions where engine_texts is not null)"
 
 
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Stored regions with the flag of their page: whether its text layer is trusted."""
+    return consensus.with_truth(table(spark, d, "aligned_regions"), consensus.page_quality(table(spark, d, "ocr_regions")))
+
+
 @query()
 def q_resolve_region(spark: SparkSession, d: str) -> DataFrame:
-    """The first page of a document with a text layer counts as ground truth"""
-    aligned = table(spark, d, "aligned_regions")
-    return consensus.resolve(aligned, truth=F.exists("engine_texts", lambda e: e["engine"] == "pdfplumber")).select("aligned_key", "source", "resolved_text", *fixed("ce", "agreement"), "needs_arbitration")
+    """Weights by whether the text layer of the page agrees with the layout recogniser"""
+    return consensus.resolve(_aligned(spark, d), truth=F.col("truth")).select("aligned_key", "source", "resolved_text", *fixed("ce", "agreement"), "needs_arbitration")
+
+
+@query(f"with {READINGS_SQL}, s as (select a.aligned_key, a.doc_id, a.page_num, a.confidence, list_transform(r.e, lambda x: x.text) t from aligned_regions a join r using (aligned_key)) select aligned_key, case len(t) when 0 then 'pending' when 1 then 'single_engine' else 'identical' end source, case when len(t) > 0 then list_extract(t, 1) end resolved_text, case when len(t) > 0 then coalesce(confidence, 0.0) else 0.0 end agreement from s where len(list_distinct(t)) < 2")
+def q_undisputed(spark: SparkSession, d: str) -> DataFrame:
+    """Regions whose readings are all equal, or that have one or none"""
+    got = consensus.resolve(table(spark, d, "aligned_regions").filter("engine_texts is not null")).filter(F.col("source").isin("pending", "single_engine", "identical"))
+    return got.select("aligned_key", "source", "resolved_text", "agreement")
 
 
 @query(f"with {READINGS_SQL} select aligned_key, len(e)::int as engines, len(list_distinct(list_transform(e, lambda x: x.text)))::int as texts, len(list_distinct(list_transform(e, lambda x: x.text))) = 1 as identical from r")
@@ -332,23 +386,18 @@ def q_nw_align(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_quality_check(spark: SparkSession, d: str) -> DataFrame:
     """The text layer of a page against the layout recogniser"""
-    r = table(spark, d, "ocr_regions").filter(F.col("engine").isin("pdfplumber", "paddleocr") & (s.strip(F.col("text_content")) != ""))
-    both = r.groupBy("doc_id", "page_num", "engine").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_ord", "region_key", "text_content"))), lambda x: x["text_content"]), " ").alias("t"))
-    page = both.groupBy("doc_id", "page_num").agg(F.max(F.when(F.col("engine") == "pdfplumber", F.col("t"))).alias("layer"), F.coalesce(F.max(F.when(F.col("engine") == "paddleocr", F.col("t"))), F.lit("")).alias("read"))
-    ratio = F.round(s.indel_similarity("layer", "read"), 4)
-    return page.select("doc_id", "page_num", F.coalesce(ratio, F.lit(0.0)).alias("similarity"), F.when(F.col("layer").isNull(), "no_pdfplumber_text").when(ratio > 0.9, "agreement").otherwise("disagreement").alias("reason"))
+    return consensus.page_quality(table(spark, d, "ocr_regions"))
 
 
 TEXTS_SQL = "list_transform(e, lambda x: x.text)"
 
 
-@query("select aligned_key, exists(select 1 from unnest(list_transform(engine_texts, lambda x: x.text)) u(t) where t is not null and levenshtein(regexp_replace(consensus_text, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(t, '[^\\x00-\\x7F]', '?', 'g')) <= 3) as near from aligned_regions where consensus_text is not null and engine_texts is not null")
+@query(f"select aligned_key, exists(select 1 from unnest(list_transform(engine_texts, lambda x: x.text)) u(t) where t is not null and {_bytes_sql('consensus_text', 't')} <= 3) as near from aligned_regions where consensus_text is not null and engine_texts is not null")
 def q_edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    """F2, on texts folded to ASCII"""
-    fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    """F2"""
     r = table(spark, d, "aligned_regions").filter("consensus_text is not null and engine_texts is not null")
-    texts = F.filter(F.transform("engine_texts", lambda e: fold(e["text"])), lambda t: t.isNotNull())
-    return r.select("aligned_key", F.coalesce(s.within_edits(fold(F.col("consensus_text")), texts, 3), F.lit(False)).alias("near"))
+    texts = F.filter(F.transform("engine_texts", lambda e: e["text"]), lambda t: t.isNotNull())
+    return r.select("aligned_key", F.coalesce(s.within_edits(F.col("consensus_text"), texts, 3), F.lit(False)).alias("near"))
 
 
 @query("select aligned_key, len(list_filter(range(1, greatest(length(consensus_text) - 4, 1)), lambda i: length(consensus_text) >= 6 and not list_bool_or(list_transform(list_filter(engine_texts, lambda e: e.text is not null), lambda e: contains(e.text, substring(consensus_text, i, 6)))))) > 0 as inserted from aligned_regions where consensus_text is not null and len(list_filter(engine_texts, lambda e: e.text is not null)) > 0")
@@ -359,10 +408,10 @@ def q_consecutive_insertion(spark: SparkSession, d: str) -> DataFrame:
     return r.select("aligned_key", s.inserts_run(F.col("consensus_text"), F.col("texts")).alias("inserted"))
 
 
-@query(r"select region_key, len(regexp_extract_all(text_content, '\$[\d,]+(?:\.\d{2})?'))::int as dollar_amount, len(regexp_extract_all(text_content, '\d{1,2}/\d{1,2}/\d{2,4}'))::int as date_mdy_slash, len(regexp_extract_all(text_content, '\d+(?:\.\d+)?%'))::int as percentage from ocr_regions where text_content is not null")
+@query("select region_key, " + ", ".join(f"array_to_string(regexp_extract_all(text_content, '{p}'), '; ') as {k}" for k, p in s.LEGAL_FIELDS.items()) + " from ocr_regions where text_content is not null")
 def q_legal_fields(spark: SparkSession, d: str) -> DataFrame:
     """F4"""
-    return table(spark, d, "ocr_regions").filter("text_content is not null").select("region_key", *[F.size(s.legal_values(F.col("text_content"), f)).alias(f) for f in ("dollar_amount", "date_mdy_slash", "percentage")])
+    return table(spark, d, "ocr_regions").filter("text_content is not null").select("region_key", *[F.array_join(s.legal_values(F.col("text_content"), f), "; ").alias(f) for f in s.LEGAL_FIELDS])
 
 
 @query()
@@ -385,10 +434,13 @@ def q_verdict(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_arbitrate(spark: SparkSession, d: str) -> DataFrame:
     """Regions of high disagreement, the stored consensus as the arbiter's answer"""
-    aligned = table(spark, d, "aligned_regions")
-    texts = F.filter(F.transform("engine_texts", lambda e: e["text"]), lambda t: t.isNotNull())
-    verdicts = aligned.filter("consensus_text is not null and engine_texts is not null").select("aligned_key", s.verdict(F.col("consensus_text"), texts).alias("verdict"))
-    return consensus.arbitrated(consensus.resolve(aligned), verdicts)
+    return consensus.arbitrated(consensus.resolve(_aligned(spark, d), truth=F.col("truth"), answer=F.col("consensus_text")))
+
+
+@query()
+def q_offline_arbiter(spark: SparkSession, d: str) -> DataFrame:
+    """The same with an arbiter that chooses among the candidates"""
+    return consensus.arbitrated(consensus.resolve(_aligned(spark, d), truth=F.col("truth")), consensus.offline_arbiter(F.col("candidates")))
 
 
 @query(f"with {READINGS_SQL} select aligned_key, array_to_string(list_transform(list_sort(e), lambda x, i: 'Candidate ' || chr((64 + i)::int) || ': ' || x.text), chr(10)) as block from r")
@@ -401,18 +453,20 @@ def q_anon_candidates(spark: SparkSession, d: str) -> DataFrame:
 # --- Markdown ---------------------------------------------------------------------------------------------------------
 
 ORDER_SQL = "row_number() over (partition by doc_id, page_num order by coalesce(try_cast(metadata['hierarchy_level'] as double), 'inf'::double), y1 nulls last, x1 nulls last, aligned_key)"
+# cells of a table's text {0} by the expression {1} over a row r, and those cells as a pipe table
+CELLS_SQL = "list_transform(list_filter(string_split(" + STRIP_SQL.format("{0}") + ", chr(10)), lambda r: " + STRIP_SQL.format("r") + " <> ''), lambda r: list_transform({1}, lambda c: " + STRIP_SQL.format("c") + "))"
+TABLE_SQL = "array_to_string(list_transform(cells, lambda r, i: '| ' || array_to_string(list_concat(r, list_transform(range(width - len(r)), lambda x: '')), ' | ') || ' |' || case when i = 1 then chr(10) || '| ' || array_to_string(list_transform(range(width), lambda x: '---'), ' | ') || ' |' else '' end), chr(10))"
 # every kind that is printed; tables and unusual metadata are rendered by the same rules
 MD_SQL = f"""md as (select *, {ORDER_SQL} as rank, case when element_type in ('footer','page_number','seal','image') then '' when coalesce(hitl_flag, false) then
  case when content = '' then note else content || chr(10) || note end else content end as md from (select *,
- '<!-- HITL: [' || x1::varchar || ',' || y1::varchar || ',' || x2::varchar || ',' || y2::varchar || '] page=' || page_num || ' confidence=' || printf('%.2f', coalesce(confidence, 0.0)) || ' -->' as note,
+ '<!-- REVIEW NEEDED: [' || x1::varchar || ',' || y1::varchar || ',' || x2::varchar || ',' || y2::varchar || '] page=' || page_num || ' confidence=' || printf('%.2f', coalesce(confidence, 0.0)) || ' -->' as note,
  case element_type when 'table' then table_md when 'header' then repeat('#', greatest(1, least(6, coalesce(try_cast(metadata['hierarchy_level'] as int), 2)))) || ' ' || t
  when 'formula' then case when t = '' then '[Formula: unreadable, see page ' || (page_num + 1) || ']' when contains(t, chr(10)) or length(t) > 80 then '$$' || t || '$$' else '$' || t || '$' end
  when 'chart' then case when coalesce(metadata['svg_content'], '') <> '' then metadata['svg_content'] else '[Chart: extraction failed, see page ' || (page_num + 1) || ']' end
- when 'handwriting' then case when x1 < 2550*0.15 or x2 > 2550*0.85 then '*[Margin note: ' || t || ']* <!-- handwritten-margin [' || x1::varchar || ',' || y1::varchar || ',' || x2::varchar || ',' || y2::varchar || '] -->' else '*' || t || '* <!-- handwritten -->' end
+ when 'handwriting' then case when x1 < coalesce(try_cast(metadata['page_width'] as double), 2550)*0.15 or x2 > coalesce(try_cast(metadata['page_width'] as double), 2550)*0.85 then '*[Margin note: ' || t || ']* <!-- handwritten-margin [' || x1::varchar || ',' || y1::varchar || ',' || x2::varchar || ',' || y2::varchar || '] -->' else '*' || t || '* <!-- handwritten -->' end
  else t end as content from (select *, coalesce(consensus_text, '') t,
- case when metadata['table_markdown'] is not null then metadata['table_markdown'] when len(rows) = 0 then '' else
- array_to_string(list_transform(rows, lambda r, i: '| ' || array_to_string(list_transform(string_split(r, chr(9)), lambda c: trim(c)), ' | ') || ' |' || case when i = 1 then chr(10) || '| --- |' else '' end), chr(10)) end as table_md
- from (select *, list_filter(string_split(coalesce(consensus_text, ''), chr(10)), lambda r: trim(r) <> '') as rows from aligned_regions))))"""
+ case when metadata['table_markdown'] is not null then metadata['table_markdown'] when contains(metadata['table_html'], 'colspan') or contains(metadata['table_html'], 'rowspan') then metadata['table_html'] when len(cells) = 0 then '' else {TABLE_SQL} end as table_md
+ from (select *, list_max(list_transform(cells, lambda r: len(r))) as width from (select *, {CELLS_SQL.format("coalesce(consensus_text, '')", "string_split(r, chr(9))")} as cells from aligned_regions)))))"""
 
 
 @query(f"with o as (select aligned_key, {ORDER_SQL}::int as rank from aligned_regions) select * from o")
@@ -427,37 +481,47 @@ def q_region_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "aligned_regions").select("aligned_key", markdown.region_markdown().alias("md"))
 
 
-@query(f"with {MD_SQL} select doc_id, page_num, string_agg(md, chr(10) || chr(10) order by rank) as page_markdown from md where md <> '' group by doc_id, page_num")
+@query(f"with {MD_SQL} select doc_id, page_num, coalesce(string_agg(md, chr(10) || chr(10) order by rank) filter (where md <> ''), '') as page_markdown from md group by doc_id, page_num")
 def q_page_markdown(spark: SparkSession, d: str) -> DataFrame:
     """F17"""
     return markdown.pages(table(spark, d, "aligned_regions"))
 
 
-@query(f"with h as (select *, {ORDER_SQL} as rank from aligned_regions) select doc_id, consensus_text as title from (select *, row_number() over (partition by doc_id order by page_num, rank) rn from h where element_type = 'header' and consensus_text <> '') where rn = 1")
+@query(f"with h as (select *, {ORDER_SQL} as rank, min(page_num) over (partition by doc_id) as first from aligned_regions), t as (select doc_id, consensus_text, row_number() over (partition by doc_id order by rank) rn from h where element_type = 'header' and page_num = first) select d.doc_id, consensus_text as title from (select distinct doc_id from aligned_regions) d left join t on t.doc_id = d.doc_id and rn = 1")
 def q_title(spark: SparkSession, d: str) -> DataFrame:
-    """W6"""
+    """The first header on the first page"""
     return markdown.titles(table(spark, d, "aligned_regions"))
 
 
-@query()
+@query(f"""with {MD_SQL}, p as (select doc_id, page_num, coalesce(string_agg(md, chr(10) || chr(10) order by rank) filter (where md <> ''), '') t from md group by doc_id, page_num),
+ n as (select *, row_number() over (partition by doc_id order by page_num) part_no from p), c as (select doc_id, count(*) pages from p group by doc_id) select doc_id, part_no, case when part_no > 1 then chr(10) || chr(10) || '---' || chr(10) || chr(10) else '' end || t as part from n""")
 def q_document_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """K1, D5"""
-    return markdown.documents(table(spark, d, "aligned_regions"), "2026-01-01T00:00:00Z")
+    """The pages of the documents; the front matter is q_front_matter"""
+    return markdown.documents(table(spark, d, "aligned_regions"), "2026-01-01T00:00:00Z").filter("part_no > 0")
 
 
 @query()
+def q_front_matter(spark: SparkSession, d: str) -> DataFrame:
+    """K1, D5, W6"""
+    return markdown.documents(table(spark, d, "aligned_regions"), "2026-01-01T00:00:00Z").filter("part_no = 0")
+
+
+BARS_SQL = "regexp_split_to_array(r, ' ?[|] ?')"
+
+
+@query(f"with c as (select region_key, cells, list_max(list_transform(cells, lambda r: len(r))) width from (select region_key, {CELLS_SQL.format('text_content', BARS_SQL)} cells from ocr_regions where element_type = 'table' and text_content is not null)) select region_key, case when len(cells) = 0 then '' else {TABLE_SQL} end as md, greatest(0, case when len(cells) = 0 then 0 else len(cells) end)::int as \"rows\", case when len(cells) = 0 then 0 else width end::int as cols from c")
 def q_pipe_table(spark: SparkSession, d: str) -> DataFrame:
-    """Tables of bar-separated text"""
+    """Tables of bar-separated text; a table's rows are its lines but the rule"""
     r = table(spark, d, "ocr_regions").filter("element_type = 'table' and text_content is not null")
-    md = s.pipe_table(F.col("text_content"), r" ?\| ?")
+    md = s.pipe_table(F.col("text_content"), r" ?[|] ?")
     return r.select("region_key", md.alias("md")).select("region_key", "md", sources.table_shape(F.col("md")).alias("shape")).select("region_key", "md", "shape.*")
 
 
-@query("select region_key, '<g></g>' || text_content as svg from ocr_regions where element_type = 'chart' and text_content is not null")
+@query("select region_key, '<g></g><a onclick=z>' || text_content as svg from ocr_regions where element_type = 'chart' and text_content is not null")
 def q_svg_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    """F8: charts with a script and a handler put in"""
+    """F8: charts with a script and handlers put in, some behind several blanks, one without quotes"""
     r = table(spark, d, "ocr_regions").filter("element_type = 'chart' and text_content is not null")
-    return r.select("region_key", s.clean_svg(F.concat(F.lit('<g onclick="x()"><script>y()</script></g>'), "text_content")).alias("svg"))
+    return r.select("region_key", s.clean_svg(F.concat(F.lit('<g \n  onclick="x()"   onload = \'y()\'><SCRIPT a="b">y(\n)</script></g><a onclick=z>'), "text_content")).alias("svg"))
 
 
 @query("select region_key, regexp_replace(text_content, '\\s', '', 'g') <> '' and ((length(text_content) - length(replace(text_content, '$$', ''))) / 2) % 2 = 0 and (length(replace(text_content, '$$', '')) - length(replace(text_content, '$', '')) - (length(text_content) - length(replace(text_content, '$$', ''))) * 0) % 1 = 0 and (length(replace(text_content, '$$', '')) - length(replace(replace(text_content, '$$', ''), '$', ''))) % 2 = 0 as valid from ocr_regions where element_type = 'formula' and text_content is not null")
@@ -473,10 +537,27 @@ PAGE_LOG_SQL = "page_log as (select doc_id, page_num, count(*) region_count, cou
 
 @query(f"with {PAGE_LOG_SQL} select * from page_log")
 def q_page_log(spark: SparkSession, d: str) -> DataFrame:
-    """A14, A26"""
+    """A14 without costs, which stored regions don't have; see q_log_pages"""
     return audit.page_log(table(spark, d, "aligned_regions"))
 
 
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda name: shred.log_table(table(spark, d, "job_results"), name)
+    return audit.log_pages(of("pages"), of("regions"), of("engine_durations"))
+
+
+@query()
+def q_log_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and cost of every page of every log"""
+    return _logs(spark, d)
+
+
+@query()
+def q_log_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of every log"""
+    return audit.log_jobs(_logs(spark, d)).select("result_key", "pages", "regions", "llm_count", "hitl_count", "cost_nano", *fixed("llm_rate"))
+
+
 @query(f"with {PAGE_LOG_SQL} select doc_id, count(*) pages, sum(region_count)::bigint regions, sum(llm_count)::bigint llm_count, sum(hitl_count)::bigint hitl_count, round(sum(llm_count)/greatest(1, sum(region_count)), 6) llm_rate from page_log group by doc_id")
 def q_job_log(spark: SparkSession, d: str) -> DataFrame:
     """A15"""
@@ -495,24 +576,23 @@ def q_page_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_budget_cut(spark: SparkSession, d: str) -> DataFrame:
-    """Pages within a budget of 0.002 dollars a job"""
+    """Pages within a budget of 0.002 dollars a job"""
     return audit.within_budget(_costs(spark, d), 2_000_000)
 
 
-@query("with t as (select user_id, sum(round(value*100)::bigint)::bigint cents from events group by user_id) select user_id::varchar key_hash, cents/100 spent_usd, 1000.0::double budget_usd, cents/100 >= 1000 exceeded from t where cents/100 >= 800")
+@query("with t as (select user_id, sum(round(value*100)::bigint)::bigint cents from events group by user_id) select 'job_' || user_id job_id, user_id::varchar key_hash, cents/100 spent_usd, 1000.0::double budget_usd, 0.8::double threshold_pct, cents/100 >= 1000 exceeded, 'Job job_' || user_id || ' has used ' || printf('%.1f', cents/100/1000.0::double*100) || '% of budget ($' || printf('%.4f', cents/100) || '/$' || printf('%.4f', 1000.0::double) || ')' as message from t where cents/100 >= 800")
 def q_cost_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """P16, P17, P18"""
+    """A job per key"""
     totals = service.spend_totals(service.spend_buckets(table(spark, d, "events")))
-    spent = totals.select(F.col("key_id").cast("string").alias("key_hash"), (F.col("cents") / 100).alias("spent_usd"), F.lit(1000.0).alias("budget_usd"))
-    return audit.alerts(spent).drop("message")
+    spent = totals.select(F.concat(F.lit("job_"), F.col("key_id").cast("string")).alias("job_id"), F.col("key_id").cast("string").alias("key_hash"), (F.col("cents") / 100).alias("spent_usd"), F.lit(1000.0).alias("budget_usd"))
+    return audit.alerts(spent)
 
 
-@query("select c.aligned_key, round(levenshtein(regexp_replace(e.text, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(c.consensus_text, '[^\\x00-\\x7F]', '?', 'g')) / greatest(length(c.consensus_text), 1), 6) as cer, e.engine from aligned_regions c, unnest(engine_texts) u(e) where c.consensus_text is not null and e.text is not null")
+@query(f"select c.aligned_key, round({_bytes_sql('e.text', 'c.consensus_text')} / greatest(length(c.consensus_text), 1), 6) as cer, e.engine from aligned_regions c, unnest(engine_texts) u(e) where c.consensus_text is not null and e.text is not null")
 def q_cer(spark: SparkSession, d: str) -> DataFrame:
-    """Each reading against the consensus, folded to ASCII"""
-    fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    """Each reading against the consensus"""
     r = table(spark, d, "aligned_regions").filter("consensus_text is not null").select("aligned_key", "consensus_text", F.explode("engine_texts").alias("e")).filter("e.text is not null")
-    return r.select("aligned_key", F.round(audit.character_errors(fold(F.col("e.text")), fold(F.col("consensus_text"))), ROUND).alias("cer"), F.col("e.engine").alias("engine"))
+    return r.select("aligned_key", F.round(audit.character_errors(F.col("e.text"), F.col("consensus_text")), ROUND).alias("cer"), F.col("e.engine").alias("engine"))
 
 
 def _regressions(spark: SparkSession, d: str) -> DataFrame:
@@ -521,15 +601,18 @@ def _regressions(spark: SparkSession, d: str) -> DataFrame:
     return audit.regressions(by_engine, limits)
 
 
-@query()
+REGRESSIONS_SQL = f"m as (select e.engine as benchmark, avg(round({_bytes_sql('e.text', 'c.consensus_text')} / greatest(length(c.consensus_text), 1), 6)) as value from aligned_regions c, unnest(engine_texts) u(e) where c.consensus_text is not null and e.text is not null group by e.engine), r as (select benchmark, 'cer' as metric, round(value, 6) as value, 0.002::double as \"limit\" from m where value > 0.002 and benchmark in ('pdfplumber', 'paddleocr', 'docling', 'trocr', 'dots'))"
+
+
+@query(f"with {REGRESSIONS_SQL} select * from r")
 def q_baseline_check(spark: SparkSession, d: str) -> DataFrame:
     """Engines whose mean error rate is above a limit"""
     return _regressions(spark, d).select("benchmark", "metric", *fixed("value", "limit"))
 
 
-@query()
+@query(f"with {REGRESSIONS_SQL}, n as (select count(*) n from r), x as (select 0 line_no, '# Regression Report' line union all select 1, '' union all select 2, case when n = 0 then 'All benchmarks passing.' else '**' || n || ' regression(s) detected.**' end from n union all select 3, '' from n where n > 0 union all select 4, '| Benchmark | Metric | Expected | Actual |' from n where n > 0 union all select 5, '|-----------|--------|----------|--------|' from n where n > 0 union all select (5 + row_number() over (order by benchmark, metric))::int, '| ' || benchmark || ' | ' || metric || ' | ' || printf('%.4f', \"limit\") || ' | ' || printf('%.4f', value) || ' |' from r) select line_no::int line_no, line from x")
 def q_regression_report(spark: SparkSession, d: str) -> DataFrame:
-    """K6"""
+    """K6: title, count and table, or that all pass"""
     return audit.regression_report(_regressions(spark, d))
 
 
@@ -585,7 +668,7 @@ def q_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select job_id, deliveries, result_key, doc_id, api_key_hash from (select *, count(*) over (partition by job_id) deliveries, row_number() over (partition by job_id order by received_at desc nulls last, result_key desc) rn from job_results) where rn = 1")
 def q_latest_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """R4, K3, C12"""
+    """What a read of a job gives"""
     return service.latest_jobs(table(spark, d, "job_results"))
 
 
@@ -614,12 +697,15 @@ def q_ownership(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "job_results").select("result_key", "job_id", service.owned(None, F.sha2(F.lit("key_1"), 256)).alias("code"))
 
 
-@query()
+CALLBACKS = (("https://hooks.example.org/", "ok"), ("http://hooks.example.org/", "not_https"), ("https://inside.example.org/", "private_address"), ("https://u:p@hooks.example.org/", "userinfo"), ("https://hooks.example.org:8443/", "bad_port"), ("https://hooks.example.org:443/", "ok"), ("https://nowhere.example.org/", "unresolvable"), ("ftp://hooks.example.org/", "not_https"))
+
+
+@query(f"select c_custkey, {[u for u, _ in CALLBACKS]}[(c_custkey % {len(CALLBACKS)} + 1)::int] || c_custkey as url, {[c for _, c in CALLBACKS]}[(c_custkey % {len(CALLBACKS)} + 1)::int] as \"check\" from customer")
 def q_callback_check(spark: SparkSession, d: str) -> DataFrame:
-    """An address per customer, in turn good and bad in every way"""
-    kinds = ["https://hooks.example.org/", "http://hooks.example.org/", "https://10.0.0.1/", "https://u:p@hooks.example.org/", "https://hooks.example.org:8443/", "https://hooks.example.org:443/", "https://192.168.1.1/"]
-    url = F.concat(F.get(F.array(*map(F.lit, kinds)), (F.col("c_custkey") % len(kinds)).cast("int")), F.col("c_custkey").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", url.alias("url"), service.callback_check(url).alias("check"))
+    """An address per customer, in turn good and bad in every way, with what its host resolves to"""
+    url = F.concat(F.get(F.array(*[F.lit(u) for u, _ in CALLBACKS]), (F.col("c_custkey") % len(CALLBACKS)).cast("int")), F.col("c_custkey").cast("string"))
+    found = F.when(F.contains(url, F.lit("inside.")), F.array(F.lit("93.184.216.34"), F.lit("10.0.0.7"))).when(~F.contains(url, F.lit("nowhere.")), F.array(F.lit("93.184.216.34"), F.lit("2606:2800:220:1::1")))
+    return table(spark, d, "customer").select("c_custkey", url.alias("url"), service.callback_check(url, found).alias("check"))
 
 
 @query("select job_id, count(*) regions, count(*) filter (status = 'pending') pending, count(*) filter (status = 'reviewed') reviewed, count(*) filter (status = 'partial') as \"partial\" from hitl_regions group by job_id")
@@ -648,3 +734,140 @@ def q_stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     got = windows.run_complete(windows.requests_per_minute(events, 1), "stream_rate_limit")
     return got.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query("select distinct job_id from job_results where received_at is not null")
+def q_stream_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The first delivery of each job from a stream that remembers a job for 30 days of event time"""
+    results = spark.readStream.schema(table(spark, d, "job_results").schema).parquet(f"{d}/job_result[s].parquet")
+    results = results.select("job_id", F.col("received_at").cast("timestamp").alias("received_at")).filter("received_at is not null")
+    return windows.run_append(windows.latest_per_job(results).select("job_id"), "stream_deliveries")
+
+
+@query()
+def q_arriving_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a folder as they arrive, their length in bytes"""
+    got = windows.run_append(windows.arriving_files(spark, f"{d}/*[nr].parquet"), "arriving_files")
+    return got.select(F.substring_index("path", "/", -1).alias("file"), "length")
+
+
+@query()
+def q_file_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a folder through the format and size gate"""
+    return sources.documents(spark, f"{d}/region.parquet").select(F.substring_index("path", "/", -1).alias("file"), "length", "check")
+
+
+# --- pages, fonts, specialists ----------------------------------------------------------------------------------------
+
+
+@query()
+def q_image_scan(spark: SparkSession, d: str) -> DataFrame:
+    """S3: size and resolution from the head of each page image, or why there is none"""
+    images = table(spark, d, "page_payloads").filter("image is not null").select("doc_id", "page_num", "image")
+    return sources.image_heads(images, ["doc_id", "page_num"], "image")
+
+
+@query("with a as (select event_id, value - 180 * floor(value / 180) - 90 as angle from events), f as (select event_id, case when angle < -45 then angle + 90 when angle > 45 then angle - 90 else angle end as a from a) select event_id, round(case when abs(a) >= 0.1 and abs(a) <= 15 then a else 0.0 end, 6) as undo from f")
+def q_deskew_angle(spark: SparkSession, d: str) -> DataFrame:
+    """Angles folded and limited; the values of events as angles"""
+    angle = F.col("value") - 180 * F.floor(F.col("value") / 180) - 90
+    return table(spark, d, "events").select("event_id", F.round(clean.folded_angle(angle), ROUND).alias("undo"))
+
+
+LINES_SQL = "l as (select doc_id, i as line, line_boxes[i].y1::double as top, line_boxes[i].x1::double as x0, lang from (select doc_id, lang, line_boxes, unnest(range(1, len(line_boxes) + 1)) i from documents where line_boxes is not null))"
+
+
+@query(f"with {LINES_SQL}, c as (select doc_id, line as ord, top + line % 4 as top, x0 + line % 3 * 2 as x0, case line % 3 when 0 then 'Serif-Bold' when 1 then 'Serif-Oblique' else 'Serif' end as font from l), m as (select l.doc_id, l.line, arg_min(font, struct_pack(a := case when abs(c.x0 - l.x0) <= 2 then 0 else 1 end, o := c.ord)) as font from l join c on c.doc_id = l.doc_id and abs(c.top - l.top) <= 2 group by l.doc_id, l.line) select l.doc_id, l.line, coalesce(font, '') as font, coalesce(contains(lower(font), 'bold'), false) as bold, coalesce(contains(lower(font), 'italic') or contains(lower(font), 'oblique'), false) as italic from l left join m using (doc_id, line)")
+def q_line_fonts(spark: SparkSession, d: str) -> DataFrame:
+    """The font of each line of a page, with a character near each line's corner"""
+    boxes = table(spark, d, "documents").filter("line_boxes is not null").select("doc_id", F.posexplode("line_boxes").alias("i", "b"))
+    lines = boxes.select("doc_id", F.lit(0).cast("long").alias("page_num"), (F.col("i") + 1).alias("line"), F.col("b.y1").cast("double").alias("top"), F.col("b.x1").cast("double").alias("x0"))
+    font = F.get(F.array(F.lit("Serif-Bold"), F.lit("Serif-Oblique"), F.lit("Serif")), F.col("line") % 3)
+    characters = lines.select("doc_id", "page_num", F.col("line").alias("ord"), (F.col("top") + F.col("line") % 4).alias("top"), (F.col("x0") + F.col("line") % 3 * 2).alias("x0"), font.alias("font"))
+    return sources.font_of_line(lines, characters).select("doc_id", F.col("line").cast("long").alias("line"), "font", "bold", "italic")
+
+
+@query("select region_key, case element_type when 'printed_text' then 'printed_text' when 'header' then 'printed_text' when 'table' then 'table' when 'formula' then 'formula' when 'image' then 'printed_text' else 'printed_text' end as structure, case element_type when 'printed_text' then 'printed_text' when 'header' then 'header' when 'footer' then 'footer' when 'page_number' then 'page_number' when 'table' then 'table' when 'formula' then 'formula' when 'image' then 'image' when 'chart' then 'chart' when 'seal' then 'seal' else 'printed_text' end as layout, 0.95::double as confidence from ocr_regions where element_type is not null")
+def q_label_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Types taken as labels of the layout recogniser and of the structure extractor"""
+    kind = F.col("element_type")
+    return table(spark, d, "ocr_regions").filter("element_type is not null").select("region_key", sources.structure_type(kind).alias("structure"), sources.layout_type(kind).alias("layout"), F.lit(sources.STRUCTURE_SCORE).alias("confidence"))
+
+
+@query("select region_key, specialist, case when specialist = 'dots_formula' then regexp_replace(t, '\\s', '', 'g') <> '' when specialist = 'dots_chart' then contains(lower(t), '<svg') else t <> '' end as success, case when case when specialist = 'dots_formula' then regexp_replace(t, '\\s', '', 'g') <> '' when specialist = 'dots_chart' then contains(lower(t), '<svg') else t <> '' end then 0.85 else 0.0 end::double as confidence, coalesce(region_id, 'unknown') as region_id from (select region_key, region_id, coalesce(text_content, '') t, " + DISPATCH_SQL + " as specialist from ocr_regions where element_type in ('handwriting','formula','chart'))")
+def q_specialist_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of specialists in batches, each by the reader of its task; here readers that give the stored text"""
+    asked = clean.dispatched(table(spark, d, "ocr_regions")).select("region_key", "region_id", "specialist", F.coalesce("text_content", F.lit("")).alias("payload"))
+    same = lambda payloads: list(payloads)
+    return sources.specialists(asked, {"trocr": same, "dots_formula": same, "dots_chart": same}).select("region_key", "specialist", "success", "confidence", "region_id")
+
+
+@query("select doc_id, page_num, base64(image) as encoded, scanned_at from page_payloads where image is not null")
+def q_image_base64(spark: SparkSession, d: str) -> DataFrame:
+    """images as they are put into a request"""
+    return table(spark, d, "page_payloads").filter("image is not null").select("doc_id", "page_num", F.base64("image").alias("encoded"), "scanned_at")
+
+
+# --- review and store -------------------------------------------------------------------------------------------------
+
+
+def _payload(spark: SparkSession, d: str) -> DataFrame:
+    """A correction of every pending region, and of one that no job has."""
+    pending = table(spark, d, "hitl_regions").filter("status = 'pending' and region_id is not null").select("job_id", "region_id").distinct()
+    entries = F.collect_list(F.struct(F.col("region_id").alias("key"), F.concat(F.lit("corrected "), "region_id").alias("value")))
+    return pending.groupBy("job_id").agg(F.map_from_entries(F.concat(entries, F.array(F.struct(F.lit("none").alias("key"), F.lit("x").alias("value"))))).alias("corrections"))
+
+
+@query("select h.* exclude (engine_texts) replace (case when h.region_id in (select region_id from hitl_regions p where p.job_id = h.job_id and p.status = 'pending') then 'corrected ' || h.region_id else h.corrected_text end as corrected_text) from hitl_regions h")
+def q_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """The review table as it is written back after a payload of corrections"""
+    return service.with_corrections(table(spark, d, "hitl_regions"), _payload(spark, d)).drop("engine_texts")
+
+
+@query("select job_id, 'updated' as status, (count(distinct region_id) + 1)::int as corrections_applied from hitl_regions where status = 'pending' and region_id is not null group by job_id")
+def q_corrections_applied(spark: SparkSession, d: str) -> DataFrame:
+    """The size of each payload, the id that isn't known included"""
+    return service.corrections_applied(_payload(spark, d))
+
+
+@query("with o as (select o_custkey, arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) price, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) last from orders group by o_custkey) select c_custkey, coalesce(price, c_acctbal) c_acctbal from customer left join o on o_custkey = c_custkey where last is null or last % 7 <> 0")
+def q_store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """K3: put and delete; the last order of a customer puts a value, each seventh takes the customer away"""
+    store = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by(F.struct("o_totalprice", "o_orderkey", "o_orderdate"), F.struct("o_orderdate", "o_orderkey")).alias("o"))
+    changes = last.select("c_custkey", F.col("o.o_totalprice").alias("c_acctbal"), F.col("o.o_orderdate").cast("timestamp").alias("at"), (F.col("o.o_orderkey") % 7 == 0).alias("deleted"))
+    return service.upserted(store, changes.join(store.select("c_custkey"), "c_custkey"), ["c_custkey"])
+
+
+# --- the whole way ----------------------------------------------------------------------------------------------------
+
+
+def _process(spark: SparkSession, d: str, options: pipeline.Options) -> pipeline.Result:
+    jobs = table(spark, d, "job_results")
+    names = jobs.groupBy("doc_id").agg(F.max("filename").alias("filename"))
+    per_page = _costs(spark, d).join(jobs.select("result_key", "doc_id"), "result_key").groupBy("doc_id", "page_num").agg(F.max("cost_nano").alias("cost_nano"))
+    return pipeline.process(table(spark, d, "ocr_regions"), table(spark, d, "page_payloads"), names, per_page, options)
+
+
+@query()
+def q_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Documents from the regions of their engines to Markdown, in parts"""
+    return _process(spark, d, pipeline.Options()).documents
+
+
+@query()
+def q_pipeline_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The decision log of the same way, regions below a confidence of 0.6 to be reviewed"""
+    return _process(spark, d, pipeline.Options(confidence_floor=0.6)).decisions
+
+
+@query()
+def q_pipeline_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of each document within a budget of 0.02 dollars"""
+    return _process(spark, d, pipeline.Options(budget_nano=20_000_000)).metadata
+
+
+@query()
+def q_resolution_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """K5: resolution counts as a line of JSON each"""
+    return q_resolution_rate(spark, d).select(F.to_json(F.struct("type_group", "multi", "groups", "rate")).alias("value"))

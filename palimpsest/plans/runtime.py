@@ -6,12 +6,13 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,9 +29,11 @@ def importable(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or, only where that is unset (tests on one machine), a temporary folder that is set there."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where that is unset, a session on one machine gets a temporary folder; on a cluster it is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -57,9 +60,25 @@ def small_rows(df: DataFrame, bound: int) -> list | None:
     return rows if len(rows) <= bound else None
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Round-robin rows over the shuffle partitions when few large input splits would leave cores idle."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(c) for c in cols])
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, value: str | None = None) -> DataFrame:
+    """``df`` with ``name``: the place (from 1) of a row among those of its group in ``order``, or with ``value`` the sum of that column over the rows before it.
+
+    Rows are sorted over ranges of (group, order), so a group that holds most rows is spread over many tasks; what a range
+    has of a group is counted and summed up over the ranges, of which there are as many as shuffle partitions. Rows equal in
+    ``order`` are placed in any order."""
+    cells = df.repartitionByRange(*[F.col(c) for c in (*group, *order)]).sortWithinPartitions(*group, *order).withColumn("__range", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    stored = materialise(cells, "ranked")
+    same = reduce(lambda a, b: a & b, [F.col(f"__k{i}").eqNullSafe(F.col(c)) for i, c in enumerate(group)])
+    amount = F.col(value) if value else F.lit(1)
+    per = stored.groupBy("__range", *group).agg(F.sum(amount).alias("__n"), F.min("__row").alias("__first"))
+    over = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("__range").alias("__r"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(group)], "__first", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"))
+    if value is None:
+        joined = stored.join(per, (F.col("__range") == F.col("__r")) & same)
+        return joined.select(*df.columns, (F.col("__before") + F.col("__row") - F.col("__first") + 1).alias(name))
+    within = Window.partitionBy("__range", *group).orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+    joined = stored.withColumn("__own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(per, (F.col("__range") == F.col("__r")) & same)
+    return joined.select(*df.columns, (F.col("__before") + F.col("__own")).alias(name))
 
 
 def grouped(df: DataFrame, keys: list[str], order: list[str], rows_of: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:

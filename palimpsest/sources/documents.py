@@ -23,23 +23,7 @@ STRUCTURE_LABELS = {
     "text": "printed_text", "section_header": "header", "title": "header", "table": "table", "picture": "image", "formula": "formula",
     "list_item": "printed_text", "caption": "printed_text", "page_header": "header", "page_footer": "footer", "footnote": "footer",
 }
-DEFAULT_TYPE, DEFAULT_SCORE, STRUCTURE_SCORE = "printed_text", 0.85, 0.95
-
-#: What every source of regions has to give.
-REGION = "doc_id long, page_num long, engine string, engine_ord int, region_ord int, region_id string, element_type string, x1 double, y1 double, x2 double, y2 double, confidence double, text_content string, hierarchy_level int, metadata map<string,string>"
-
-_readers: dict[str, Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]] = {}
-
-
-def register(name: str, reader: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> None:
-    """Make an engine known: it maps batches of pages to batches of ``REGION`` rows and is set up once per Python worker."""
-    _readers[name] = reader
-
-
-def read_regions(pages: DataFrame, engine: str) -> DataFrame:
-    """Regions of an engine's reading of pages."""
-    return pages.mapInPandas(_readers[engine], REGION)
-
+DEFAULT_TYPE, DEFAULT_SCORE, STRUCTURE_SCORE, SPECIALIST_SCORE = "printed_text", 0.85, 0.95, 0.85
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a folder that pass the format and size gate; the others with the reason, without content."""
@@ -104,6 +88,14 @@ def enclosing_box(points: Column) -> Column:
     return F.struct(of(F.array_min, "x").alias("x1"), of(F.array_min, "y").alias("y1"), of(F.array_max, "x").alias("x2"), of(F.array_max, "y").alias("y2"))
 
 
+def line_boxes(lines: DataFrame, page: list[str], key: str, width: float, height: float) -> DataFrame:
+    """Boxes (px1, py1, px2, py2) of lines given as polygons (points: array of struct(x, y)), clamped to the page, empty ones dropped, with their number (line_no) from top to bottom. Numbered inside a page."""
+    box = enclosing_box(F.col("points"))
+    clamp = lambda c, most: F.greatest(F.lit(0.0), F.least(c, F.lit(most)))
+    clamped = lines.withColumns({f"p{c}": clamp(box[c], width if c[0] == "x" else height) for c in ("x1", "y1", "x2", "y2")}).filter("px2 > px1 and py2 > py1")
+    return clamped.withColumn("line_no", F.row_number().over(Window.partitionBy(*page).orderBy("py1", "px1", key)).cast("int"))
+
+
 def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines whose box doesn't meet a table's on the same page (open overlap in both axes)."""
     t = tables.select("doc_id", "page_num", *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
@@ -112,9 +104,77 @@ def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def font_of_line(lines: DataFrame, characters: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Font of each line's first character within the tolerance of its corner, else of its top; characters: doc_id, page_num, ord, top, x0, font."""
-    c = characters.select("doc_id", "page_num", F.col("ord").alias("c_ord"), F.col("top").alias("c_top"), F.col("x0").alias("c_x0"), "font")
-    near = lines.join(c, ["doc_id", "page_num"], "left").filter(F.abs(F.col("c_top") - F.col("top")) <= tolerance)
+    """Font of each line's first character within the tolerance of its corner, else of its top, else none, and whether its name says bold or italic; characters: doc_id, page_num, ord, top, x0, font.
+
+    Characters are looked up by cells of their top as wide as the tolerance, so a line meets those near it only."""
+    cell = lambda c: F.floor(c / tolerance).cast("long")
+    c = characters.select("doc_id", "page_num", F.col("ord").alias("c_ord"), F.col("top").alias("c_top"), F.col("x0").alias("c_x0"), "font").withColumn("cell", F.explode(F.array(*[cell(F.col("c_top")) + k for k in (-1, 0, 1)])))
+    at = lines.select("doc_id", "page_num", "line", "top", "x0", cell(F.col("top")).alias("cell"))
+    near = at.join(c, ["doc_id", "page_num", "cell"]).filter(F.abs(F.col("c_top") - F.col("top")) <= tolerance)
     corner = F.abs(F.col("c_x0") - F.col("x0")) <= tolerance
     got = near.groupBy("doc_id", "page_num", "line").agg(F.min_by("font", F.struct((~corner).alias("a"), "c_ord")).alias("font"))
-    return lines.join(got, ["doc_id", "page_num", "line"], "left")
+    name = F.lower(F.coalesce("font", F.lit("")))
+    says = lambda *words: F.greatest(*[F.contains(name, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(name, F.lit(words[0]))
+    return lines.join(got, ["doc_id", "page_num", "line"], "left").select(*lines.columns, F.coalesce("font", F.lit("")).alias("font"), says("bold").alias("bold"), says("italic", "oblique").alias("italic"))
+
+
+def _head(image: bytes) -> tuple[int, int, int]:
+    """Width, height and dots per inch (72 where the file says none) from the head of a PNG or JPEG file."""
+    if image[:8] == b"\x89PNG\r\n\x1a\n" and image[12:16] == b"IHDR" and len(image) >= 24:
+        dpi, at = 72, image.find(b"pHYs")
+        if at > 0 and len(image) >= at + 13 and image[at + 12] == 1:
+            dpi = round(int.from_bytes(image[at + 4 : at + 8], "big") * 0.0254)
+        return int.from_bytes(image[16:20], "big"), int.from_bytes(image[20:24], "big"), dpi
+    if image[:2] == b"\xff\xd8":
+        at, dpi = 2, 72
+        while at + 9 < len(image) and image[at] == 0xFF:
+            mark, size = image[at + 1], int.from_bytes(image[at + 2 : at + 4], "big")
+            if mark == 0xE0 and image[at + 4 : at + 8] == b"JFIF" and image[at + 11] == 1:
+                dpi = int.from_bytes(image[at + 12 : at + 14], "big")
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(image[at + 7 : at + 9], "big"), int.from_bytes(image[at + 5 : at + 7], "big"), dpi
+            at += 2 + size
+    raise ValueError("no image that can be read")
+
+
+def image_heads(images: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Size and resolution of images, or an error and zero sizes for one that can't be read. Only the head is looked at."""
+    schema = ", ".join([*(f"{k} long" for k in keys), "width int, height int, dpi int, error string"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for image, *key in zip(pdf[column], *(pdf[k] for k in keys)):
+                try:
+                    out.append((*key, *_head(bytes(image)), None))
+                except (ValueError, IndexError) as e:
+                    out.append((*key, 0, 0, 0, str(e)))
+            yield pd.DataFrame(out, columns=[*keys, "width", "height", "dpi", "error"])
+
+    return images.select(*keys, column).mapInPandas(run, schema)
+
+
+Reader = Callable[[list], list]
+
+
+def specialists(asked: DataFrame, readers: dict[str, Reader]) -> DataFrame:
+    """Regions (region_key, region_id, specialist, payload) read by the specialist each is for, a batch at a time: text, whether it succeeded, and its confidence.
+
+    ``readers`` are set up once per Python worker; one that fails, or a specialist without a reader, gives no text. Formulas
+    succeed if they aren't blank, charts if they hold a graphic, handwriting if there is any text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            error = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            for name, own in pdf.groupby("specialist"):
+                try:
+                    text[own.index] = pd.Series(readers[str(name)]([*own["payload"]]), index=own.index, dtype=object)
+                except Exception as e:  # noqa: BLE001  # a reader may fail in any way
+                    error[own.index] = f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"region_key": pdf["region_key"], "region_id": pdf["region_id"], "specialist": pdf["specialist"], "text": text, "error": error})
+
+    got = asked.mapInPandas(run, "region_key long, region_id string, specialist string, text string, error string")
+    text = F.coalesce("text", F.lit(""))
+    good = F.when(F.col("specialist") == "dots_formula", F.regexp_replace(text, r"\s", "") != "").when(F.col("specialist") == "dots_chart", F.contains(F.lower(text), F.lit("<svg"))).otherwise(text != "")
+    return got.select("region_key", F.coalesce("region_id", F.lit("unknown")).alias("region_id"), "specialist", "text", "error", good.alias("success"), F.when(good, SPECIALIST_SCORE).otherwise(0.0).alias("confidence"))

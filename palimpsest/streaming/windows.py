@@ -42,9 +42,22 @@ def once(stream: DataFrame, path: str, mode: str = "append") -> StreamingQuery:
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{shared_dir(spark)}/streams/{mark}").trigger(availableNow=True).start()
 
 
+def run_append(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives over everything there is, appended to files in the shared folder and read back."""
+    path = f"{shared_dir(stream.sparkSession)}/streams/{name}_{uuid.uuid4().hex}"  # a run of its own, not one that goes on
+    once(stream, path).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """The state of an aggregating stream after everything there is, for small results such as tests and reports."""
-    name = f"{name}_{uuid.uuid4().hex}"  # a run of its own, not one that goes on
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(stream.sparkSession)}/streams/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """The state of an aggregating stream after everything there is. Each batch writes the whole state to files of its own in the shared folder, from the tasks that hold it; the last one is read back."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/streams/{name}_{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state/{n}")
+        last.append(n)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/state/{last[-1]}") if last else spark.createDataFrame([], stream.schema)
