@@ -61,14 +61,13 @@ class Node:
         return [self] if not self.fields else [x for f in self.fields for x in f.leaves()]
 
 
-def parsed(value: object, deep: int = 3) -> object:
-    """JSON text inside strings, as often as it was wrapped."""
-    while isinstance(value, str) and deep and value[:1] in '{["':
+def parsed(value: object) -> object:
+    """JSON text inside strings, however often it was wrapped: each time it gets shorter."""
+    while isinstance(value, str) and value[:1] in '{["':
         try:
             value = json.loads(value)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
-        deep -= 1
     return value
 
 
@@ -200,14 +199,22 @@ class Columns:
         return found
 
 
-def _number(kind: type) -> Callable:
-    def cast(v: object) -> object:
-        try:
-            return kind(float(v)) if not isinstance(v, bool) else None
-        except (TypeError, ValueError, OverflowError):
-            return None
+def _decimal(v: object) -> float | None:
+    try:
+        return float(v) if not isinstance(v, bool) else None  # type: ignore[arg-type]
+    except (TypeError, ValueError, OverflowError):
+        return None
+
 
-    return cast
+def _whole(v: object) -> int | None:
+    """A whole number of 64 bits, without going through a float where it is written as one."""
+    try:
+        if isinstance(v, bool):
+            return None
+        n = int(v) if isinstance(v, int) or (isinstance(v, str) and v.strip().lstrip("+-").isdigit()) else int(float(v))  # type: ignore[arg-type]
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return n if -(2**63) <= n < 2**63 else None
 
 
 def _text(v: object) -> str:
@@ -220,7 +227,7 @@ def _flag(v: object) -> bool | None:
 
 def processing_log_schema() -> Node:
     """The audit log of a job: pages, their regions, engine durations and specialist dispatches."""
-    num, whole = _number(float), _number(int)
+    num, whole = _decimal, _whole
     return Node("", [
         Node("pages", [
             Node("page_num", cast=whole), Node("is_ground_truth", cast=_flag), Node("region_count", cast=whole), Node("estimated_cost_usd", cast=num),
@@ -235,13 +242,11 @@ def processing_log_schema() -> Node:
     ]).bind()
 
 
-def unwrap(text: object, root: Node, inside: tuple[str, ...] = ("processing_log", "result", "log", "data", "payload")) -> dict | None:
+def unwrap(value: object, root: Node, inside: tuple[str, ...] = ("processing_log", "result", "log", "data", "payload")) -> dict | None:
     """The object that has the schema's fields, however many objects or strings writers put around it."""
     names = {f.name for f in root.fields}
-    value = parsed(text)
-    for _ in range(6):
-        if not isinstance(value, dict):
-            return None
+    value = parsed(value)
+    while isinstance(value, dict):
         own = _named(value)
         if own.keys() & names:
             return own
@@ -253,11 +258,10 @@ def shred(texts: pd.Series, root: Node) -> Columns:
     columns = Columns(root)
     for t in texts:
         try:
-            json.loads(t)
+            value = json.loads(t)
         except (TypeError, ValueError, RecursionError):
-            columns.add(None)
-            continue
-        columns.add(unwrap(t, root))
+            value = None
+        columns.add(unwrap(value, root))
     return columns
 
 

@@ -30,6 +30,21 @@ def test_forms_of_the_same_log():
     assert records([json.dumps(json.dumps({"pages": [PAGE]}))]) == WANTED
 
 
+def test_wrapped_any_number_of_times():
+    text = json.dumps({"pages": [{"page_num": 3}]})
+    for _ in range(10):
+        text = json.dumps(text)
+    assert records([text]) == [(0, "page", 3, "")]
+    log = {"pages": [{"page_num": 3}]}
+    for k in range(12):
+        log = {("data", "result", "payload")[k % 3]: log if k % 2 else json.dumps(log)}
+    assert records([json.dumps(log)]) == [(0, "page", 3, "")]
+
+
+def test_large_whole_numbers_stay_whole():
+    assert [shred._whole(x) for x in (2**53 + 1, str(2**62 + 1), "7", " 8 ", 7.9, "7.9", 2**63, True, "x", None, float("inf"))] == [2**53 + 1, 2**62 + 1, 7, 8, 7, 7, None, None, None, None, None]
+
+
 def test_damaged_null_and_empty_give_no_rows():
     assert records([None, "", "{", '{"pages": [', "[]", "3", "null", '{"pages": null}', '{"other": 1}']) == []
 
