@@ -9,8 +9,9 @@ Blocks go to output shards by a splitting tree: the vector of the sources' block
 hypergeometric draw, again and again, until each shard has its exact count of every source; the blocks of a source, in
 permuted order, then go to the shards by those counts, so no block goes to two. Documents are shuffled inside their shard.
 
-Only block and shard counts meet in one place: a block has about ``BLOCK_DOCUMENTS`` documents, there are at most
-``MAX_SHARDS`` shards. No source is sorted as a whole, so one that holds most rows does no harm.
+The driver holds the tree down to at most ``2 * LEAVES`` nodes; the trees below them grow in tasks, so there may be any
+number of shards, each of about ``SHARD_TOKENS``. Running sums and ranks of blocks are taken over ranges of blocks: no
+source is summed, sorted or held in one task, so one that holds most rows does no harm.
 
 Defined results: documents of null or unlisted sources aren't used; a listed source without tokens gives nothing and the
 others keep their proportions; shares that are null or not positive give nothing; a repeated row counts as a document of
@@ -19,14 +20,17 @@ its own; null and empty texts have no tokens and are not drawn.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.tokens import FOLDER, VOCABULARY, token_count
-from palimpsest.plans.runtime import materialise
+from palimpsest.plans.runtime import materialise, ranked
 
-BLOCK_DOCUMENTS, SHARD_TOKENS, MAX_SHARDS, SEED = 256, 4_000_000, 4096, 20240501
+BLOCK_DOCUMENTS, SHARD_TOKENS, LEAVES, SEED = 256, 4_000_000, 4096, 20240501
 
 
 def split_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -39,6 +43,16 @@ def split_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_tree(draw, left, rng), split_tree(counts - draw, shards - left, rng)])
 
 
+def leaves(counts: np.ndarray, shards: int, rng: np.random.Generator, size: int) -> list[tuple[np.ndarray, int]]:
+    """The upper part of the tree, down to nodes of at most ``size`` shards: their counts and shards."""
+    if shards <= size:
+        return [(counts, shards)]
+    left = shards // 2
+    total = int(counts.sum())
+    draw = rng.multivariate_hypergeometric(counts, total * left // shards, method="marginals") if total else np.zeros_like(counts)
+    return leaves(draw, left, rng, size) + leaves(counts - draw, shards - left, rng, size)
+
+
 def quotas(available: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, tuple[float, int]]:
     """source -> (tokens to give, tokens it has); targets: source, share, max_repeats."""
     able = [(s, share, repeats) for s, share, repeats in targets if share and share > 0 and repeats and repeats > 0 and available.get(s, 0) > 0]
@@ -65,20 +79,34 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     docs = sized.join(F.broadcast(each), "src").withColumn("block", F.floor(F.col("u") * F.col("blocks")).cast("int"))
     # running tokens: over the blocks of a source, then inside a block
     sums = docs.groupBy("src", "block", "quota", "total", "passes").agg(F.sum("tokens").alias("in_block"))
-    over = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = materialise(sums.withColumn("before", F.coalesce(F.sum("in_block").over(over), F.lit(0))).withColumn("rest", F.col("quota") - F.col("passes") * F.col("total")), "p8-blocks")
+    before = materialise(ranked(sums, ["src"], ["block"], "before", "in_block").withColumn("rest", F.col("quota") - F.col("passes") * F.col("total")), "p8-blocks")
     # uses of blocks: every full pass, and the last one as far as the quota goes
     last = F.col("before") < F.col("rest")
     uses = before.select("src", "block", "before", "rest", "passes", F.explode(F.when(F.col("passes") + last.cast("int") > 0, F.sequence(F.lit(1), F.col("passes") + last.cast("int"))).otherwise(F.array().cast("array<int>"))).alias("repeat_no"))
     counts = {r["src"]: r["n"] for r in uses.groupBy("src").agg(F.count("*").alias("n")).collect()}
     sources = sorted(counts)
     tokens = sum(q for q, _ in plan.values())
-    shards = int(min(MAX_SHARDS, max(1, round(tokens / SHARD_TOKENS)), max(1, sum(counts.values()))))
-    share = split_tree(np.array([counts[s] for s in sources], dtype=np.int64), shards, np.random.default_rng(seed))
-    ends = spark.createDataFrame([(s, [int(x) for x in np.cumsum(share[:, i])]) for i, s in enumerate(sources)], "src string, ends array<long>")
-    ranked = uses.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 1), "block", "repeat_no"), "block", "repeat_no")))
-    # the shard whose last block of the source is at or behind this rank
-    placed = ranked.join(F.broadcast(ends), "src").select("src", "block", "before", "rest", "passes", "repeat_no", F.size(F.filter("ends", lambda e: e < F.col("rank"))).alias("shard"))
+    shards = int(min(max(1, round(tokens / SHARD_TOKENS)), max(1, sum(counts.values()))))
+    nodes = leaves(np.array([counts[s] for s in sources], dtype=np.int64), shards, np.random.default_rng(seed), max(1, -(-shards // LEAVES)))
+    first, begun = np.cumsum([0, *(n for _, n in nodes)]), np.cumsum([np.zeros(len(sources), dtype=np.int64), *(c for c, _ in nodes)], axis=0)
+    # the ranks at which each node's part of a source ends, and below it those of its shards
+    tops = spark.createDataFrame([(s, [int(x) for x in begun[1:, i]]) for i, s in enumerate(sources)], "src string, tops array<long>")
+    table = spark.createDataFrame([(k, int(first[k]), n, [int(x) for x in begun[k]], [int(x) for x in c]) for k, (c, n) in enumerate(nodes)], "node int, first int, n int, begun array<long>, counts array<long>")
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, at, n, begun, counts in zip(pdf["node"], pdf["first"], pdf["n"], pdf["begun"], pdf["counts"]):
+                share = split_tree(np.asarray(counts, dtype=np.int64), int(n), np.random.default_rng([seed, int(k)]))
+                out += [(s, k, at, (begun[i] + np.cumsum(share[:, i])).tolist()) for i, s in enumerate(sources)]
+            yield pd.DataFrame(out, columns=["src", "node", "first", "ends"])
+
+    ends = table.mapInPandas(grow, "src string, node int, first int, ends array<long>")
+    order = uses.withColumn("draw", F.xxhash64(F.lit(seed + 1), "block", "repeat_no"))
+    drawn = ranked(order, ["src"], ["draw", "block", "repeat_no"], "rank").join(F.broadcast(tops), "src")
+    # the first end at or behind this rank
+    behind = lambda ends: F.size(F.filter(ends, lambda e: e < F.col("rank")))
+    placed = drawn.withColumn("node", behind("tops")).join(ends, ["src", "node"]).select("src", "block", "before", "rest", "passes", "repeat_no", (F.col("first") + behind("ends")).alias("shard"))
     inside = Window.partitionBy("src", "block").orderBy("u", "rid").rowsBetween(Window.unboundedPreceding, -1)
     ordered = docs.select("src", "block", "k", "rid", "u", "tokens").withColumn("ahead", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     # of the last pass, documents whose middle lies before the quota

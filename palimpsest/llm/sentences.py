@@ -10,14 +10,15 @@
 3. Splitting. A marker is put behind every terminator of the script at hand that is left. As placeholders keep lengths,
    the markers give positions in the stored text, which is what "restoring" comes to: sentences are cut from it.
 
-Everything is a projection of one row: no shuffle, no Python. Defined results: null, empty and blank texts give no rows;
+Everything up to the ends is a projection of one row: no shuffle, no Python; only sentences of several lines are put together
+by a grouping inside their document. Defined results: null, empty and blank texts give no rows;
 text without any terminator is one sentence; line boxes that are null or don't match the lines are ignored; repeated rows
 give their sentences again; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Placeholders: quotation open and close, masked terminator, introduced quotation open and close, masked dot, the marker
@@ -192,18 +193,50 @@ def _marked(d: DataFrame) -> DataFrame:
     return d
 
 
-def sentence_ends(documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes") -> DataFrame:
-    """(key, end_pos): position of the last non-blank character of every sentence and every unit that stands for itself."""
+def _flow(documents: DataFrame, key: str, text: str, boxes: str) -> DataFrame:
+    """Per document the segments ``f``, their ``kinds``, and ``lines``: what running text has of each, with its marks."""
     box = F.col(boxes) if boxes in documents.columns else F.lit(None).cast("array<struct<x1:int,y1:int,x2:int,y2:int,conf:double>>")
     t = F.regexp_replace(F.col(text), f"[{OPEN}-{ASIDE}]", "?")
     d = documents.filter(F.col(text).rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("k"), t.alias("t"), box.alias("boxes"))
     d = d.withColumns({"size": F.length(F.regexp_replace("t", r"\s+$", "")), "spaced": ~_has(F.col("t"), r"[\u3040-\u30ff\u4e00-\u9fff]{6}"), "thai": _has(F.col("t"), r"[\u0e00-\u0e7f]{6}"), "cased": _has(F.col("t"), r"\n\p{Ll}")})
-    d = _titles(_features(_segments(d))).select("k", "f", "spaced", "thai", _kinds("f", "signs").alias("kinds"))
+    d = _titles(_features(_segments(d))).select("k", "t", "f", "spaced", "thai", _kinds("f", "signs").alias("kinds"))
     flow = F.array_join(F.zip_with("f", "kinds", lambda s, k: F.when(k == 0, s["t"]).when(k == 2, F.lit(BREAK)).otherwise(F.lit(ASIDE))), "\n")
-    d = _marked(d.withColumn("m", flow)).select("k", "f", "kinds", F.split("m", "\n", -1).alias("lines"))
+    return _marked(d.withColumn("m", flow)).select("k", "t", "f", "kinds", F.split("m", "\n", -1).alias("lines"))
+
+
+def sentence_ends(documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes") -> DataFrame:
+    """(key, end_pos): position of the last non-blank character of every sentence and every unit that stands for itself."""
+    d = _flow(documents, key, text, boxes)
     d = d.select("k", F.explode(F.arrays_zip("f", "kinds", "lines")).alias("z")).select("k", F.col("z.f.at").alias("at"), F.col("z.f.n").alias("n"), F.col("z.kinds").alias("kind"), F.col("z.lines").alias("line"))
     d = d.filter(F.col("kind").isin(1, 2) | F.col("line").contains(MARK))
     parts = F.split("line", MARK, -1)
     inside = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda j: F.length(F.array_join(F.slice(parts, 1, j), "")))
     ends = F.when(F.col("kind") == 0, inside).otherwise(F.array("n"))
     return d.select(F.col("k").alias(key), F.explode(ends).alias("e"), "at").select(key, (F.col("at") + F.col("e") - 1).cast("long").alias("end_pos"))
+
+
+def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes") -> DataFrame:
+    """(key, sentence_no, char_start, char_end, sentence): every sentence and every unit that stands for itself, in the order they end when read.
+
+    The parts of a sentence on several lines stand one below the other, without what interrupts them; ``char_end`` is exclusive.
+    Parts are numbered inside a document."""
+    d = _flow(documents, key, text, boxes).withColumn("row", F.monotonically_increasing_id())
+    z = d.select("row", "k", "t", F.posexplode(F.arrays_zip("f", "kinds", "lines")).alias("i", "z")).filter("z.kinds < 3")
+    at, own = F.col("z.f.at"), F.col("z.kinds") > 0
+    z = z.select("row", "k", "t", "i", at.alias("at"), own.alias("own"), F.col("z.f.n").alias("n"), F.when(own, F.array(F.lit(""))).otherwise(F.split(F.col("z.lines"), MARK, -1)).alias("parts"))
+    size = lambda j: F.length(F.get("parts", j))
+    begun = F.aggregate(F.sequence(F.lit(0), F.size("parts") - 1), F.array(F.lit(0)), lambda acc, j: F.concat(acc, F.array(F.element_at(acc, -1) + size(j))))
+    z = z.withColumn("begun", begun).select("row", "k", "t", "i", "at", "own", "n", "begun", F.posexplode("parts").alias("j", "part"))
+    start = F.col("at") + F.get("begun", F.col("j"))
+    raw = F.substring(F.col("t"), (start + 1).cast("int"), F.when(F.col("own"), F.col("n")).otherwise(F.length("part")).cast("int"))
+    closes = F.col("own") | (F.col("j") < F.size("begun") - 2)
+    z = z.select("row", "k", "i", "j", "own", start.alias("start"), raw.alias("raw"), closes.alias("closes")).filter(F.col("closes") | (F.trim(F.regexp_replace("raw", r"\s", " ")) != ""))
+    ahead = Window.partitionBy("row").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1)
+    z = z.withColumn("unit", F.when(F.col("own"), -1 - F.col("i")).otherwise(F.coalesce(F.sum((F.col("closes") & ~F.col("own")).cast("int")).over(ahead), F.lit(0))))
+    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
+    trimmed = F.regexp_replace(F.regexp_replace("raw", r"^\s+", ""), r"\s+$", "")
+    parts = F.array_sort(F.collect_list(F.struct("i", "j", (F.col("start") + lead).alias("s"), (F.col("start") + lead + F.length(trimmed)).alias("e"), trimmed.alias("t"))))
+    u = z.groupBy("row", "k", "unit").agg(parts.alias("p"))
+    last = F.element_at("p", -1)
+    no = F.row_number().over(Window.partitionBy("row").orderBy(last["i"], last["j"]))
+    return u.select(F.col("k").alias(key), no.alias("sentence_no"), F.col("p")[0]["s"].cast("long").alias("char_start"), last["e"].cast("long").alias("char_end"), F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("sentence")).filter("sentence != ''")

@@ -58,3 +58,26 @@ def test_mix(spark):
     report = M.shares(M.mix(docs, targets), targets).toPandas().set_index("source")
     assert report.loc["absent", "actual_share"] == 0 and abs(report.actual_share.sum() - 1) < 1e-9
     assert M.mix(docs.limit(0), targets).count() == 0 and M.mix(docs, targets.limit(0)).count() == 0
+
+
+def test_tree_grown_below_its_leaves_keeps_counts():
+    counts = np.array([700, 0, 10_000, 1300])
+    nodes = M.leaves(counts, 1000, np.random.default_rng(3), 64)
+    assert sum(n for _, n in nodes) == 1000 and max(n for _, n in nodes) <= 64 and (sum(c for c, _ in nodes) == counts).all()
+    one = M.leaves(counts, 9, np.random.default_rng(3), 1)
+    assert (np.array([c for c, _ in one]) == M.split_tree(counts, 9, np.random.default_rng(3))).all()
+
+
+def test_more_shards_than_leaves(spark, monkeypatch):
+    """Ten thousand shards from eight leaves: every use in one shard, none lost."""
+    monkeypatch.setattr(M, "LEAVES", 8)
+    monkeypatch.setattr(M, "SHARD_TOKENS", 1)
+    monkeypatch.setattr(M, "BLOCK_DOCUMENTS", 1)
+    docs = spark.range(12_000).selectExpr("id as doc_id", "'word' as text", "if(id % 3 = 0, 'a', 'b') as source")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed = M.mix(docs, targets).toPandas()
+    assert mixed.shard.nunique() > 9000 and mixed.shard.max() > 10_000 and not mixed.duplicated(["shard", "pos"]).any()
+    uses = mixed.groupby("source").size()
+    assert abs(uses["a"] - uses["b"]) <= 1 and uses["b"] == 8000 and not mixed.duplicated(["doc_id", "repeat_no"]).any()
+    sizes = mixed.groupby("shard").size()
+    assert sizes.mean() < 8

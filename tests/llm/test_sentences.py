@@ -64,3 +64,17 @@ def test_long_quotation(spark):
 def test_web_address_over_a_line_end(spark):
     text = "The clerk wrote to https://www.example.\norg/mill?a=1.5 about the mill at 3.75 a day. Then it ended."
     assert ends(spark, [(text, None)]) == {0: [text.index("day.") + 3, len(text) - 1]}
+
+
+def test_units_have_the_texts(spark):
+    df = spark.createDataFrame([(i, t, None, "clash") for i, (t, _) in enumerate(CASES)] + [(90, None, None, ""), (91, " ", None, "")], "doc_id long, text string, line_boxes array<struct<x1:int,y1:int,x2:int,y2:int,conf:double>>, sentence string")
+    got = {}
+    for r in S.sentence_units(df).orderBy("doc_id", "sentence_no").collect():
+        got.setdefault(r.doc_id, []).append(r.sentence)
+    assert got == {i: want for i, (_, want) in enumerate(CASES) if want}
+
+
+def test_unit_goes_on_behind_an_advert(spark):
+    t = "The storm closed the\nquiet mill and the\nBEST SOAP IN TOWN\nold ferry.\nThe end."
+    got = [(r.sentence, r.char_start, r.char_end) for r in S.sentence_units(spark.createDataFrame([(1, t)], "doc_id long, text string")).orderBy("sentence_no").collect()]
+    assert ("The storm closed the\nquiet mill and the\nold ferry.", 0, t.index("ferry.") + 6) in got and ("BEST SOAP IN TOWN", t.index("BEST"), t.index("TOWN") + 4) in got
