@@ -20,6 +20,7 @@ import itertools
 import re
 import unicodedata as ud
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -85,6 +86,23 @@ def _compat(ch: str) -> str | None:
     return None if tag == "<compat>" and (out[0] == " " or any(ud.category(c)[0] not in "LMP" for c in out)) else out
 
 
+@lru_cache(1)
+def fixed_forms() -> dict[str, str]:
+    """What each character outside ASCII that looks like other text looks like, whatever the corpus: a letter drawn alike, the plain blank, what a wide, narrow or joined form stands for, or nothing. Line ends are left."""
+    out = {c: a for a, bs in TWINS.items() for c in bs}
+    for n in [*range(0x80, 0x3200), *range(0xFB00, 0xFB50), *range(0xFE00, 0x10000)]:
+        c = chr(n)
+        if c in out or c in "\x85\u2028\u2029":
+            continue
+        if is_invisible(c):
+            out[c] = ""
+        elif ud.category(c) == "Zs":
+            out[c] = " "
+        elif ud.decomposition(c).partition(" ")[0] in ("<wide>", "<narrow>", "<noBreak>", "<compat>") and not (to := ud.normalize("NFKC", c)).startswith(" "):
+            out[c] = to
+    return out
+
+
 def representatives(counts: dict[str, int]) -> dict[str, str]:
     """Every string that isn't its class's representative -> the representative, from code point counts of the corpus.
 

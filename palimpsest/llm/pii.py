@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.lookalike import TWINS, is_invisible
+from palimpsest.llm.lookalike import fixed_forms, is_invisible
 from palimpsest.llm.scannoise import skeletons
 from palimpsest.plans.runtime import materialise, small_rows
 
@@ -56,22 +56,9 @@ UP, LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻŁŃŅŇŌŐŒŔŘ
 @lru_cache(1)
 def _tables() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
     """One-for-one replacements of look-alike characters, a pattern of those, and one of what takes another number of characters."""
-    one: dict[int, str] = {ord(c): a for a, bs in TWINS.items() for c in bs}
-    moved = []
-    for n in [*range(0x80, 0x3200), *range(0xFB00, 0xFB50), *range(0xFE00, 0x10000)]:
-        c = chr(n)
-        if is_invisible(c) or ud.combining(c):
-            moved.append(c)
-        elif n not in one:
-            tag = ud.decomposition(c).partition(" ")[0]
-            if ud.category(c) == "Zs":
-                one[n] = " "
-            elif tag in ("<wide>", "<narrow>", "<noBreak>", "<compat>"):
-                to = ud.normalize("NFKC", c)
-                if len(to) == 1:
-                    one[n] = to
-                elif to[0] != " ":
-                    moved.append(c)
+    forms = fixed_forms()
+    one = {ord(c): to for c, to in forms.items() if len(to) == 1}
+    moved = [c for c, to in forms.items() if len(to) != 1] + [c for c in map(chr, [*range(0x80, 0x3200), *range(0xFE20, 0xFE30)]) if ud.combining(c) and c not in forms]
     return one, *(re.compile("[" + "".join(map(re.escape, cs)) + "]") for cs in (map(chr, one), moved))
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.lookalike import TWINS, is_invisible
+from palimpsest.llm.lookalike import fixed_forms
 from palimpsest.plans.runtime import materialise, small_rows
 
 DOMINANCE = 12
@@ -55,18 +55,7 @@ LETTERS = str.maketrans({"c": "e", "a": "n", "f": "t", "!": "i", "1": "i", "l":
 @lru_cache(1)
 def _forms() -> tuple[dict[int, str | None], re.Pattern, re.Pattern]:
     """One-for-one replacements by the consistent forms of problem 1, a pattern of what is replaced, and one of marks that need composing."""
-    one: dict[int, str | None] = {ord(c): a for a, bs in TWINS.items() for c in bs}
-    for n in [*range(0x80, 0x3200), *range(0xFB00, 0xFB50), *range(0xFE00, 0x10000)]:
-        c = chr(n)
-        if n in one or c in "\x85\u2028\u2029":
-            continue
-        tag = ud.decomposition(c).partition(" ")[0]
-        if is_invisible(c):
-            one[n] = None
-        elif ud.category(c) == "Zs":
-            one[n] = " "
-        elif tag in ("<wide>", "<narrow>", "<noBreak>", "<compat>") and not (to := ud.normalize("NFKC", c)).startswith(" "):
-            one[n] = to
+    one = {ord(c): to or None for c, to in fixed_forms().items()}
     return one, re.compile("[" + "".join(re.escape(chr(n)) for n in one) + "]"), re.compile("[\u0300-\u036f\u3099\u309a]")
 
 
@@ -183,8 +172,10 @@ BODY, BREAK, HEADER, NUMBER = range(len(STATES))
 FEATURES = {"place": 4, "shape": 5, "number": 2, "attached": 2, "recurs": 4, "end": 4}
 FEW_WORDS = 6
 SHORT = 0.6
-#: A line recurs much if it stands on this share of the volume's pages, or in this share of the volumes.
-SHARE = 0.003
+#: A line recurs much in a volume if it stands on this share of its pages. It recurs much in all if it is in several volumes
+#: and comes back inside them: on this many further pages a volume, ``DOUBT`` volumes without any added. So neither depends
+#: on how many volumes there are.
+SHARE, REPEATS, DOUBT = 0.003, 0.25, 4
 
 
 def features(text: Text, support: Callable[[str], tuple[int, int]] | None) -> list[tuple[int, ...]]:
@@ -417,15 +408,15 @@ class Knowledge:
         self.compounds = judged.filter((kept > whole) | ((kept + whole == 0) & own)).select("a", "b")
         lines = found.filter("kind = 'l'").select(F.col("what").alias("key"), "doc_id", "page_num").distinct()
         pages = lines.groupBy("key", "doc_id").agg(F.count("*").alias("pages"))
-        volumes = pages.groupBy("key").agg(F.count("*").alias("volumes"))
+        volumes = pages.groupBy("key").agg(F.count("*").alias("volumes"), F.sum("pages").alias("on"))
         of = rows.select("doc_id", "page_num").distinct().groupBy("doc_id").agg(F.count("*").alias("all_pages"))
         # only lines that recur at all need looking up; how much, is 1 for a small share and 2 for a large one
-        total = of.count()
-        much = lambda n, share: F.when(F.col(n) > 1, F.when(share >= SHARE, 2).otherwise(1)).otherwise(0).cast("long").alias(n)
-        base = pages.join(volumes, "key").filter("pages > 1 or volumes > 1").join(of, "doc_id").select("key", "doc_id", much("pages", F.col("pages") / F.col("all_pages")), much("volumes", F.col("volumes") / F.lit(total)))
+        volumes = volumes.withColumn("strong", (F.col("volumes") > 1) & (F.col("on") - F.col("volumes") >= REPEATS * (F.col("volumes") + DOUBT)))
+        some = lambda n, much: F.when(F.col(n) > 1, F.when(much, 2).otherwise(1)).otherwise(0).cast("long").alias(n)
+        base = pages.join(volumes, "key").filter("pages > 1 or volumes > 1").join(of, "doc_id").select("key", "doc_id", some("pages", F.col("pages") / F.col("all_pages") >= SHARE), some("volumes", F.col("strong")))
         base = materialise(base, "p6-recurring")
         # a line one edit away from one of many volumes counts as that one
-        strong = volumes.filter((F.col("volumes") > 1) & (F.col("volumes") / F.lit(total) >= SHARE)).select("key")
+        strong = volumes.filter("strong").select("key")
         like = materialise(near_ones(volumes.select("key").join(strong, "key", "left_anti"), strong), "p6-like")
         theirs = base.select(F.col("key").alias("like"), "doc_id", F.col("pages").alias("their_pages"))
         liked = pages.select("key", "doc_id").join(like, "key").join(base, ["key", "doc_id"], "left").join(theirs, ["like", "doc_id"], "left")
