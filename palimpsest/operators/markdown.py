@@ -74,15 +74,15 @@ def titles(aligned: DataFrame) -> DataFrame:
 
 
 # Plain words that YAML reads as something else than text.
-_YAML_WORDS = r"(?i)^(?:y|n|yes|no|true|false|on|off|null|~|)$"
-_YAML_NUMBERS = r"(?i)^[-+]?(?:\.?\d[\d_,:]*(?:\.[\d_]*)?(?:e[-+]?\d+)?|0[xob][\da-f_]+|\.(?:inf|nan))$|^\d{4}-\d\d?-\d\d?(?:$|[Tt\s])|^[=<]{1,2}$"
-_YAML_SIGNS = r"^[-?:](?:\s|$)|^[,\[\]{}#&*!|>'\"%@`]|:(?:\s|$)|\s#|^\s|\s$|^(?:---|\.\.\.)"
+YAML_WORDS = r"(?i)^(?:y|n|yes|no|true|false|on|off|null|~|)$"
+YAML_NUMBERS = r"(?i)^[-+]?(?:\.?\d[\d_,:]*(?:\.[\d_]*)?(?:e[-+]?\d+)?|0[xob][\da-f_]+|\.(?:inf|nan))$|^\d{4}-\d\d?-\d\d?(?:$|[Tt\s])|^[=<]{1,2}$"
+YAML_SIGNS = r"^[-?:](?:\s|$)|^[,\[\]{}#&*!|>'\"%@`]|:(?:\s|$)|\s#|^\s|\s$|^(?:---|\.\.\.)"
 
 
 def yaml_text(c: Column) -> Column:
     """A text as a YAML scalar on one line: plain where that reads as the same text, else in single quotes, or in double quotes where it has line ends or invisible characters."""
     quoted = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
-    return F.when(c.rlike(r"[\x00-\x1f\x7f-\x9f\u2028\u2029\ufeff]"), F.regexp_replace(F.regexp_replace(F.to_json(F.struct(c.alias("t"))), r'^\{"t":', ""), r"\}$", "")).when(c.rlike(_YAML_WORDS) | c.rlike(_YAML_NUMBERS) | c.rlike(_YAML_SIGNS), quoted).otherwise(c)
+    return F.when(c.rlike(r"[\x00-\x1f\x7f-\x9f\u2028\u2029\ufeff]"), F.regexp_replace(F.regexp_replace(F.to_json(F.struct(c.alias("t"))), r'^\{"t":', ""), r"\}$", "")).when(c.rlike(YAML_WORDS) | c.rlike(YAML_NUMBERS) | c.rlike(YAML_SIGNS), quoted).otherwise(c)
 
 
 def documents(aligned: DataFrame, processed: str, of: DataFrame | None = None) -> DataFrame:

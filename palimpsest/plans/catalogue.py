@@ -263,7 +263,7 @@ def q_review_token(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", service.token_check(expected, cookie, parameter).alias("status"))
 
 
-@query()
+@query("with a as (select job_id id, list_slice(list(case when filename is null then 500 else 200 end order by received_at nulls first, case when filename is null then 500 else 200 end), 1, 3) s from job_results group by job_id), b as (select id, s, list_position(list_transform(s, lambda x: x < 400), true) p from a) select id, coalesce(nullif(p, 0), len(s))::int attempts, coalesce(p, 0) > 0 delivered, [0, 1, 5][coalesce(nullif(p, 0), len(s))::int]::int waited_s from b")
 def q_delivery_attempts(spark: SparkSession, d: str) -> DataFrame:
     """Tries of a callback per job, its deliveries standing for answers"""
     r = table(spark, d, "job_results").groupBy(F.col("job_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("received_at", F.when(F.col("filename").isNull(), 500).otherwise(200).alias("s")))).alias("a"))
@@ -374,13 +374,13 @@ def q_distinct_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "aligned_regions").filter("engine_texts is not null").select("aligned_key", F.size(e).alias("engines"), n.alias("texts"), (n == 1).alias("identical"))
 
 
-@query()
+@query("select aligned_key, e.engine, consensus_text as a, e.text as b, true as equal_length from aligned_regions, unnest(engine_texts) u(e) where consensus_text is not null and e.text <> consensus_text")
 def q_nw_align(spark: SparkSession, d: str) -> DataFrame:
-    """consensus against the first reading that differs"""
-    r = table(spark, d, "aligned_regions").select("aligned_key", "consensus_text", F.get(F.filter("engine_texts", lambda e: e["text"] != F.col("consensus_text")), F.lit(0))["text"].alias("other"))
-    got = r.filter("consensus_text is not null and other is not null").select("aligned_key", s.aligned_pair("consensus_text", "other").alias("p"))
-    gaps = lambda c: F.length(c) - F.length(F.replace(c, F.lit(s.GAP), F.lit("")))
-    return got.select("aligned_key", F.length("p.a").alias("columns"), gaps(F.col("p.a")).alias("gaps_a"), gaps(F.col("p.b")).alias("gaps_b"))
+    """consensus against every reading that differs; without their gaps the aligned texts are the texts, and both are as long"""
+    r = table(spark, d, "aligned_regions").filter("consensus_text is not null").select("aligned_key", "consensus_text", F.explode("engine_texts").alias("e")).filter("e.text != consensus_text")
+    got = r.select("aligned_key", "e.engine", s.aligned_pair(F.col("consensus_text"), F.col("e.text")).alias("p"))
+    plain = lambda c: F.replace(c, F.lit(s.GAP), F.lit(""))
+    return got.select("aligned_key", "engine", plain(F.col("p.a")).alias("a"), plain(F.col("p.b")).alias("b"), (F.length("p.a") == F.length("p.b")).alias("equal_length"))
 
 
 @query()
@@ -389,9 +389,6 @@ def q_quality_check(spark: SparkSession, d: str) -> DataFrame:
     return consensus.page_quality(table(spark, d, "ocr_regions"))
 
 
-TEXTS_SQL = "list_transform(e, lambda x: x.text)"
-
-
 @query(f"select aligned_key, exists(select 1 from unnest(list_transform(engine_texts, lambda x: x.text)) u(t) where t is not null and {_bytes_sql('consensus_text', 't')} <= 3) as near from aligned_regions where consensus_text is not null and engine_texts is not null")
 def q_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     """F2"""
@@ -414,21 +411,34 @@ def q_legal_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ocr_regions").filter("text_content is not null").select("region_key", *[F.array_join(s.legal_values(F.col("text_content"), f), "; ").alias(f) for f in s.LEGAL_FIELDS])
 
 
-@query()
+TEXTS_SQL = "list_filter(list_transform(engine_texts, lambda e: e.text), lambda t: t is not null)"
+
+
+def _invented_sql(output: str) -> str:
+    of = lambda k, p: f"list_transform(list_sort(list_filter(list_distinct(regexp_extract_all({output}, '{p}')), lambda v: not list_contains(flatten(list_transform(texts, lambda t: regexp_extract_all(t, '{p}'))), v))), lambda v: '{k}: ' || v)"
+    return "array_to_string(flatten([" + ", ".join(of(k, p) for k, p in s.LEGAL_FIELDS.items()) + "]), '; ')"
+
+
+@query(f"select * from (select aligned_key, {_invented_sql('consensus_text')} as warnings from (select *, {TEXTS_SQL} texts from aligned_regions where consensus_text is not null and engine_texts is not null)) where warnings <> ''")
 def q_novel_fields(spark: SparkSession, d: str) -> DataFrame:
     """Legal values of the consensus that no reading has"""
     texts = F.filter(F.transform("engine_texts", lambda e: e["text"]), lambda t: t.isNotNull())
     r = table(spark, d, "aligned_regions").filter("consensus_text is not null and engine_texts is not null").withColumn("texts", texts)
-    return r.select("aligned_key", s.invented_values(F.col("consensus_text"), F.col("texts")).alias("warnings")).filter(F.size("warnings") > 0)
+    return r.select("aligned_key", F.array_join(s.invented_values(F.col("consensus_text"), F.col("texts")), "; ").alias("warnings")).filter("warnings != ''")
 
 
-@query()
+NEAR_SQL = f"exists(select 1 from unnest(texts) u(t) where {_bytes_sql('consensus_text', 't')} <= case when element_type = 'handwriting' then 5 else 3 end)"
+INSERTED_SQL = "len(list_filter(range(1, greatest(length(consensus_text) - 4, 1)), lambda i: length(consensus_text) >= 6 and not coalesce(list_bool_or(list_transform(texts, lambda t: contains(t, substring(consensus_text, i, 6)))), false))) > 0"
+
+
+@query(f"""with v as (select aligned_key, consensus_text, {_invented_sql('consensus_text')} w, case when consensus_text is null then 'hitl_fallback' when contains(consensus_text, '<UNREADABLE>') then 'llm_unreadable' when not {NEAR_SQL} then 'rejected_edit_distance' when {INSERTED_SQL} then 'rejected_insertion' else 'arbitration' end source
+ from (select *, {TEXTS_SQL} texts from aligned_regions where source = 'arbitration')) select aligned_key, case source when 'arbitration' then consensus_text when 'llm_unreadable' then '' end as text, source, source not in ('arbitration', 'llm_unreadable') as rejected, source <> 'arbitration' as hitl_flag, case when source = 'arbitration' then w else '' end as warnings from v""")
 def q_verdict(spark: SparkSession, d: str) -> DataFrame:
     """The stored consensus taken as an arbiter's answer; handwriting allows five edits"""
     texts = F.filter(F.transform("engine_texts", lambda e: e["text"]), lambda t: t.isNotNull())
     r = table(spark, d, "aligned_regions").withColumn("texts", texts).filter("source = 'arbitration'")
-    v = F.when(F.col("element_type") == "handwriting", s.verdict(F.col("consensus_text"), F.col("texts"), 5)).otherwise(s.verdict(F.col("consensus_text"), F.col("texts")))
-    return r.select("aligned_key", v.alias("v")).select("aligned_key", "v.*")
+    v = F.when(F.col("element_type") == "handwriting", s.verdict(F.col("consensus_text"), F.col("texts"), consensus.HANDWRITING_EDITS)).otherwise(s.verdict(F.col("consensus_text"), F.col("texts"), consensus.EDITS))
+    return r.select("aligned_key", v.alias("v")).select("aligned_key", "v.*").withColumn("warnings", F.array_join("warnings", "; "))
 
 
 @query()
@@ -500,7 +510,11 @@ def q_document_markdown(spark: SparkSession, d: str) -> DataFrame:
     return markdown.documents(table(spark, d, "aligned_regions"), "2026-01-01T00:00:00Z").filter("part_no > 0")
 
 
-@query()
+TITLES_SQL = f"h as (select *, {ORDER_SQL} as rank, min(page_num) over (partition by doc_id) as first from aligned_regions), t as (select doc_id, nullif(consensus_text, '') t from (select doc_id, consensus_text, row_number() over (partition by doc_id order by rank) rn from h where element_type = 'header' and page_num = first) where rn = 1)"
+
+
+@query(f"""with {TITLES_SQL}, c as (select doc_id, count(distinct page_num) pages from aligned_regions group by doc_id), x as (select c.doc_id, pages, coalesce(t, 'Untitled Document') t from c left join t using (doc_id))
+ select doc_id, 0::bigint part_no, '---' || chr(10) || 'pages: ' || pages || chr(10) || 'processed: ' || chr(39) || '2026-01-01T00:00:00Z' || chr(39) || chr(10) || 'title: ' || case when regexp_matches(t, '[\\x00-\\x1f\\x7f-\\x{{9f}}]') then to_json(t)::varchar when regexp_matches(t, '{markdown.YAML_WORDS}') or regexp_matches(t, '{markdown.YAML_NUMBERS}') or regexp_matches(t, '{markdown.YAML_SIGNS.replace(chr(39), chr(39) * 2)}') then chr(39) || replace(t, chr(39), chr(39) || chr(39)) || chr(39) else t end || chr(10) || '---' || chr(10) || chr(10) as part from x""")
 def q_front_matter(spark: SparkSession, d: str) -> DataFrame:
     """K1, D5, W6"""
     return markdown.documents(table(spark, d, "aligned_regions"), "2026-01-01T00:00:00Z").filter("part_no = 0")

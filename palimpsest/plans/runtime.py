@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,24 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where that is unset, a session on one machine gets a temporary folder; on a cluster it is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str, now: bool) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True) if now else files.deleteOnExit(target)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives a lost executor. Removed when the driver's JVM ends."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives a lost executor. Removed by ``release``, or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _delete(spark, path, now=False)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all that was materialised so far; for callers who have written the results that were built on it."""
+    while _written:
+        _delete(spark, _written.pop(), now=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
