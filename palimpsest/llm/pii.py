@@ -422,7 +422,16 @@ def _extract(rows: DataFrame, given: frozenset[str], surnames: frozenset[str]) -
             c_span += place(a, b)
             c_votes += votes
             c_x += span_features(t, kind, a, b)
+        mails = [(a, b) for kind, a, b, _ in cands if kind == "email"]
         for a, b, tokens, before, after in many:
+            if mails:
+                # a name ends before a mail address in capitals behind it
+                cut = next((i for i, (_, c, d) in enumerate(tokens) if any(c < f and e < d for e, f in mails)), None)
+                if cut == 0:
+                    continue
+                if cut:
+                    tokens, after = tokens[:cut], ABSTAIN
+                    b = tokens[-1][2]
             r_size.append(len(tokens))
             r_votes += (before, after)
             last, _, behind = _around(t, a, b)

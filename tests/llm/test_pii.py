@@ -11,6 +11,7 @@ TEXTS = {
     "Écrire à Orlin Kestrelby-Harnwick, 192 bis\nplace de la Halle, 00699 Brèves-sur-Lise.": [("person_name", "Orlin Kestrelby-Harnwick"), ("address", "192 bis\nplace de la Halle, 00699 Brèves-sur-Lise")],
     "Frau Renske A. Oakhanger wohnt Lindenweg 53, 04211 Altenbrück.": [("person_name", "Renske A. Oakhanger"), ("address", "Lindenweg 53, 04211 Altenbrück")],
     "Contact Br​andt Oakhanger ｕｎｄｅｒ ０２０ 7946 0208.": [("person_name", "Br​andt Oakhanger"), ("phone", "０２０ 7946 0208")],
+    "Confirmed by Denholm Oakhanger LUNDMOOR22@POST.EXAMPLE in May.": [("person_name", "Denholm Oakhanger"), ("email", "LUNDMOOR22@POST.EXAMPLE")],
     "Winter came early, and Stone by Stone the wall fell.": [],
     "Serial 666/85-20 is stamped, invoice 900-78-A, Lot of 5 @ 37.50 each on 03/30/2019.": [],
     "The notice was served on Penhalwick & Sons Ltd. and the Oakhanger Foundation along Orchard Street, section 9.": [],
@@ -34,7 +35,7 @@ def test_find_and_redact(spark):
     assert out["text_content", 0] == "Reach the executor [PERSON_NAME]\nunder [PHONE] on weekdays."
     assert out["markdown", 900] == "nothing here" and len(out) == len(texts) + 1
     assert P.find(rows.limit(0), parts).count() == 0
-    assert P.find(rows, parts.limit(0)).filter("pii_type = 'email'").count() == 6
+    assert P.find(rows, parts.limit(0)).filter("pii_type = 'email'").count() == 7
 
 
 def test_plain_positions():
