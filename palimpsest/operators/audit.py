@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ def character_errors(predicted: Column, truth: Column) -> Column:
     return F.when(predicted == truth, 0.0).otherwise(F.levenshtein(predicted, truth) / F.greatest(F.length(truth), F.lit(1)))
 
 
+def run_benchmarks(inputs: DataFrame, truth: DataFrame, pipeline: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Character error rate of what ``pipeline`` makes of each input (benchmark, markdown) against its truth (benchmark, text): benchmark, metric, value. An input without Markdown counts as an empty text, one without a truth isn't measured."""
+    made = truth.join(pipeline(inputs), "benchmark", "left")
+    return made.select("benchmark", F.lit("cer").alias("metric"), character_errors(F.coalesce("markdown", F.lit("")), F.col("text")).alias("value"))
+
+
 def regressions(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Measured values worse than their limits; metrics that aren't known or measured are never worse."""
     worse = F.when(F.col("metric") == "cer", F.col("value") > F.col("limit")).when(F.col("metric") == "table_teds", F.col("value") < F.col("limit")).otherwise(False)

@@ -119,8 +119,12 @@ def merged_fragments(regions: DataFrame) -> DataFrame:
     return grouped(boxed, ["doc_id", "page_num", "engine"], ["region_ord", "region_key"], _merge, FRAGMENTS)
 
 
+LINES = "doc_id long, page_num long, line int, text string, x0 double, top double, x1 double, bottom double"
+
+
 def lines_of_words(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Words (doc_id, page_num, top, x0, text) to lines: a new line starts where the top differs by more than ``tolerance`` from that of the line's first word."""
+    """Words (doc_id, page_num, top, x0, text, and x1, bottom if known) to lines with their boxes: a new line starts where the top differs by more than ``tolerance`` from that of the line's first word."""
+    full = words.select("doc_id", "page_num", "top", "x0", "text", *[F.col(c) if c in words.columns else F.lit(None).cast("double").alias(c) for c in ("x1", "bottom")])
 
     def rows(c: dict[str, np.ndarray]) -> list[tuple]:
         lines: list[list[int]] = []
@@ -130,6 +134,7 @@ def lines_of_words(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
                 lines.append([])
                 first = top
             lines[-1].append(i)
-        return [(c["doc_id"][0], c["page_num"][0], n, " ".join(str(c["text"][i]) for i in sorted(at, key=lambda i: c["x0"][i]))) for n, at in enumerate(lines)]
+        end = lambda k, at: None if pd.isna(c[k][at]).any() else float(c[k][at].max())
+        return [(c["doc_id"][0], c["page_num"][0], n, " ".join(str(c["text"][i]) for i in sorted(at, key=lambda i: c["x0"][i])), float(c["x0"][at].min()), float(c["top"][at].min()), end("x1", at), end("bottom", at)) for n, at in enumerate(lines)]
 
-    return grouped(words, ["doc_id", "page_num"], ["top", "x0"], rows, "doc_id long, page_num long, line int, text string")
+    return grouped(full, ["doc_id", "page_num"], ["top", "x0"], rows, LINES)

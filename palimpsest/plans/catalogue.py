@@ -609,6 +609,17 @@ def q_cer(spark: SparkSession, d: str) -> DataFrame:
     return r.select("aligned_key", F.round(audit.character_errors(F.col("e.text"), F.col("consensus_text")), ROUND).alias("cer"), F.col("e.engine").alias("engine"))
 
 
+@query(f"with {MD_SQL}, m as (select doc_id || '/' || page_num benchmark, coalesce(string_agg(md, chr(10) || chr(10) order by rank) filter (where md <> ''), '') p, coalesce(string_agg(consensus_text, chr(10) order by aligned_key), '') t from md group by doc_id, page_num) select benchmark, 'cer' as metric, round({_bytes_sql('p', 't')} / greatest(length(t), 1), 6) as value from m")
+def q_benchmark_run(spark: SparkSession, d: str) -> DataFrame:
+    """The rendering of pages as the pipeline, their plain texts as the truth"""
+    aligned = table(spark, d, "aligned_regions")
+    name = F.concat_ws("/", "doc_id", "page_num").alias("benchmark")
+    texts = F.array_sort(F.collect_list(F.when(F.col("consensus_text").isNotNull(), F.struct("aligned_key", "consensus_text"))))
+    truth = aligned.groupBy("doc_id", "page_num").agg(texts.alias("t")).select(name, F.array_join(F.transform("t", lambda x: x["consensus_text"]), "\n").alias("text"))
+    got = audit.run_benchmarks(aligned, truth, lambda regions: markdown.pages(regions).select(name, F.col("page_markdown").alias("markdown")))
+    return got.select("benchmark", "metric", *fixed("value"))
+
+
 def _regressions(spark: SparkSession, d: str) -> DataFrame:
     by_engine = q_cer(spark, d).groupBy(F.col("engine").alias("benchmark")).agg(F.avg("cer").alias("value")).withColumn("metric", F.lit("cer"))
     limits = spark.createDataFrame([(e, "cer", 0.002) for e in consensus.ENGINE_ORDER], "benchmark string, metric string, limit double")
@@ -774,6 +785,25 @@ def q_file_gate(spark: SparkSession, d: str) -> DataFrame:
 # --- pages, fonts, specialists ----------------------------------------------------------------------------------------
 
 
+@query()
+def q_text_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of newspaper pages from their lines as words, every tenth line as a table"""
+    z = table(spark, d, "documents").filter("text != '' and line_boxes is not null").select("doc_id", F.coalesce("page_no", F.lit(0)).cast("long").alias("page_num"), F.posexplode(F.arrays_zip(F.split("text", "\n", -1).alias("t"), F.col("line_boxes").alias("b"))).alias("i", "z"))
+    z = z.filter("z.b is not null and z.t is not null").select("doc_id", "page_num", "i", *[F.col(f"z.b.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.col("z.t").alias("text"))
+    words = z.select("doc_id", "page_num", F.col("y1").alias("top"), F.col("x1").alias("x0"), F.col("x2").alias("x1"), F.col("y2").alias("bottom"), "text")
+    tables = z.filter("i % 10 = 9").select("doc_id", "page_num", "x1", "y1", "x2", "y2", F.array(F.split("text", " ")).alias("cells"))
+    characters = z.select("doc_id", "page_num", F.col("i").alias("ord"), F.col("y1").alias("top"), F.col("x1").alias("x0"), F.when(F.col("text") == F.upper("text"), "Serif-Bold").otherwise("Serif").alias("font"))
+    return sources.text_layer(words, tables, characters, 12.0)
+
+
+@query(f"with {PAGES_SQL}, t as (select doc_id, page_num, count(*) n from ocr_regions where engine = 'trocr' group by all) select doc_id, page_num, coalesce(n, 0)::int as regions from pages left join t using (doc_id, page_num)")
+def q_specialist_pages(spark: SparkSession, d: str) -> DataFrame:
+    """What the handwriting reader gave for each page, its page numbers as text"""
+    found = table(spark, d, "ocr_regions").filter("engine = 'trocr'").groupBy("doc_id", F.col("page_num").cast("string").alias("key")).agg(F.collect_list("region_key").alias("regions"))
+    pages = clean.valid_pages(table(spark, d, "page_payloads")).select("doc_id", "page_num")
+    return sources.by_page(pages, found, "key").select("doc_id", "page_num", F.size("regions").alias("regions"))
+
+
 @query()
 def q_image_scan(spark: SparkSession, d: str) -> DataFrame:
     """S3: size and resolution from the head of each page image, or why there is none"""

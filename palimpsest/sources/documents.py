@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import clean
 from palimpsest.operators.clean import lookup
 from palimpsest.operators.service import EXTENSIONS, extension, upload_check
 
@@ -118,6 +119,29 @@ def font_of_line(lines: DataFrame, characters: DataFrame, tolerance: float = 2.0
     return lines.join(got, ["doc_id", "page_num", "line"], "left").select(*lines.columns, F.coalesce("font", F.lit("")).alias("font"), says("bold").alias("bold"), says("italic", "oblique").alias("italic"))
 
 
+def text_layer(words: DataFrame, tables: DataFrame, characters: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Regions of a page's text layer: lines of words outside its tables with their fonts, then the tables; all with full confidence and ids by position.
+
+    words: doc_id, page_num, top, x0, x1, bottom, text; tables: doc_id, page_num, x1, y1, x2, y2, cells (rows of cells);
+    characters: as for ``font_of_line``."""
+    lines = clean.lines_of_words(words, tolerance)
+    boxed = lines.select("doc_id", "page_num", "line", "text", F.col("x0").alias("x1"), F.col("top").alias("y1"), F.col("x1").alias("x2"), F.col("bottom").alias("y2"))
+    kept = outside_tables(boxed, tables)
+    styled = font_of_line(kept.withColumns({"top": F.col("y1"), "x0": F.col("x1")}), characters, tolerance)
+    none = F.lit(None)
+    box = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    text = styled.select("doc_id", "page_num", F.lit(0).alias("after"), F.col("line").cast("double").alias("at"), F.lit(DEFAULT_TYPE).alias("element_type"), *box, F.col("text").alias("text_content"), "font", "bold", "italic", none.cast("int").alias("rows"))
+    grid = tables.select("doc_id", "page_num", F.lit(1).alias("after"), F.col("y1").cast("double").alias("at"), F.lit("table").alias("element_type"), *box, table_text(F.col("cells")).alias("text_content"), F.lit("").alias("font"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.size("cells").alias("rows"))
+    both = text.unionByName(grid)
+    return both.withColumns({"region_id": region_ids(["doc_id", "page_num"], ["after", "at", "x1", "text_content"]), "confidence": F.lit(1.0)}).drop("after", "at")
+
+
+def by_page(pages: DataFrame, found: DataFrame, page: str) -> DataFrame:
+    """What a specialist gave for pages (doc_id, ``page``, regions array), whose numbers may have come as text; an empty array for a page it gave nothing for."""
+    given = found.select("doc_id", F.expr(f"try_cast({page} as bigint)").alias("page_num"), "regions")
+    return pages.join(given, ["doc_id", "page_num"], "left").withColumn("regions", F.coalesce("regions", F.array().cast(given.schema["regions"].dataType)))
+
+
 def _head(image: bytes) -> tuple[int, int, int]:
     """Width, height and dots per inch (72 where the file says none) from the head of a PNG or JPEG file."""
     if image[:8] == b"\x89PNG\r\n\x1a\n" and image[12:16] == b"IHDR" and len(image) >= 24:

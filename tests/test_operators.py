@@ -327,3 +327,22 @@ def test_images_and_specialists(spark):
     asked = spark.createDataFrame([(1, "r", "dots_chart", "<SVG>"), (2, None, "dots_formula", " "), (3, "r", "trocr", "x"), (4, "r", "other", "x")], "region_key long, region_id string, specialist string, payload string")
     got = {r.region_key: (r.region_id, r.success, r.confidence, r.error) for r in sources.specialists(asked, {"dots_chart": list, "dots_formula": list, "trocr": broken}).collect()}
     assert got == {1: ("r", True, 0.85, None), 2: ("unknown", False, 0.0, None), 3: ("r", False, 0.0, "RuntimeError: no model"), 4: ("r", False, 0.0, "KeyError: 'other'")}
+
+
+def test_text_layer(spark):
+    """Two lines outside a table, one in it; the table comes last."""
+    words = spark.createDataFrame([(1, 0, 10.0, 50.0, 80.0, 20.0, "world"), (1, 0, 11.0, 5.0, 40.0, 20.0, "Hello"), (1, 0, 40.0, 5.0, 40.0, 50.0, "inside"), (1, 0, 90.0, 5.0, 40.0, 99.0, "End")], "doc_id long, page_num long, top double, x0 double, x1 double, bottom double, text string")
+    tables = spark.createDataFrame([(1, 0, 0.0, 35.0, 100.0, 60.0, [["a", None], ["b", "c"]])], "doc_id long, page_num long, x1 double, y1 double, x2 double, y2 double, cells array<array<string>>")
+    characters = spark.createDataFrame([(1, 0, 1, 10.0, 5.5, "Times-BoldItalic"), (1, 0, 0, 11.5, 60.0, "Other")], "doc_id long, page_num long, ord int, top double, x0 double, font string")
+    got = [(r.region_id, r.element_type, r.text_content, r.font, r.bold, r.italic, r.confidence) for r in sources.text_layer(words, tables, characters).orderBy("region_id").collect()]
+    assert got == [("r_001", "printed_text", "Hello world", "Times-BoldItalic", True, True, 1.0), ("r_002", "printed_text", "End", "", False, False, 1.0), ("r_003", "table", "a | \nb | c", "", False, False, 1.0)]
+    assert sources.text_layer(words.limit(0), tables.limit(0), characters).count() == 0
+
+
+def test_benchmarks_and_pages_of_specialists(spark):
+    truth = spark.createDataFrame([("a", "hello"), ("b", "abc"), ("c", "")], "benchmark string, text string")
+    made = spark.createDataFrame([("a", "hello"), ("b", "xyz"), ("z", "q")], "benchmark string, markdown string")
+    assert {r.benchmark: r.value for r in audit.run_benchmarks(made, truth, lambda d: d).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
+    pages = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, page_num long")
+    found = spark.createDataFrame([(1, "1", ["r"]), (1, "x", ["s"])], "doc_id long, key string, regions array<string>")
+    assert {r.page_num: r.regions for r in sources.by_page(pages, found, "key").collect()} == {0: [], 1: ["r"]}
