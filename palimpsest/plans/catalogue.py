@@ -297,10 +297,18 @@ def q_best_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.best_matches(table(spark, d, "ocr_regions")).select("a_region_key", "b_engine", "b_region_key", *fixed("iou"))
 
 
-@query()
+NOISE_SQL = r"case when ny1 > 0.93 and (nx2-nx1)*(ny2-ny1) < 0.003 then 'bottom' when nx1 < 0.12 and (nx2-nx1)*(ny2-ny1) < 0.001 and regexp_matches(regexp_replace(coalesce(text_content,''), '^\s+|\s+$', '', 'g'), '^\d{1,2}\.?$') then 'margin_number' end"
+
+
+@query(f"""with recursive n as (select * from ocr_regions where {NOISE_SQL} is null and nx1 is not null and ny1 is not null and nx2 is not null and ny2 is not null),
+ e as (select a.region_key a, b.region_key b from n a join n b on a.doc_id = b.doc_id and a.page_num = b.page_num and a.engine = b.engine and a.element_type = b.element_type and greatest(a.nx1, b.nx1) - least(a.nx2, b.nx2) < 0.05 and a.ny1 < b.ny2 and b.ny1 < a.ny2),
+ reach as (select region_key a, region_key b from n union select r.a, e.b from reach r join e on r.b = e.a), g as (select a region_key, min(b) root from reach group by a),
+ f as (select n.*, root, struct_pack(x := nx1, o := region_ord, k := region_key) as place from n join g using (region_key))
+ select min(doc_id) doc_id, min(page_num) page_num, min(engine) engine, arg_min(region_key, place) region_key, arg_min(region_id, place) region_id, min(element_type) element_type, min(nx1) nx1, min(ny1) ny1, max(nx2) nx2, max(ny2) ny2, min(confidence) confidence,
+ coalesce(string_agg(text_content, ' ' order by nx1, region_ord, region_key) filter (where text_content <> ''), '') text_content, count(*)::int parts, min(x1) x1, min(y1) y1, max(x2) x2, max(y2) y2 from f group by root""")
 def q_fragment_merge(spark: SparkSession, d: str) -> DataFrame:
-    """J10, T1, A2, A3"""
-    return clean.merged_fragments(clean.without_noise(table(spark, d, "ocr_regions")))
+    """Fragments of every engine, without noise"""
+    return clean.merged_fragments(clean.without_noise(table(spark, d, "ocr_regions"))).drop("hierarchy_level", "table_structure")
 
 
 @query()
