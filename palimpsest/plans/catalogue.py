@@ -717,11 +717,15 @@ def q_webhook_summary(spark: SparkSession, d: str) -> DataFrame:
     return service.webhook_summary(table(spark, d, "job_results"))
 
 
-@query()
+_INNER, _OUTER = ("".join(rf"\x{b:02X}" for b in p) for p in service.pads(b"secret"))
+
+
+@query(f"""with b as (select result_key, '{{"result_key":' || result_key || ',"job_id":"' || job_id || '","status":"completed","page_count":' || coalesce(try_cast(metadata['page_count'] as int), 0) || ',"total_page_count":' || coalesce(try_cast(metadata['total_page_count'] as int), 0) || ',"filename":"' || coalesce(filename, '') || '"}}' as body from job_results)
+ select result_key, body, sha256('{_OUTER}'::blob || unhex(sha256('{_INNER}'::blob || encode(body)))) as signature from b""")
 def q_webhook_signature(spark: SparkSession, d: str) -> DataFrame:
     """K2, K4, M6, M7"""
     body = F.to_json(F.struct("result_key", "job_id", "status", "page_count", "total_page_count", "filename"))
-    return service.webhook_summary(table(spark, d, "job_results")).select("result_key", body.alias("body")).withColumn("signature", service.signature("secret")(F.col("body")))
+    return service.webhook_summary(table(spark, d, "job_results")).select("result_key", body.alias("body")).withColumn("signature", service.signature("secret", F.col("body")))
 
 
 @query("select result_key, job_id, case when api_key_hash is null then 404 when api_key_hash <> sha256('key_1') then 403 else 200 end::int as code from job_results")

@@ -1,3 +1,4 @@
+import hmac
 import itertools
 import math
 
@@ -191,8 +192,10 @@ def test_service(spark):
     assert [r.bucket for r in service.expired_buckets(b, "2026-01-01 00:00:00").collect()] == ["2025110100"]
     t = spark.createDataFrame([(1, [500, 200]), (2, [500, None, 404, 200]), (3, [200]), (4, [])], "id int, statuses array<int>")
     assert [(r.attempts, r.delivered, r.waited_s) for r in service.delivery_attempts(t).orderBy("id").collect()] == [(2, True, 1), (3, False, 5), (1, True, 0), (0, False, 0)]
-    sig = spark.createDataFrame([("body",), (None,)], "b string").select(service.signature("k")(F.col("b")).alias("s")).collect()
-    assert len(sig[0].s) == 64 and sig[1].s is None
+    bodies = ["body", "", "ключ" * 50, None]
+    for key in ("k", "long" * 40):
+        sig = spark.createDataFrame([(b,) for b in bodies], "b string").select(service.signature(key, F.col("b")).alias("s")).collect()
+        assert [r.s for r in sig] == [b if b is None else hmac.new(key.encode(), b.encode(), "sha256").hexdigest() for b in bodies]
 
 
 def test_sources(spark, tmp_path):
