@@ -87,7 +87,9 @@ def _features(d: DataFrame) -> DataFrame:
         trimmed = F.length(F.rtrim(t))
         start = F.substring(t, 1, 1)
         # line ends are told by their last characters, which is cheaper than a pattern over the line
-        last = F.substring(F.rtrim(t, F.lit(" \t\"'”’»)]』」“")), -1, 1)
+        closing = F.lit(" \t\"'”’»)]』」“")
+        tail = F.rtrim(F.substring(t, -6, 6), closing)  # trimming a whole line costs more than the rest
+        last = F.substring(F.when(tail != "", tail).otherwise(F.rtrim(t, closing)), -1, 1)
         return F.struct(
             t.alias("t"),
             s["at"].alias("at"),
@@ -96,7 +98,7 @@ def _features(d: DataFrame) -> DataFrame:
             (last.isin(*".!?。！？؟।…;．") | (F.col("thai") & _has(t, "[\u0e00-\u0e7f] $"))).alias("ends"),
             (last == "-").alias("dash"),
             (start != F.upper(start)).alias("lower"),
-            ((trimmed > 3) & (F.upper(t) == t) & (F.lower(t) != t) & _has(t, r"\p{Lu}[^\p{Lu}]*\p{Lu}[^\p{Lu}]*\p{Lu}[^\p{Lu}]*\p{Lu}")).alias("caps"),
+            ((trimmed > 3) & ~_has(t, r"\p{Ll}") & _has(t, r"\p{Lu}[^\p{Lu}]*\p{Lu}[^\p{Lu}]*\p{Lu}[^\p{Lu}]*\p{Lu}")).alias("caps"),
             F.coalesce(F.get("s", i + 1)["y"] - s["y"], F.lit(0)).alias("gap"),
             F.when(F.col("spaced"), F.length(F.substring_index(t, " ", 1)) + 1).otherwise(F.length(F.regexp_extract(t, r"^[「『“（]*.[。、，．！？」』”）]*", 0))).alias("word"),
             ((s["at"] == 0) | (s["at"] + trimmed >= F.col("size"))).alias("edge"),
