@@ -88,13 +88,17 @@ def yaml_text(c: Column) -> Column:
 def documents(aligned: DataFrame, processed: str, of: DataFrame | None = None) -> DataFrame:
     """A document as front matter and pages with breaks between them, in parts (doc_id, part_no, part) to be concatenated in order.
 
-    ``of`` (doc_id, page_num) names all pages, those without regions too. A document of many pages is never put together in one row: part 0 is the front matter, part n the n-th page, an empty
-    one included. Pages are numbered over ranges of pages, not in one task a document."""
-    body = pages(aligned)
-    if of is not None:
-        body = of.join(body, ["doc_id", "page_num"], "left").withColumn("page_markdown", F.coalesce("page_markdown", F.lit("")))
-    head = body.groupBy("doc_id").agg(F.count("*").alias("pages")).join(titles(aligned), "doc_id", "left")
+    ``of`` (doc_id, page_num) names all pages, those without regions too. A document of many pages is never put together in
+    one row: part 0 is the front matter, part n the n-th page, an empty one included. Pages are numbered over ranges of
+    pages, not in one task a document. Rows without a document or page number form a document or page of their own."""
+    every = (aligned if of is None else of).select("doc_id", "page_num").distinct()
+    named = titles(aligned).withColumnRenamed("doc_id", "d")
+    head = every.groupBy("doc_id").agg(F.count("*").alias("pages")).join(named, F.col("doc_id").eqNullSafe(F.col("d")), "left")
     title = yaml_text(F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled Document")))
     front = head.select("doc_id", F.lit(0).cast("long").alias("part_no"), F.concat(F.lit("---\npages: "), F.col("pages").cast("string"), F.lit(f"\nprocessed: '{processed}'\ntitle: "), title, F.lit("\n---\n\n")).alias("part"))
-    numbered = ranked(body, ["doc_id"], ["page_num"], "part_no")
-    return front.unionByName(numbered.select("doc_id", "part_no", F.concat(F.when(F.col("part_no") > 1, F.lit("\n\n---\n\n")).otherwise(""), "page_markdown").alias("part")))
+    # only page numbers are ranked; what the pages hold is joined to them
+    numbered = ranked(every, ["doc_id"], ["page_num"], "part_no")
+    body = pages(aligned).withColumnsRenamed({"doc_id": "d", "page_num": "p"})
+    numbered = numbered.join(body, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("page_num").eqNullSafe(F.col("p")), "left")
+    text = F.coalesce("page_markdown", F.lit(""))
+    return front.unionByName(numbered.select("doc_id", "part_no", F.concat(F.when(F.col("part_no") > 1, F.lit("\n\n---\n\n")).otherwise(""), text).alias("part")))

@@ -237,6 +237,8 @@ def test_pages_without_text_count(spark):
     parts = [r.part for r in markdown.documents(df, "now").orderBy("part_no").collect()]
     assert parts[0].startswith("---\npages: 3\n") and "Untitled Document" in parts[0]
     assert "".join(parts[1:]) == "\n\n---\n\na\n\n---\n\n## Late"
+    lost = spark.createDataFrame([(9, None, None, "header", "Head", 300.0, 0.0, 900.0, 10.0, 0.5, False, None)], names)
+    assert [r.part for r in markdown.documents(lost, "now").orderBy("part_no").collect()] == ["---\npages: 1\nprocessed: 'now'\ntitle: Untitled Document\n---\n\n", "## Head"]
 
 
 def test_ranked_equals_a_window(spark):
